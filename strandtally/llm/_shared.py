@@ -7,12 +7,16 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,3 +220,99 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if (parent == before).all():
             break
     return parent
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's context cleaner drop the shuffle files of steps that are done and no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Integer arrays as differences of neighbours, compressed."""
+    parts = [np.diff(a.astype(np.int64), prepend=np.int64(0)).tobytes() for a in arrays]
+    packed = [_squeezer().compress(np.frombuffer(p, np.uint8).reshape(-1, 8).T.tobytes()) for p in parts]
+    return b"".join([np.array([len(packed), *map(len, packed)], np.int64).tobytes(), *packed])
+
+
+def unsqueeze(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    sizes = np.frombuffer(data, np.int64, n, 8)
+    out, at = [], 8 * (n + 1)
+    for size in sizes:
+        flat = np.frombuffer(_unsqueezer().decompress(data[at : at + size]), np.uint8)
+        out.append(np.cumsum(np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).reshape(-1)))
+        at += size
+    return out
+
+
+@functools.lru_cache(maxsize=1)
+def _squeezer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@functools.lru_cache(maxsize=1)
+def _unsqueezer() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
+def shelve(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """The texts in shelves of about `most` bytes, written to the shared folder without a shuffle.
+
+    (shelf long, ids binary, ends binary, n_words long, texts binary): a shelf has
+    its documents in order of id (null first) and is the unit of later exchanges, which so
+    move compressed texts and arrays instead of a row for each word.  A
+    longer text is a shelf of its own.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        task, number = (TaskContext.get().partitionId(), 0) if TaskContext.get() else (0, 0)
+        schema = pa.schema([("shelf", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary()), ("n_words", pa.int64()), ("texts", pa.binary())])
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, number
+            ids = np.concatenate([h[0] for h in held])
+            none = np.concatenate([h[1] for h in held])
+            sizes = np.concatenate([h[2] for h in held])
+            data = np.concatenate([h[3] for h in held])
+            order = np.lexsort((ids, ~none))
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            raw = data.tobytes()
+            texts = b"".join([raw[at[i] : at[i + 1]] for i in order])
+            data = np.frombuffer(texts, np.uint8)
+            ends = np.cumsum(sizes[order])
+            count = len(words(data, np.concatenate([[0], ends]))[0])
+            row = [task << 33 | number, squeeze(ids[order], none[order]), squeeze(ends), count, _squeezer().compress(texts)]
+            held, number = [], number + 1
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            ids = batch.column(0)
+            none = np.asarray(ids.is_null())
+            values = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets in chunks(batch.column(1), most):
+                if held and sum(len(h[3]) for h in held) + len(data) > most:
+                    yield flush()
+                held.append((values[lo:hi], none[lo:hi], np.diff(offsets), data.copy()))
+        if held:
+            yield flush()
+
+    return written(rows.mapInArrow(pack, "shelf long, ids binary, ends binary, n_words long, texts binary"), "shelves")
+
+
+def unshelve(ids: bytes, ends: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, which of them are null, the bytes of the texts, and their offsets."""
+    values, none = unsqueeze(ids)
+    (ends_,) = unsqueeze(ends)
+    return values, none.astype(bool), np.frombuffer(_unsqueezer().decompress(texts), np.uint8), np.concatenate([[0], ends_])
+
+
+def split_buckets(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each bucket that occurs, the (ascending) positions of its entries."""
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(n + 1))
+    for b in range(n):
+        if bounds[b] < bounds[b + 1]:
+            yield b, order[bounds[b] : bounds[b + 1]]
