@@ -316,3 +316,43 @@ def split_buckets(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]
     for b in range(n):
         if bounds[b] < bounds[b + 1]:
             yield b, order[bounds[b] : bounds[b + 1]]
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of whole cells from batches sorted by their first column, of `least` rows or more but for the last."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            cells = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(cells, cells[-1]))
+            if cut == 0 and held[0].column(0)[0].as_py() == cells[-1]:
+                continue
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held, rows = [batch.slice(cut)], batch.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def cell_pairs(cells: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of rows of the same cell, at most about `most` at a time; cells are sorted."""
+    _, first, size = np.unique(cells, return_index=True, return_counts=True)
+    place = np.arange(len(cells)) - np.repeat(first, size)
+    left_over = np.repeat(size, size) - place - 1
+    d = 1
+    while len(at := np.flatnonzero(left_over >= d)):
+        step = max(1, most // len(at))
+        steps = np.arange(d, d + step)
+        if step == 1:
+            for lo in range(0, len(at), most):
+                yield at[lo : lo + most], at[lo : lo + most] + d
+        else:
+            a = np.repeat(at, step)
+            b = a + np.tile(steps, len(at))
+            good = np.tile(steps, len(at)) <= left_over[a]
+            yield a[good], b[good]
+        d += step
