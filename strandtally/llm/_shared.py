@@ -162,7 +162,8 @@ def grouped_blocks(df: DataFrame, key: str, spread: str, block: int) -> DataFram
     A key of up to `block` rows is one cell.  A larger one is cut into blocks
     by `spread`, and each pair of its blocks is a cell of its own, so that
     no cell holds more than about two blocks and every pair of rows shares
-    one.  Rows are repeated, never dropped.
+    one, the one whose _lo and _hi are the pair's own blocks (_own).  Rows are
+    repeated, never dropped.
     """
     sizes = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
     rows = df.join(sizes, key)
@@ -172,7 +173,9 @@ def grouped_blocks(df: DataFrame, key: str, spread: str, block: int) -> DataFram
         rows.withColumn("_parts", parts)
         .withColumn("_own", F.when(F.col("_parts") == 1, F.lit(0)).otherwise(own))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .withColumn("cell", F.xxhash64(F.col(key), F.least("_own", "_other"), F.greatest("_own", "_other")))
+        .withColumn("_lo", F.least("_own", "_other"))
+        .withColumn("_hi", F.greatest("_own", "_other"))
+        .withColumn("cell", F.xxhash64(F.col(key), "_lo", "_hi"))
         .drop("_n", "_parts", "_other")
     )
 
