@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -259,18 +259,19 @@ def _unsqueezer() -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor()
 
 
-def shelve(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+def shelve(df: DataFrame, id_col: str, text_col: str, most: int, flag: Column | None = None) -> DataFrame:
     """The texts in shelves of about `most` bytes, written to the shared folder without a shuffle.
 
     (shelf long, ids binary, ends binary, n_words long, texts binary): a shelf has
     its documents in order of id (null first) and is the unit of later exchanges, which so
     move compressed texts and arrays instead of a row for each word.  A
-    longer text is a shelf of its own.
+    longer text is a shelf of its own.  A flag, if given, is kept with the ids.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    mark = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), mark.alias("flag"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         task, number = (TaskContext.get().partitionId(), 0) if TaskContext.get() else (0, 0)
         schema = pa.schema([("shelf", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary()), ("n_words", pa.int64()), ("texts", pa.binary())])
 
@@ -287,7 +288,8 @@ def shelve(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
             data = np.frombuffer(texts, np.uint8)
             ends = np.cumsum(sizes[order])
             count = len(words(data, np.concatenate([[0], ends]))[0])
-            row = [task << 33 | number, squeeze(ids[order], none[order]), squeeze(ends), count, _squeezer().compress(texts)]
+            flags = np.concatenate([h[4] for h in held])
+            row = [task << 33 | number, squeeze(ids[order], none[order], flags[order]), squeeze(ends), count, _squeezer().compress(texts)]
             held, number = [], number + 1
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
 
@@ -295,10 +297,11 @@ def shelve(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
             ids = batch.column(0)
             none = np.asarray(ids.is_null())
             values = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            flags = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in chunks(batch.column(1), most):
                 if held and sum(len(h[3]) for h in held) + len(data) > most:
                     yield flush()
-                held.append((values[lo:hi], none[lo:hi], np.diff(offsets), data.copy()))
+                held.append((values[lo:hi], none[lo:hi], np.diff(offsets), data.copy(), flags[lo:hi]))
         if held:
             yield flush()
 
@@ -307,7 +310,7 @@ def shelve(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
 
 def unshelve(ids: bytes, ends: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, which of them are null, the bytes of the texts, and their offsets."""
-    values, none = unsqueeze(ids)
+    values, none = unsqueeze(ids)[:2]
     (ends_,) = unsqueeze(ends)
     return values, none.astype(bool), np.frombuffer(_unsqueezer().decompress(texts), np.uint8), np.concatenate([[0], ends_])
 
