@@ -195,10 +195,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # The same in SQL.
 def _mix(x: str) -> str:
     """Each step binds its argument, so that it is computed once."""
-    m = "18446744073709551616::UHUGEINT"
-    z = f"[((({x})::UHUGEINT + 11400714819323198485::UHUGEINT) % {m})::UBIGINT]"
-    z = f"list_transform({z}, lambda z: ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % {m})::UBIGINT)"
-    z = f"list_transform({z}, lambda z: ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % {m})::UBIGINT)"
+    m = "18446744073709551615::UHUGEINT"
+    z = f"[((({x})::UHUGEINT + 11400714819323198485::UHUGEINT) & {m})::UBIGINT]"
+    z = f"list_transform({z}, lambda z: ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) & {m})::UBIGINT)"
+    z = f"list_transform({z}, lambda z: ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) & {m})::UBIGINT)"
     return f"list_transform({z}, lambda z: xor(z, z >> 31))[1]"
 
 
