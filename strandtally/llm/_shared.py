@@ -137,12 +137,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word; with lower, A-Z count as a-z."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _POWERS.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER_VALUES if lower else _BYTE_VALUES)[data] * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), dtype=np.uint64)
+    values = _LOWER_VALUES if lower else _BYTE_VALUES
+    at = 0
+    while at < len(starts):  # a piece of about CHUNK_BYTES at a time; a longer word is a piece of its own
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, side="right")))
+        piece = data[base : ends[to - 1]]
+        up, down = _POWERS.get(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(values[piece] * up[: len(piece)], out=total[1:])
+        first, last = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mix64((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+        at = to
+    return out
 
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
@@ -254,6 +262,12 @@ def _squeezer() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=1)
 
 
+@functools.lru_cache(maxsize=1)
+def _packer() -> zstandard.ZstdCompressor:
+    """For texts, which are written once and moved several times."""
+    return zstandard.ZstdCompressor(level=6)
+
+
 @functools.lru_cache(maxsize=1)
 def _unsqueezer() -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor()
@@ -289,7 +303,7 @@ def shelve(df: DataFrame, id_col: str, text_col: str, most: int, flag: Column |
             ends = np.cumsum(sizes[order])
             count = len(words(data, np.concatenate([[0], ends]))[0])
             flags = np.concatenate([h[4] for h in held])
-            row = [task << 33 | number, squeeze(ids[order], none[order], flags[order]), squeeze(ends), count, _squeezer().compress(texts)]
+            row = [task << 33 | number, squeeze(ids[order], none[order], flags[order]), squeeze(ends), count, _packer().compress(texts)]
             held, number = [], number + 1
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
 

@@ -46,8 +46,8 @@ from strandtally.llm._shared import (
 from strandtally.llm.langid import held_out
 
 K = 5
-SHELF_BYTES = 8 << 20
-BUCKET_WORDS, LEAST_BUCKETS = 2_000_000, 64
+SHELF_BYTES = 16 << 20
+BUCKET_WORDS, LEAST_BUCKETS = 1_000_000, 64
 FREQUENT = 1_000_000
 END, START = mix64(np.array([1, 2], dtype=np.uint64))
 
@@ -194,7 +194,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     sums = known.where("shelf = -1").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(K + 3)]).first()
     stats = [int(x or 0) for x in sums]
     one = Words.of(stats[0], stats[1], np.array([0, *stats[2:]]))
-    frequent = max(one.total // FREQUENT, BUCKET_WORDS // 16)
+    frequent = max(one.total // FREQUENT, BUCKET_WORDS // 8)
     by_shelf = known.where("shelf >= 0").groupBy("shelf").agg(F.collect_list(F.struct("bucket", "counts")).alias("words"))
 
     # bigrams
