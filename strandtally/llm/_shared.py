@@ -274,7 +274,7 @@ def _unsqueezer() -> zstandard.ZstdDecompressor:
 
 
 def shelve(df: DataFrame, id_col: str, text_col: str, most: int, flag: Column | None = None) -> DataFrame:
-    """The texts in shelves of about `most` bytes, written to the shared folder without a shuffle.
+    """The texts in shelves of about `most` bytes, written to a table of the warehouse without a shuffle.
 
     (shelf long, ids binary, ends binary, n_words long, texts binary): a shelf has
     its documents in order of id (null first) and is the unit of later exchanges, which so
@@ -319,7 +319,12 @@ def shelve(df: DataFrame, id_col: str, text_col: str, most: int, flag: Column |
         if held:
             yield flush()
 
-    return written(rows.mapInArrow(pack, "shelf long, ids binary, ends binary, n_words long, texts binary"), "shelves")
+    # bucketed by shelf, so that joins with the shelves move the other side only; a task holds few shelves and so writes few files
+    spark = df.sparkSession
+    name = f"shelves_{uuid.uuid4().hex}"
+    packed = rows.mapInArrow(pack, "shelf long, ids binary, ends binary, n_words long, texts binary")
+    packed.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shelf").format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def unshelve(ids: bytes, ends: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
