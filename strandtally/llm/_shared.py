@@ -239,20 +239,22 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def squeeze(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as differences of neighbours, compressed."""
-    parts = [np.diff(a.astype(np.int64), prepend=np.int64(0)).tobytes() for a in arrays]
+def squeeze(*arrays: np.ndarray, plain: bool = False) -> bytes:
+    """Integer arrays, compressed by bytes of the same weight: as differences of neighbours, or (plain) as they are."""
+    parts = [(a.astype(np.int64) if plain else np.diff(a.astype(np.int64), prepend=np.int64(0))).tobytes() for a in arrays]
     packed = [_squeezer().compress(np.frombuffer(p, np.uint8).reshape(-1, 8).T.tobytes()) for p in parts]
-    return b"".join([np.array([len(packed), *map(len, packed)], np.int64).tobytes(), *packed])
+    return b"".join([np.array([-len(packed) if plain else len(packed), *map(len, packed)], np.int64).tobytes(), *packed])
 
 
 def unsqueeze(data: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(data, np.int64, 1)[0])
+    plain, n = n < 0, abs(n)
     sizes = np.frombuffer(data, np.int64, n, 8)
     out, at = [], 8 * (n + 1)
     for size in sizes:
         flat = np.frombuffer(_unsqueezer().decompress(data[at : at + size]), np.uint8)
-        out.append(np.cumsum(np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).reshape(-1)))
+        values = np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).reshape(-1)
+        out.append(values if plain else np.cumsum(values))
         at += size
     return out
 

@@ -172,7 +172,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         for batch in batches:
             for row in batch.to_pylist():
                 s = Shelf(row)
-                out = [(b, row["shelf"], s.kinds[at].tobytes(), squeeze(s.counts[at])) for b, at in split_buckets(s.owners(buckets), buckets)]
+                out = [(b, row["shelf"], s.kinds[at].tobytes(), squeeze(s.counts[at], plain=True)) for b, at in split_buckets(s.owners(buckets), buckets)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shelf", "grams", "counts"])
 
@@ -184,7 +184,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         cut = np.cumsum([len(g) for g in grams])[:-1]
         stats = [int(total.sum()), int((total > 0).sum()), *[int((total == r).sum()) for r in range(1, K + 2)]]
         bucket = int(pdf["bucket"].iloc[0])
-        rows = [(bucket, s, squeeze(c), None) for s, c in zip(pdf["shelf"], np.split(total[back], cut), strict=True)]
+        rows = [(bucket, s, squeeze(c, plain=True), None) for s, c in zip(pdf["shelf"], np.split(total[back], cut), strict=True)]
         return pd.DataFrame([*rows, (bucket, -1, None, stats)], columns=["bucket", "shelf", "counts", "stats"])
 
     asked = shelves.mapInArrow(ask_words, "bucket long, shelf long, grams binary, counts binary")
@@ -209,7 +209,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
                 for b, at in split_buckets(s.owner, buckets):
                     new = s.runs(at)
                     word = s.names[s.word[at]]
-                    out.append((b, row["shelf"], s.names[s.context[at[new]]].tobytes(), squeeze(new, s.hot[at[new]]), word.astype(np.uint32).tobytes(), (word >> np.uint64(32)).astype(np.uint8).tobytes(), squeeze(s.known[s.word[at]], s.pairs[at])))
+                    out.append((b, row["shelf"], s.names[s.context[at[new]]].tobytes(), squeeze(new, s.hot[at[new]]), word.astype(np.uint32).tobytes(), (word >> np.uint64(32)).astype(np.uint8).tobytes(), squeeze(s.known[s.word[at]], s.pairs[at], plain=True)))
                     if len(out) == 16:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "shelf", "contexts", "runs", "low", "high", "counts"])
                         out = []
@@ -241,12 +241,12 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         out, at, ct = [], 0, 0
         for shelf, own, x in zip(pdf["shelf"], contexts, low, strict=True):
             i = context[ct : ct + len(own)]
-            out.append((bucket, shelf, squeeze(n[back[at : at + len(x)]]), squeeze(total[i], *[c[i] for c in of_counts]), lower[i].tobytes(), None))
+            out.append((bucket, shelf, squeeze(n[back[at : at + len(x)]], plain=True), squeeze(total[i], *[c[i] for c in of_counts], plain=True), lower[i].tobytes(), None))
             at, ct = at + len(x), ct + len(own)
         out.append((bucket, -1, None, None, None, [int((n == r).sum()) for r in range(1, K + 2)]))
         if hot.any():
             i = np.flatnonzero(hot)
-            out.append((bucket, -2, names[i].tobytes(), squeeze(total[i], *[c[i] for c in of_counts]), lower[i].tobytes(), None))
+            out.append((bucket, -2, names[i].tobytes(), squeeze(total[i], *[c[i] for c in of_counts], plain=True), lower[i].tobytes(), None))
         return pd.DataFrame(out, columns=["bucket", "shelf", "counts", "sums", "lower", "stats"])
 
     schema = "bucket long, shelf long, counts binary, sums binary, lower binary, stats array<long>"
