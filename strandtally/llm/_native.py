@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+RUN = 256
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once, wherever and how often it is used (lambdas compute what they name at each step)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
 def located(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start,end,match,value>> of the leftmost non-overlapping matches.
 
     Positions are code points, end exclusive; value is the group.  The pattern must not
-    match the empty string.  Texts without a match are scanned once.
+    match the empty string.  Texts without a match are scanned once.  Matches are placed by
+    runs of RUN, as appending each to one array would take time in the square of their number.
     """
     regex = F.lit(pattern)
     matches = F.regexp_extract_all(text, regex, F.lit(0))
@@ -28,9 +38,17 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
         )
 
     empty = "array<struct<start:int,end:int,match:string,value:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("found"))
     plain = F.transform(rows, lambda r: F.struct(r["before"].alias("0"), r["match"].alias("1"), r["value"].alias("2")))
-    found = F.aggregate(plain, start, step, lambda s: s["found"])
+
+    def placed(rows: Column) -> Column:
+        def run(state: Column, first: Column) -> Column:
+            start = F.struct(state["at"].alias("at"), F.array().cast(empty).alias("found"))
+            return F.aggregate(F.slice(rows, first, F.lit(RUN)), start, step, lambda s: F.struct(s["at"].alias("at"), F.concat(state["runs"], F.array(s["found"])).alias("runs")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{empty}>").alias("runs"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1)), F.lit(RUN)), start, run, lambda s: s["runs"]))
+
+    found = bound(plain, placed)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(empty))
 
 

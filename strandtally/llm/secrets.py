@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandtally.llm._native import count_of, located, said
+from strandtally.llm._native import bound, count_of, located, said
 from strandtally.llm._shared import table
 
 KINDS = ["assign", "access", "hex", "entropy"]
@@ -30,7 +30,6 @@ ALLOW = (r"^[A-Za-z]?[a-z]+$", r"^[A-Z]+$", r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/]+
 
 def window_entropy(candidate: Column, window: int) -> Column:
     """The greatest entropy, in bits a character, of a window of the string (0 if it is shorter)."""
-    characters = F.split(candidate, "")
 
     def term(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(F.greatest(n, F.lit(1)))).otherwise(F.lit(0.0))
@@ -38,21 +37,23 @@ def window_entropy(candidate: Column, window: int) -> Column:
     def tally(part: Column, c: Column) -> Column:
         return F.size(F.filter(part, lambda x: x == c)).cast("double")
 
-    first = F.slice(characters, 1, window)
-    total = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda s, c: s + term(tally(first, c)))
+    def best(characters: Column) -> Column:
+        first = F.slice(characters, 1, window)
+        total = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda s, c: s + term(tally(first, c)))
 
-    def slide(state: Column, i: Column) -> Column:
-        stay = F.slice(characters, i + 1, F.lit(window - 1))
-        gone = tally(stay, F.get(characters, i - 1)) + 1
-        new = tally(stay, F.get(characters, i + window - 1)) + 1
-        now = state["sum"] - term(gone) + term(gone - 1) - term(new - 1) + term(new)
-        return F.struct(now.alias("sum"), F.least(state["least"], now).alias("least"))
+        def slide(state: Column, i: Column) -> Column:
+            stay = F.slice(characters, i + 1, F.lit(window - 1))
+            gone = tally(stay, F.get(characters, i - 1)) + 1
+            new = tally(stay, F.get(characters, i + window - 1)) + 1
+            now = state["sum"] - term(gone) + term(gone - 1) - term(new - 1) + term(new)
+            return bound(now, lambda now: F.struct(now.alias("sum"), F.least(state["least"], now).alias("least")))
+
+        start = bound(total, lambda total: F.struct(total.alias("sum"), total.alias("least")))
+        least = F.aggregate(F.sequence(F.lit(1), F.size(characters) - window), start, slide, lambda s: s["least"])
+        return F.when(F.size(characters) > window, least).otherwise(total)
 
-    steps = F.when(F.length(candidate) > window, F.sequence(F.lit(1), F.length(candidate) - window)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(total.alias("sum"), total.alias("least"))
-    least = F.aggregate(steps, start, slide, lambda s: s["least"])
     # entropy = log2(window) - sum(c * log2(c)) / window
-    return F.when(F.length(candidate) >= window, F.log2(F.lit(float(window))) - least / F.lit(float(window))).otherwise(F.lit(0.0))
+    return F.when(F.length(candidate) >= window, F.log2(F.lit(float(window))) - bound(F.split(candidate, ""), best) / F.lit(float(window))).otherwise(F.lit(0.0))
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 24, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandtally.llm import bpe, katz, langid, lattice, media, mixing, private, repeats, secrets, simhash
-from strandtally.llm._native import said
+from strandtally.llm._native import RUN, located, said
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, spans string, fp long"
 
@@ -121,6 +121,17 @@ def test_secrets(spark):
         assert abs(spark.range(1).select(secrets.window_entropy(F.lit(word), 24)).first()[0] - best) < 1e-9
 
 
+def test_many_matches_and_long_candidates(spark):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, RUN - 1, RUN, RUN + 1, 5 * RUN + 3):
+        text = "".join(f"é{'x' * int(rng.integers(0, 4))} {int(rng.integers(0, 9999))}" for _ in range(n)) + " 🙂"
+        found = spark.createDataFrame([(text,)], "t string").select(located(F.col("t"), "[0-9]+")).first()[0]
+        assert [(s["start"], s["end"], s["match"]) for s in found] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
+    blob = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 20_000))
+    row = secrets.find_secrets(docs(spark, [f"data {blob} end"])).select(said(F.col("spans"), secrets.KINDS)).first()
+    assert row[0] == "entropy:5:20005"
+
+
 def test_private(spark):
     texts = [*ODD, "a@b.c_d@e.f.g x@y", "1.2.3.4.5.6.7.8 999.1.1.1 001.002.003.0004", "4111 1111 1111 1111 and 4111 1111 1111 1112", "+1 (743) 555-3824", "call Dr. Mary Smith at 555-123-4567 SSN 123-45-6789"]
     rows = {r["doc_id"]: r for r in private.find_private(docs(spark, texts)).select("doc_id", said(F.col("base"), private.KINDS).alias("base"), said(F.col("spans"), private.KINDS).alias("spans")).collect()}
