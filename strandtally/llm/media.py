@@ -4,11 +4,11 @@ A recording (WAV, or raw unsigned 8-bit samples) is cut into overlapping frames
 spectra are folded into 12 pitch classes.  Filters over an integral image of 16 frames
 by 12 classes each give two bits, packed into one 32-bit integer for each frame offset.
 
-Search: the recordings of a stated query set against all.  Equal integers of a
-query and a recording vote for the offset between them; at the offset with the most votes
-the bit errors of the overlap decide.  Queries are taken in blocks of bounded size, each broadcast
-for one pass over the fingerprint table; within a task hits become counts by
-query, so neither pairs nor votes are ever shuffled.
+Search: the recordings of a stated query set against all.  The bit errors of every
+offset with enough overlap are counted, so no pair within the limit is missed; of the offsets of a pair that
+pass, the one that is furthest below the limit, in bits, is its alignment.  Queries are taken in blocks of
+bounded size, each broadcast for one pass over the fingerprint table; within a task hits become counts by
+query, so pairs are never shuffled.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ FRAME, HOP, SPAN, RATE = 512, 128, 16, 11025
 LEAST_HZ, MOST_HZ = 28.0, 3520.0
 FILTERS = 16
 BLOCK_VALUES = 2_000_000
+BLOCK_PLACES = 1 << 15
+PAIRS = 1 << 20
+LONG = 2047
 
 
 def samples(data: bytes) -> tuple[np.ndarray, int]:
@@ -133,89 +136,151 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 @dataclass
 class Queries:
-    """A block of queries: their prints end to end, and the heads of runs of equal values, sorted by value."""
+    """A block of queries: their prints end to end."""
 
     ids: np.ndarray
     first: np.ndarray
     prints: np.ndarray
-    value: np.ndarray
-    query: np.ndarray
-    place: np.ndarray
-
-
-def heads(prints: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(value, recording, place) where a run of equal values begins."""
-    new = np.ones(len(prints), dtype=bool)
-    new[1:] = prints[1:] != prints[:-1]
-    new[first[:-1][np.diff(first) > 0]] = True
-    at = np.flatnonzero(new)
-    owner = np.searchsorted(first, at, side="right") - 1
-    return prints[at], owner, at - first[owner]
 
 
 def block_of(rows: list[tuple[int, bytes]]) -> Queries:
     prints = [np.frombuffer(p, np.uint32) for _, p in rows]
     first = np.concatenate([[0], np.cumsum([len(p) for p in prints])]).astype(np.int64)
-    joined = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
-    value, query, place = heads(joined, first)
-    order = np.argsort(value, kind="stable")
-    return Queries(np.array([i for i, _ in rows], dtype=np.int64), first, joined, value[order], query[order], place[order])
-
-
-def aligned(prints: np.ndarray, first: np.ndarray, q: Queries, least_votes: int, most_errors: float, least_overlap: int) -> tuple[np.ndarray, ...]:
-    """(recording, query, offset, errors) of the recordings that align with a query; offset = place in the recording - place in the query."""
-    value, rec, place = heads(prints, first)
-    lo, hi = np.searchsorted(q.value, value, side="left"), np.searchsorted(q.value, value, side="right")
-    n = hi - lo
-    # all votes of a recording must be counted together: cut between recordings
-    upto = np.concatenate([[0], np.cumsum(np.bincount(rec, weights=n, minlength=len(first) - 1))])
-    found: list[tuple[np.ndarray, ...]] = []
-    r = 0
-    while r < len(first) - 1:
-        end = max(r + 1, int(np.searchsorted(upto, upto[r] + 2_000_000, side="right")) - 1)
-        own = np.flatnonzero((rec >= r) & (rec < end) & (n > 0))
-        r = end
-        if not len(own):
-            continue
-        back = np.repeat(own, n[own])
-        hit = np.repeat(lo[own], n[own]) + np.arange(len(back)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
-        pair = rec[back].astype(np.int64) * len(q.ids) + q.query[hit]
-        offset = place[back] - q.place[hit]
-        order = np.lexsort((offset, pair))
-        pair, offset = pair[order], offset[order]
-        new = np.ones(len(pair), dtype=bool)
-        new[1:] = (pair[1:] != pair[:-1]) | (offset[1:] != offset[:-1])
-        at = np.flatnonzero(new)
-        votes = np.diff(np.append(at, len(pair)))
-        pair, offset = pair[at], offset[at]
-        order = np.lexsort((offset, -votes, pair))  # ties: the least offset
-        pair, offset, votes = pair[order], offset[order], votes[order]
-        best = np.ones(len(pair), dtype=bool)
-        best[1:] = pair[1:] != pair[:-1]
-        pair, offset, votes = pair[best], offset[best], votes[best]
-        rr, qq = pair // len(q.ids), pair % len(q.ids)
-        length, own_length = np.diff(first)[rr], np.diff(q.first)[qq]
-        start = np.maximum(offset, 0)
-        overlap = np.minimum(length, own_length + offset) - start
-        # two recordings with few prints must overlap as a whole
-        good = (votes >= np.minimum(least_votes, np.minimum(length, own_length))) & (overlap >= np.minimum(least_overlap, np.maximum(length, own_length)))
-        rr, qq, offset, start, overlap = rr[good], qq[good], offset[good], start[good], overlap[good]
-        for s in range(0, len(rr), 20_000):
-            part = slice(s, s + 20_000)
-            size = overlap[part]
-            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            a = prints[np.repeat(first[rr[part]] + start[part], size) + step]
-            b = q.prints[np.repeat(q.first[qq[part]] + start[part] - offset[part], size) + step]
-            wrong = np.add.reduceat(np.bitwise_count(a ^ b).astype(np.int64), np.cumsum(size) - size) if len(size) else np.zeros(0)
-            rate = wrong / (32.0 * size)
-            near = rate <= most_errors
-            found.append((rr[part][near], qq[part][near], offset[part][near], rate[near]))
-    if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0),)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def search(df: DataFrame, id_col: str, media_col: str, every: int = 20, least_votes: int = 3, most_errors: float = 0.15, least_overlap: int = 4) -> DataFrame:
+    return Queries(np.array([i for i, _ in rows], dtype=np.int64), first, np.concatenate(prints) if prints else np.zeros(0, np.uint32))
+
+
+@dataclass
+class Hay:
+    """Recordings laid out with `gap` places between them: each place's print with its follower as one 64-bit value, and which of these bits are real."""
+
+    own: np.ndarray
+    start: np.ndarray
+    gap: int
+    prints: np.ndarray
+    real: np.ndarray
+    twins: np.ndarray
+    masks: np.ndarray
+    upto: np.ndarray
+
+
+def hays(own: np.ndarray, prints: np.ndarray, first: np.ndarray, gap: int) -> Iterator[Hay]:
+    """Layouts of about BLOCK_PLACES places; a longer recording is one of its own."""
+    size = first[own + 1] - first[own]
+    lo = 0
+    ends = np.cumsum(size + gap)
+    while lo < len(own):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_PLACES, side="right")))
+        part, n = own[lo:hi], size[lo:hi]
+        start = np.cumsum(n + gap) - n
+        total = int(start[-1] + n[-1]) + 2 * gap + 2
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        value, real = np.zeros(total, np.uint64), np.zeros(total, bool)
+        value[np.repeat(start, n) + step] = prints[np.repeat(first[part], n) + step]
+        real[np.repeat(start, n) + step] = True
+        mask = np.where(real, np.uint64(0xFFFFFFFF), np.uint64(0))
+        shift = np.uint64(32)
+        upto = np.concatenate([[0], np.cumsum(real)])
+        yield Hay(part, start, gap, value, real, value[:-1] | value[1:] << shift, mask[:-1] | mask[1:] << shift, upto)
+        lo = hi
+
+
+def wrong_bits(needle: np.ndarray, hay: Hay) -> np.ndarray:
+    """Bit errors with the needle's first print at each place of the layout but the last."""
+    m, n = len(needle), len(hay.prints) - hay.gap - 2
+    if m <= LONG:
+        total, piece = np.zeros(n, np.uint16), np.zeros(n, np.uint8)
+        both, count = np.empty(n, np.uint64), np.empty(n, np.uint8)
+        values = np.append(needle, np.uint32(0))[: m + m % 2].astype("<u4").view("<u8")
+        for i, value in enumerate(values):
+            np.bitwise_xor(hay.twins[2 * i : 2 * i + n], value, out=both)
+            np.bitwise_and(both, hay.masks[2 * i : 2 * i + n], out=both)
+            if 2 * i + 1 == m:
+                both &= np.uint64(0xFFFFFFFF)
+            np.bitwise_count(both, out=count)
+            piece += count
+            if i % 3 == 2 or i == len(values) - 1:  # three counts of up to 64 fit a byte
+                total += piece
+                piece[:] = 0
+        return total
+    # 32 correlations of -1 and 1: agreeing less differing bits
+    size = 1 << (len(hay.prints) + m).bit_length()
+    spectrum = np.zeros(size // 2 + 1, np.complex128)
+    for bit in range(32):
+        sign = np.where(hay.real, 2.0 * (hay.prints >> np.uint64(bit) & np.uint64(1)) - 1, 0.0)
+        spectrum += np.fft.rfft(sign, size) * np.conj(np.fft.rfft(2.0 * (needle >> np.uint32(bit) & np.uint32(1)) - 1, size))
+    return (32 * (hay.upto[m : m + n] - hay.upto[:n]) - np.rint(np.fft.irfft(spectrum, size)[:n]).astype(np.int64)) // 2
+
+
+def most_wrong(longest: int, most_errors: float, least_overlap: int) -> np.ndarray:
+    """For each overlap the bit errors that still align; -1 where the overlap is too short."""
+    size = np.arange(longest + 1)
+    out = np.floor(32.0 * size * most_errors).astype(np.int64)
+    out += (out + 1) / np.maximum(32.0 * size, 1) <= most_errors
+    out -= out / np.maximum(32.0 * size, 1) > most_errors
+    out[: min(least_overlap, longest + 1)] = -1
+    return out
+
+
+def aligned(prints: np.ndarray, first: np.ndarray, q: Queries, most_errors: float, least_overlap: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(recording, query, offset, errors) of the recordings that align with a query, in pieces; offset = place in the recording - place in the query."""
+    size, own_size = np.diff(first), np.diff(q.first)
+    # recordings with few prints must overlap as a whole: equal lengths, offset zero
+    for n in range(1, least_overlap):
+        left, right = np.flatnonzero(size == n), np.flatnonzero(own_size == n)
+        step = max(1, PAIRS // max(1, len(left)))
+        for lo in range(0, len(right) if len(left) else 0, step):
+            part = right[lo : lo + step]
+            wrong = sum(np.bitwise_count(prints[first[left] + i][None, :] ^ q.prints[q.first[part] + i][:, None]).astype(np.int64) for i in range(n))
+            k, r = np.nonzero(wrong / (32.0 * n) <= most_errors)
+            yield left[r], part[k], np.zeros(len(r), np.int64), wrong[k, r] / (32.0 * n)
+    # of a longer pair the one of the smaller class of length slides over the other
+    least = max(least_overlap, 1)
+    rank = np.ceil(np.log2(np.maximum(size, 1))).astype(int)
+    own_rank = np.ceil(np.log2(np.maximum(own_size, 1))).astype(int)
+    for c in range(int(max(rank.max(initial=0), own_rank.max(initial=0))) + 1):
+        sides = (
+            (np.flatnonzero((own_rank == c) & (own_size >= least)), np.flatnonzero((rank >= c) & (size >= least)), q.prints, q.first, prints, first, False),
+            (np.flatnonzero((rank == c) & (size >= least)), np.flatnonzero((own_rank > c) & (own_size >= least)), prints, first, q.prints, q.first, True),
+        )
+        limit = most_wrong(1 << c, most_errors, least)
+        for needles, others, of, at, over, over_at, swapped in sides:
+            for hay in hays(others, over, over_at, 1 << c) if len(needles) else ():
+                m = 0
+                for k in needles[np.argsort(at[needles + 1] - at[needles], kind="stable")]:
+                    wrong = wrong_bits(of[at[k] : at[k + 1]], hay)
+                    if m != at[k + 1] - at[k]:
+                        m = int(at[k + 1] - at[k])
+                        overlap = hay.upto[m : m + len(wrong)] - hay.upto[: len(wrong)]
+                        bound = (limit[overlap] + 1).astype(wrong.dtype)
+                    place = np.flatnonzero(wrong < bound)
+                    if not len(place):
+                        continue
+                    # a place belongs to the recording that the needle touches there
+                    it = np.searchsorted(hay.start, place + m - 1, side="right") - 1
+                    offset = place - hay.start[it]
+                    offset = -offset if swapped else offset
+                    wrong, met = wrong[place].astype(np.int64), overlap[place]
+                    order = np.lexsort((offset, wrong - 32.0 * most_errors * met, it))
+                    best = order[np.concatenate([[True], np.diff(it[order]) > 0])]
+                    one, other = np.full(len(best), k), hay.own[it[best]]
+                    yield (one if swapped else other), (other if swapped else one), offset[best], wrong[best] / (32.0 * met[best])
+
+
+def gathered(pieces: Iterator[tuple[np.ndarray, ...]], least: int = 100_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """The pieces joined to `least` rows or more but for the last."""
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
+    for piece in pieces:
+        held.append(piece)
+        rows += len(piece[0])
+        if rows >= least:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, rows = [], 0
+    if rows:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def search(df: DataFrame, id_col: str, media_col: str, every: int = 20, most_errors: float = 0.15, least_overlap: int = 4) -> DataFrame:
     """(id, n_prints, n_matches, best_id, best_offset, best_errors) for each distinct id that `every` divides.
 
     n_matches counts the other ids' rows that align with the query; the best has the fewest bit errors, then the smallest id.
@@ -242,15 +307,15 @@ def search(df: DataFrame, id_col: str, media_col: str, every: int = 20, least_vo
                 ids = batch.column(0).fill_null(-1).to_numpy()
                 none = np.asarray(batch.column(0).is_null())
                 for lo, hi, data, offsets in chunks(batch.column(1)):
-                    r, k, offset, errors = aligned(np.frombuffer(data.tobytes(), np.uint32), offsets // 4, q, least_votes, most_errors, least_overlap)
-                    r = r + lo
-                    other = none[r] | (ids[r] != q.ids[k])
-                    r, k, offset, errors = r[other], k[other], offset[other], errors[other]
-                    n += np.bincount(k, minlength=len(n))
-                    order = np.lexsort((ids[r], none[r], errors, k))
-                    for i in order[np.concatenate([[True], np.diff(k[order]) > 0])] if len(order) else []:
-                        mine = (float(errors[i]), bool(none[r[i]]), int(ids[r[i]]), int(offset[i]))
-                        best[k[i]] = mine if best[k[i]] is None else min(best[k[i]], mine)
+                    for r, k, offset, errors in gathered(aligned(np.frombuffer(data.tobytes(), np.uint32), offsets // 4, q, most_errors, least_overlap)):
+                        r = r + lo
+                        other = none[r] | (ids[r] != q.ids[k])
+                        r, k, offset, errors = r[other], k[other], offset[other], errors[other]
+                        n += np.bincount(k, minlength=len(n))
+                        order = np.lexsort((offset, ids[r], none[r], errors, k))
+                        for i in order[np.concatenate([[True], np.diff(k[order]) > 0])] if len(order) else []:
+                            mine = (float(errors[i]), bool(none[r[i]]), int(ids[r[i]]), int(offset[i]))
+                            best[k[i]] = mine if best[k[i]] is None else min(best[k[i]], mine)
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -268,3 +268,30 @@ def test_digest_columns(spark, name):
     own = bpe.op2_bpe(spark, "/root/testdata/sf0.001").orderBy("doc_id").first()
     text = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").orderBy("doc_id").first()["text"]
     assert own["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("long", [media.LONG, 8])
+def test_media_finds_what_brute_force_finds(spark, monkeypatch, long):
+    monkeypatch.setattr(media, "LONG", long)  # so that longer ones are correlated
+    monkeypatch.setattr(media, "BLOCK_PLACES", 256)
+    monkeypatch.setattr(media, "PAIRS", 64)
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").collect()
+    prints = [(r[0], media.fingerprint((r[1] or "").encode())) for r in rows]
+    own = [(i, p.tobytes()) for i, p in prints if i % 20 == 0]
+    q = media.block_of(own)
+    first = np.concatenate([[0], np.cumsum([len(p) for _, p in prints])])
+    got = {}
+    for part in media.aligned(np.concatenate([p for _, p in prints]), first, q, 0.15, 4):
+        for r, k, offset, errors in zip(*part, strict=True):
+            assert (r, k) not in got
+            got[r, k] = offset, errors
+    want = set()
+    for k, (_, a) in enumerate(own):
+        a = np.frombuffer(a, np.uint32)
+        for r, (_, b) in enumerate(prints):
+            wrong = np.bitwise_count(a[:, None] ^ b[None, :]).astype(np.int64)
+            rates = {d: np.diagonal(wrong, d).mean() / 32 for d in range(1 - len(a), len(b)) if len(np.diagonal(wrong, d)) >= min(4, max(len(a), len(b)))}
+            if min(rates.values(), default=1) <= 0.15:
+                want.add((r, k))
+                assert abs(rates[got[r, k][0]] - got[r, k][1]) < 1e-12 and got[r, k][1] <= 0.15
+    assert set(got) == want and len(want) > len(own)
