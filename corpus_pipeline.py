@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandtally.llm import bpe, langid, mixing, secrets, simhash
+from strandtally.llm import bpe, langid, mixing, secrets, similar, simhash
 from strandtally.llm._shared import table, written
 
 
@@ -22,10 +22,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates, once if its row is repeated."""
-    found = simhash.near_duplicates(docs)
-    leads = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(leads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keeps the document with the smallest id of each group of near-duplicates, once if its row is repeated.
+
+    Links are those of SimHash, and all others of a similarity of 0.8 or more of the sets of five-word shingles.
+    """
+    found = simhash.near_duplicates(docs, width=5)
+    links = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    gone = similar.similar_components(docs, links).where("node <> root").select(F.col("node").alias("doc_id"))
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
@@ -56,7 +60,7 @@ STAGES = [
     ("BPE encoding and decoding", tokenised),
 ]
 
-#: No stage can be stated in SQL as a whole; the tests compare with brute force.
+#: No stage can be stated in SQL as a whole; the tests compare near-dedup with brute force and tokens with the library.
 ORACLE_SQL = None
 
 

@@ -295,3 +295,36 @@ def test_media_finds_what_brute_force_finds(spark, monkeypatch, long):
                 want.add((r, k))
                 assert abs(rates[got[r, k][0]] - got[r, k][1]) < 1e-12 and got[r, k][1] <= 0.15
     assert set(got) == want and len(want) > len(own)
+
+
+def jaccard_sets(texts, width=5):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    return out
+
+
+def test_pipeline_removes_copies_of_similarity_08(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    pool = [f"w{i}" for i in range(2000)]
+    texts = [*ODD]
+    for i in range(60):
+        base = rng.choice(pool, int(rng.integers(60, 300)))
+        copy = list(base)
+        for j in range(max(1, int(len(base) * (i % 12 + 1) / 12 / 45))):  # similarities from 0.8 to 0.95, and some below
+            copy[int(rng.integers(0, len(copy)))] = f"new{j}"
+        texts += [" ".join(base), " ".join(copy).upper() if i % 2 else " ".join(copy)]
+    texts += [f"{texts[-1]} x{i}" for i in range(30)]
+    sets = jaccard_sets(texts)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    # texts without words have one fingerprint
+    pairs += [(a, b) for a in range(len(sets)) for b in range(a) if not sets[a] and not sets[b]]
+    fps = [simhash.shingle_fingerprint((t or "").encode(), 5) for t in texts]
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4]
+    root = closed(pairs + near, len(texts))
+    assert len(set(closed(near, len(texts)))) > len(set(root))
+    kept = {r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs(spark, texts), "").collect()}
+    assert kept == set(root)
