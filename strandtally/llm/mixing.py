@@ -3,20 +3,23 @@
 Labelled documents train a classifier of soft domain membership: Gaussian class densities over a few
 measures of the text, among them hits of a lexicon of telling words.  The means and
 variances come from one aggregation over all labelled rows; the lexicon is fitted on a
-bounded sample of labelled rows (`lexicon_rows`).  Then projected gradient descent
-fits a nonnegative rate for each document so that the expected token totals of the domains,
+bounded sample of labelled rows (`lexicon_rows`).  Then a nonnegative rate is fitted
+for each document so that the expected token totals of the domains,
 sum over documents of rate * tokens * posterior, match the targets in least squares.
 
-A step needs the domain totals under the present rates: one aggregation over a
-narrow table.  As a rate depends only on the document's posteriors and the past totals,
-it is recomputed by an expression of the steps so far, and nothing is rewritten between steps.
+The minimum over all nonnegative rates has the form max(0, 1 - sum of price * posterior), with one price a
+domain.  So gradients are followed in the prices (Newton steps with the matrix of the documents between the
+bounds): a step needs one aggregation over a narrow table, and nothing is rewritten between
+steps.  Steps end when the targets are met; a miss that remains is reported by a warning.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,12 +135,14 @@ def fit_rates(member: DataFrame, domains: list[str], targets: dict[str, float],
 
     targets are the domains' shares of the token total (normalised over the domains present).  The total
     stays that of the input; with anchor, it is what keeps the domain with the greatest target whole.  The
-    loss adds a weak pull of all rates towards 1, which also makes the solution unique; `most` bounds the rates from above.
+    loss adds a weak pull of all rates towards 1, which also makes the solution unique; while the pull itself keeps a
+    domain off its target by more than `tolerance` (of the target, or of 0.01 if that is more), it is made ten times
+    weaker, until that no longer lowers the miss by a twentieth.  `most` bounds the rates from above, `steps` the steps for each pull.
     """
     p = [F.col(f"p_{d}") for d in domains]
     k = len(domains)
     tokens = F.col("n_tokens").cast("double")
-    sums = member.agg(F.sum(tokens).alias("n"), *[F.sum(tokens * x).alias(f"s{i}") for i, x in enumerate(p)], *[F.sum(tokens * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
+    sums = member.agg(F.sum(tokens).alias("n"), *[F.sum(tokens * x).alias(f"s{i}") for i, x in enumerate(p)]).first()
     total = sums["n"] or 0.0
     wanted = [targets.get(d, 0.0) for d in domains]
     if not total or not sum(wanted):
@@ -147,23 +152,60 @@ def fit_rates(member: DataFrame, domains: list[str], targets: dict[str, float],
         lead = max(range(k), key=lambda i: goal[i])
         goal = [g * (sums[f"s{lead}"] / total) / goal[lead] for g in goal]
         goal = [max(g, 1e-6) for g in goal]
-    # shares instead of totals; each miss is weighed by 1 / goal, and each document's step by 1 / tokens
-    weight = [1 / max(g, 0.01) for g in goal]
-    step = 1 / (max(sum(sums[f"m{i}_{j}"] / total * weight[j] for j in range(k)) for i in range(k)) + pull)
-    rate, share = F.lit(1.0), [sums[f"s{i}"] / total for i in range(k)]
-    for _ in range(steps):
-        miss = [(s - g) * w for s, g, w in zip(share, goal, weight, strict=True)]
-        slope = F.lit(-step * pull)
-        for x, m in zip(p, miss, strict=True):
-            slope = slope + x * F.lit(step * m)
-        rate = F.greatest(F.lit(0.0), rate * F.lit(1 - step * pull) - slope)
-        if most is not None:
-            rate = F.least(F.lit(float(most)), rate)
-        now = member.select(*p, "n_tokens", rate.alias("_r")).agg(*[F.sum(F.col("_r") * tokens * x).alias(f"s{i}") for i, x in enumerate(p)]).first()
-        before, share = share, [now[f"s{i}"] / total for i in range(k)]
-        if max(abs(a - b) * w for a, b, w in zip(before, share, weight, strict=True)) < tolerance:
+    # shares instead of totals; each miss is weighed by 1 / goal
+    goal = np.array(goal)
+    weight = 1 / np.maximum(goal, 0.01)
+
+    def rate_of(price: np.ndarray) -> tuple[Column, Column]:
+        """The rate, and the sum of price * posterior."""
+        cost = F.lit(0.0)
+        for x, y in zip(p, price, strict=True):
+            cost = cost + x * F.lit(float(y))
+        rate = F.greatest(F.lit(0.0), F.lit(1.0) - cost)
+        return (rate if most is None else F.least(F.lit(float(most)), rate)), cost
+
+    def totals(price: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Sum of the documents' losses at these prices, the domains' shares, and the matrix of the documents between the bounds."""
+        rate, cost = rate_of(price)
+        rows = member.select(*p, tokens.alias("_t"), rate.alias("_r"), cost.alias("_c"))
+        r, t = F.col("_r"), F.col("_t")
+        free = F.when((r > 0) & (F.lit(True) if most is None else r < float(most)), t).otherwise(F.lit(0.0))
+        cells = [F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i + 1)]
+        now = rows.agg(F.sum(t * ((r - 1) * (r - 1) / 2 + r * F.col("_c"))).alias("loss"), *[F.sum(t * r * x).alias(f"s{i}") for i, x in enumerate(p)], *cells).first()
+        matrix = np.array([[now[f"m{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]) / total
+        return now["loss"] / total, np.array([now[f"s{i}"] for i in range(k)]) / total, matrix
+
+    price, miss = np.zeros(k), math.inf
+    loss, share, matrix = totals(price)
+    while True:
+        start, old = price, miss
+        for _ in range(steps):
+            # the dual of the loss is concave in the prices; slope is its gradient
+            slope = share - goal - pull * price / weight
+            if np.max(np.abs(slope) * weight) <= tolerance / 10:
+                break
+            step = np.linalg.solve(matrix + np.diag(pull / weight), slope)
+            height = loss - price @ goal - pull / 2 * np.sum(price**2 / weight)
+            size = 1.0
+            while True:
+                new = price + size * step
+                found = totals(new)
+                rise = found[0] - new @ goal - pull / 2 * np.sum(new**2 / weight) - height
+                if rise >= 1e-4 * size * (slope @ step) - 1e-12 or size < 1e-6:
+                    break
+                size /= 2
+            price, (loss, share, matrix) = new, found
+        miss = float(np.max(np.abs(share - goal) * weight))
+        if miss <= tolerance:
             break
-    return member.withColumn("rate", rate)
+        if miss > 0.95 * old or pull < 1e-9:
+            price = start if miss > old else price
+            break
+        pull /= 10
+    miss = min(miss, old)
+    if miss > tolerance:
+        warnings.warn(f"targets are missed by up to {miss:.3g} of a target, which no nonnegative rates within the bound seem to mend", stacklevel=2)
+    return member.withColumn("rate", rate_of(price)[0])
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:

@@ -328,3 +328,23 @@ def test_pipeline_removes_copies_of_similarity_08(spark):
     assert len(set(closed(near, len(texts)))) > len(set(root))
     kept = {r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs(spark, texts), "").collect()}
     assert kept == set(root)
+
+
+@pytest.mark.parametrize("shares", [(0.4, 0.2, 0.3, 0.1), (0.2, 0.3, 0.3, 0.2), (0.02, 0.6, 0.08, 0.3)])
+@pytest.mark.parametrize("sure", [1.0, 0.9])
+def test_mixing_meets_targets_of_skewed_shares(spark, shares, sure):
+    names = list(mixing.DOMAINS)
+    rows = [(1000 * i + j, int(10_000 * s), *[sure if k == i else (1 - sure) / 3 * (j % 3) / 2 for k in range(4)]) for i, s in enumerate(shares) for j in range(20)]
+    rows = [(*r[:2], *[x / sum(r[2:]) for x in r[2:]]) for r in rows]
+    member = spark.createDataFrame(rows, "id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in names))
+    out = mixing.fit_rates(member, names, mixing.TARGETS).toPandas()
+    assert (out.rate >= 0).all()
+    for d in names:
+        got = (out.rate * out.n_tokens * out[f"p_{d}"]).sum() / out.n_tokens.sum()
+        assert abs(got - mixing.TARGETS[d]) < 0.002
+
+
+def test_mixing_reports_a_miss(spark):
+    member = spark.createDataFrame([(i, 100, 0.5, 0.5) for i in range(10)], "id long, n_tokens long, p_high_clean double, p_high_toxic double")
+    with pytest.warns(UserWarning, match="targets are missed"):
+        mixing.fit_rates(member, ["high_clean", "high_toxic"], mixing.TARGETS).count()
