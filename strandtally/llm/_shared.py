@@ -355,12 +355,17 @@ def whole_cells(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Itera
         held.append(batch)
         rows += batch.num_rows
         if rows >= least:
-            cells = batch.column(0).to_numpy(zero_copy_only=False)
-            cut = int(np.searchsorted(cells, cells[-1]))
-            if cut == 0 and held[0].column(0)[0].as_py() == cells[-1]:
+            last = batch.column(0)[-1].as_py()
+            # the last cell may begin in an earlier batch
+            k = len(held) - 1
+            while k and held[k].column(0)[0].as_py() == last and held[k - 1].column(0)[-1].as_py() == last:
+                k -= 1
+            cut = int(np.searchsorted(held[k].column(0).to_numpy(zero_copy_only=False), last))
+            if k == 0 and cut == 0:
                 continue
-            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
-            held, rows = [batch.slice(cut)], batch.num_rows - cut
+            yield pa.Table.from_batches([*held[:k], held[k].slice(0, cut)])
+            held = [held[k].slice(cut), *held[k + 1 :]]
+            rows = sum(h.num_rows for h in held)
     if held:
         yield pa.Table.from_batches(held)
 

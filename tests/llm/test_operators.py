@@ -348,3 +348,17 @@ def test_mixing_reports_a_miss(spark):
     member = spark.createDataFrame([(i, 100, 0.5, 0.5) for i in range(10)], "id long, n_tokens long, p_high_clean double, p_high_toxic double")
     with pytest.warns(UserWarning, match="targets are missed"):
         mixing.fit_rates(member, ["high_clean", "high_toxic"], mixing.TARGETS).count()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50])
+def test_cells_are_whole_whatever_the_batches(size):
+    import pyarrow as pa
+
+    from strandtally.llm._shared import whole_cells
+
+    cells = np.repeat(np.arange(30), [1, 9, 2, 17, 1] * 6)
+    batches = [pa.RecordBatch.from_arrays([pa.array(cells[i : i + size]), pa.array(np.arange(len(cells))[i : i + size])], names=["cell", "x"]) for i in range(0, len(cells), size)]
+    parts = list(whole_cells(iter(batches), least=10))
+    assert np.concatenate([p.column(1).to_numpy() for p in parts]).tolist() == list(range(len(cells)))
+    own = [set(p.column(0).to_pylist()) for p in parts]
+    assert sum(map(len, own)) == len(set().union(*own)) == 30
