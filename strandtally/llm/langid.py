@@ -1,180 +1,303 @@
 """Operator 4: language identification by prediction by partial matching.
 
 For each language a variable-order context tree over bytes is counted from
-labelled texts: contexts of `max_order` bytes and all shorter ones.  A symbol is
+labelled texts: contexts of `order` bytes and all shorter ones.  A symbol is
 coded in the longest known context; where it is new there, an escape (method C:
 as many escape counts as distinct symbols) leads to the next shorter context,
 with the symbols of the longer one excluded, and at last to the uniform code
 over the remaining byte values.  So the probabilities of a context sum to
 one and the code lengths are exact.  The counts are frozen after training.
 
-The frozen trees are laid out as one array of code lengths by (context, symbol,
-language); its size depends on the byte values in use and the languages, never on the number
-of documents, and is checked against `table_limit`.
+A tree is kept as sorted arrays of its contexts and their symbols; a context's symbols are
+a subset of those of its suffix, so exclusion needs no sets, but two sums a context.  Contexts with less than a
+2**-20th of their language's bytes are pruned, so a tree's size is bounded whatever the number of
+documents.  Languages are dealt over blocks of bounded size; each block is broadcast for one pass over the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandtally.llm._shared import chunks, table
+from strandtally.llm._shared import chunks, drop_written, table, written
 
-ORDER = 2
+ORDER = 3
 START = 256
 BASE = 257
 MERGE_ROWS = 2_000_000
+LEAST_SHARE = 2.0**-20
+BLOCK_ENTRIES = 8_000_000
+SCORED_BYTES = 1 << 20
+AT_ONCE = 8  # languages
 
 
-def context_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, gram, n): how often each byte occurs after its two predecessors, over all rows with a language.
+def ranked(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams (order + 1 symbols, to base BASE, START before each text), and for each byte the number of its gram."""
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    k = len(used) + 1
+    small = np.zeros(256, dtype=np.int64)
+    small[used] = np.arange(len(used))
+    symbol = small[data]
+    names = np.append(used, START)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    code, grams = np.zeros(len(data), np.int64), np.zeros(1, np.int64)
+    for back in range(order, -1, -1):
+        own = np.full(len(data), k - 1, dtype=np.int64)
+        own[back:] = symbol[: len(data) - back]
+        own[place < back] = k - 1
+        code = code * k + own
+        seen = np.zeros(len(grams) * k, dtype=bool)
+        seen[code] = True
+        found = np.flatnonzero(seen)
+        rank = np.zeros(len(seen), dtype=np.int32)
+        rank[found] = np.arange(len(found))
+        code, grams = rank[code].astype(np.int64), grams[found // k] * BASE + names[found % k]
+    return grams, code
 
-    gram = (first * 257 + second) * 257 + byte; 256 stands for the place before a text.
+
+def context_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """(lang, gram, n): how often each byte occurs after its `order` predecessors, over all rows with a language and a text.
+
+    gram has the symbols as digits to base 257; 256 stands for a place before a text.  Repeated rows count each.
     """
-    rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    if not 0 <= order <= 6:
+        raise ValueError("order must be from 0 to 6")
+    rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        rows_held = 0
 
         def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
             grams, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
             return grams, np.bincount(back, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                grams, n = merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
+            held.clear()
+
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             for lo, hi, data, offsets in chunks(batch.column(1), 4 << 20):
                 if not len(data):
                     continue
-                used = np.flatnonzero(np.bincount(data, minlength=256))
-                small = np.zeros(256, dtype=np.int32)
-                small[used] = np.arange(len(used))
-                k = len(used) + 1
-                grams = window_codes(small[data], offsets, k - 1, k)
-                which, codes = np.unique(langs[lo:hi].astype(str), return_inverse=True)
-                by_byte = np.repeat(codes, np.diff(offsets))
-                names = np.append(used, START)
+                grams, code = ranked(data, offsets, order)
+                which, own = np.unique(langs[lo:hi].astype(str), return_inverse=True)
+                seen, n = np.unique(np.repeat(own, np.diff(offsets)) * len(grams) + code, return_counts=True)
                 for i, lang in enumerate(which):
-                    n = np.bincount(grams[by_byte == i], minlength=k**3)
-                    at = np.flatnonzero(n)
-                    full = (names[at // (k * k)] * BASE + names[at // k % k]) * BASE + names[at % k]
-                    held.setdefault(str(lang), []).append((full, n[at]))
-                    if sum(len(g) for g, _ in held[str(lang)]) > MERGE_ROWS:
-                        held[str(lang)] = [merged(held[str(lang)])]
-        for lang, parts in held.items():
-            grams, n = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                    a, b = np.searchsorted(seen, [i * len(grams), (i + 1) * len(grams)])
+                    if a < b:
+                        held.setdefault(str(lang), []).append((grams[seen[a:b] - i * len(grams)], n[a:b]))
+                        rows_held += b - a
+                if rows_held > MERGE_ROWS:
+                    for lang in held:
+                        held[lang] = [merged(held[lang])]
+                    rows_held = sum(len(p[0][0]) for p in held.values())
+                    if rows_held > MERGE_ROWS // 2:
+                        yield from flushed()
+                        rows_held = 0
+        yield from flushed()
 
     return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def window_codes(symbols: np.ndarray, offsets: np.ndarray, start: int, k: int) -> np.ndarray:
-    """(two before, one before, this) as a number to base k; `start` stands before each text."""
-    n = len(symbols)
-    one = np.empty(n, dtype=np.int32)
-    two = np.empty(n, dtype=np.int32)
-    one[:1], two[:2] = start, start
-    one[1:], two[2:] = symbols[:-1], symbols[:-2]
-    first = offsets[:-1][np.diff(offsets) > 0]
-    one[first] = start
-    two[first] = start
-    second = first + 1
-    second = second[second < n]
-    two[second] = start
-    # a text of one byte is followed by another text's start, which was set above
-    two[first] = start
-    return (two * k + one) * k + symbols
+@dataclass
+class Tree:
+    """One language: by length of context the sorted contexts and grams, and what code lengths need of them.
+
+    total and kinds are a context's counts and distinct symbols; left and others are those of its suffix, once the symbols
+    seen after the context itself are excluded.
+    """
+
+    contexts: list[np.ndarray] = field(default_factory=list)
+    total: list[np.ndarray] = field(default_factory=list)
+    kinds: list[np.ndarray] = field(default_factory=list)
+    left: list[np.ndarray] = field(default_factory=list)
+    others: list[np.ndarray] = field(default_factory=list)
+    grams: list[np.ndarray] = field(default_factory=list)
+    counts: list[np.ndarray] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
+        """From (grams, counts) by length of context; grams are distinct."""
+        out = cls()
+        for j, (grams, counts) in enumerate(levels):
+            order = np.argsort(grams)
+            grams, counts = grams[order], counts[order]
+            contexts, first = np.unique(grams // BASE, return_index=True)
+            kinds = np.diff(np.append(first, len(grams)))
+            out.contexts.append(contexts)
+            out.total.append(np.add.reduceat(counts, first) if len(first) else counts)
+            out.kinds.append(kinds)
+            out.grams.append(grams)
+            out.counts.append(counts)
+            if j and len(first):
+                # every gram's suffix is a gram too, and every context's suffix a context
+                shorter = np.searchsorted(out.grams[j - 1], grams % BASE**j)
+                parent = np.searchsorted(out.contexts[j - 1], contexts % BASE ** (j - 1))
+                out.left.append(out.total[j - 1][parent] - np.add.reduceat(out.counts[j - 1][shorter], first))
+                out.others.append(out.kinds[j - 1][parent] - kinds)
+            else:
+                out.left.append(np.zeros(len(first), np.int64))
+                out.others.append(np.zeros(len(first), np.int64))
+        return out
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last symbol of each gram after the others."""
+        order = len(self.grams) - 1
+        out = np.zeros(len(grams))
+        open_ = np.ones(len(grams), dtype=bool)
+        left, others = np.full(len(grams), -1), np.zeros(len(grams), np.int64)  # of this level, if a longer context was known
+        for j in range(order, -1, -1):
+            own = grams % BASE ** (j + 1)
+            at, known = found(self.contexts[j], own // BASE)
+            gram, seen = found(self.grams[j], own)
+            total = np.where(left >= 0, left, self.total[j][at] if len(self.total[j]) else 0)
+            kinds = np.where(left >= 0, others, self.kinds[j][at] if len(self.kinds[j]) else 0)
+            now = open_ & known & (kinds > 0)
+            hit = now & seen
+            n = np.where(hit, self.counts[j][gram] if len(self.counts[j]) else 1, kinds)
+            out[now] += np.log2((total + kinds)[now]) - np.log2(n[now])
+            open_ &= ~hit
+            if j:
+                left = np.where(known, self.left[j][at] if len(self.left[j]) else -1, -1)
+                others = np.where(known, self.others[j][at] if len(self.others[j]) else 0, 0)
+        out[open_] += np.log2(max(1, 256 - len(self.grams[0])))
+        return out
+
+
+def found(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in a sorted array (0 if it is empty), and whether they are there."""
+    at = np.minimum(np.searchsorted(sorted_, values), max(0, len(sorted_) - 1))
+    return at, (sorted_[at] == values) if len(sorted_) else np.zeros(len(values), bool)
 
 
 @dataclass
 class Trees:
-    langs: list[str]
-    symbol: np.ndarray  # of each byte value
-    start: int
-    k: int
-    bits: np.ndarray  # code length by (context and symbol, language)
-
-
-def freeze(counts: DataFrame, table_limit: int = 1 << 28) -> Trees:
-    """The frozen trees from context_counts(); ValueError if the array would take over `table_limit` bytes."""
-    found = counts.toPandas()
-    langs = sorted(found["lang"].unique().tolist())
-    grams = found["gram"].to_numpy(dtype=np.int64)
-    bytes_seen = np.unique(grams % BASE)
-    a = len(bytes_seen)
-    k = a + 2  # the learned byte values, all others, and the place before a text
-    if k**3 * 4 * max(1, len(langs)) > table_limit:
-        raise ValueError(f"code table of {len(langs)} languages and {a} byte values exceeds {table_limit} bytes")
-    symbol = np.full(257, a, dtype=np.int32)
-    symbol[bytes_seen] = np.arange(a)
-    symbol[START] = a + 1
-    bits = np.empty((k**3, len(langs)), dtype=np.float32)
-    for i, lang in enumerate(langs):
-        own = (found["lang"] == lang).to_numpy()
-        g = grams[own]
-        two = np.zeros((k, k, k))
-        np.add.at(two, (symbol[g // (BASE * BASE)], symbol[g // BASE % BASE], symbol[g % BASE]), found["n"].to_numpy()[own])
-        one = two.sum(axis=0)
-        none = one.sum(axis=0)
-        two[a:, :, :] = 0  # contexts that reach before the text or hold an unlearned byte are unknown
-        two[:, a:, :] = 0
-        one[a:, :] = 0
-        p = np.zeros((k, k, k))
-        left = np.ones((k, k, 1))
-        out = np.zeros((k, k, k), dtype=bool)
-        for level in (two, one[None, :, :], none[None, None, :]):
-            free = np.where(out, 0.0, level)
-            total = free.sum(axis=2, keepdims=True)
-            kinds = (free > 0).sum(axis=2, keepdims=True)
-            share = np.where(total > 0, left / np.maximum(total + kinds, 1), 0.0)
-            p += share * free
-            left = np.where(total > 0, share * kinds, left)
-            out |= free > 0
-        rest = 256 - out.sum(axis=2, keepdims=True)
-        p = np.where(out, p, left / np.maximum(rest, 1))
-        bits[:, i] = -np.log2(np.maximum(p, 1e-300)).reshape(-1)
-    return Trees(langs, symbol[:256].copy(), a + 1, k, bits)
-
-
-def identify(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, lang_pred, score, bits_per_byte) for each row.
+    """The frozen model: its entries (lang, level, gram, n) in a table, and the languages in blocks."""
+
+    entries: DataFrame
+    blocks: list[list[str]]
+    order: int
+
+    @property
+    def langs(self) -> list[str]:
+        return sorted(x for b in self.blocks for x in b)
+
+    def block(self, i: int) -> dict[str, Tree]:
+        """One block's trees; their size is bounded by BLOCK_ENTRIES, or a single pruned tree."""
+        rows = self.entries.where(F.col("lang").isin(self.blocks[i])).toPandas()
+        out = {}
+        for lang in self.blocks[i]:
+            own = rows[rows["lang"] == lang]
+            out[lang] = Tree.of([(part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64)) for part in (own[own["level"] == j] for j in range(self.order + 1))])
+        return out
+
+
+def freeze(counts: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE, block_entries: int = BLOCK_ENTRIES) -> Trees:
+    """The frozen trees from context_counts(); pruned in Spark before anything reaches the driver."""
+    counts = written(counts, "grams")
+    sizes = counts.groupBy("lang").agg(F.sum("n").alias("size"))
+    levels = None
+    for j in range(order, -1, -1):
+        own = counts if j == order else counts.groupBy("lang", (F.col("gram") % BASE ** (j + 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        context = F.floor(F.col("gram") / F.lit(BASE)).cast("long") if j else F.lit(0).cast("long")
+        own = own.select("lang", F.lit(j).alias("level"), "gram", "n", context.alias("context"))
+        levels = own if levels is None else levels.unionByName(own)
+    # a longer context is never more frequent than its suffix, so pruning leaves whole trees
+    often = levels.groupBy("lang", "level", "context").agg(F.sum("n").alias("all")).join(sizes, "lang").where(F.col("all") >= F.col("size") * F.lit(least_share)).select("lang", "level", "context")
+    entries = written(levels.join(often, ["lang", "level", "context"]).select("lang", "level", "gram", "n"), "trees")
+    drop_written(counts)
+    blocks: list[list[str]] = []
+    room = 0
+    for r in entries.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect():  # one small row a language
+        if not blocks or room < r["n"]:
+            blocks.append([])
+            room = block_entries
+        blocks[-1].append(r["lang"])
+        room -= r["n"]
+    return Trees(entries, blocks, order)
+
+
+def scored(df: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
+    """df with its columns renamed to _c0, _c1, ..., and _lang, _score, _bits (a byte); names of its own never clash."""
+    names = df.columns
+    at = next(i for i, c in enumerate(names) if c.lower() == text_col.lower())
+    text = F.col(f"_c{at}").cast("string")
+    rows = df.toDF(*[f"_c{i}" for i in range(len(names))])
+    own = rows.columns
+    rows = rows.select(*own, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.lit(None).cast("string").alias("_lang"), F.lit(None).cast("double").alias("_least"), F.lit(0.0).alias("_mass"), F.coalesce(text, F.lit("")).alias("_text"))
+    schema, order = T.StructType(rows.schema.fields), trees.order
+
+    def passed(rows: DataFrame, block: int) -> DataFrame:
+        model = df.sparkSession.sparkContext.broadcast(trees.block(block))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = model.value
+            langs = sorted(own)
+            for batch in batches:
+                n_columns = batch.num_columns
+                for lo, hi, data, offsets in chunks(batch.column(n_columns - 1), SCORED_BYTES):
+                    n = hi - lo
+                    totals = np.zeros((n, len(langs)))
+                    if len(data):
+                        grams, code = ranked(data, offsets, order)
+                        full = np.flatnonzero(np.diff(offsets) > 0)
+                        for a in range(0, len(langs), AT_ONCE):
+                            bits = np.stack([own[x].bits(grams) for x in langs[a : a + AT_ONCE]], axis=1)
+                            totals[full, a : a + AT_ONCE] = np.add.reduceat(bits[code], offsets[:-1][full], axis=0)
+                    best = totals.argmin(axis=1)
+                    least = totals[np.arange(n), best]
+                    mass = np.exp2(-np.minimum(totals - least[:, None], 1000)).sum(axis=1)
+                    # what earlier blocks found; ties go to the first name, and blocks are in their order
+                    before = batch.column(n_columns - 3).slice(lo, n).to_numpy(zero_copy_only=False)
+                    was = batch.column(n_columns - 2).slice(lo, n).to_numpy(zero_copy_only=False)
+                    name = np.array(batch.column(n_columns - 4).slice(lo, n).to_pylist(), dtype=object)
+                    old = np.array(before, dtype=float)
+                    worse = np.isnan(old) | (old > least)
+                    low = np.where(worse, least, old)
+                    mass = mass * np.exp2(-np.minimum(least - low, 1000)) + np.where(np.isnan(old), 0, was * np.exp2(-np.minimum(np.nan_to_num(old) - low, 1000)))
+                    name = np.where(worse, np.array(langs, dtype=object)[best], name)
+                    out = [batch.column(i).slice(lo, n) for i in range(n_columns - 4)]
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(name.tolist(), pa.string()), pa.array(low), pa.array(mass), batch.column(n_columns - 1).slice(lo, n)], names=schema.names)
+
+        return rows.mapInArrow(score, schema)
+
+    for i in range(len(trees.blocks)):
+        rows = passed(written(rows, "scored") if i else rows, i)
+    good = F.col("_letter") & F.col("_lang").isNotNull()
+    return rows.select(*own, F.when(good, F.col("_lang")).otherwise("und").alias("_lang"), F.when(good, 1 / F.col("_mass")).otherwise(0.0).alias("_score"), F.coalesce(F.col("_least") / F.greatest(F.octet_length("_text"), F.lit(1)), F.lit(0.0)).alias("_bits"))
+
+
+def identify(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, bits_per_byte) for each row.
 
     score is the posterior of the chosen language under equal priors.  A text
     that is null or has no letter is `und` with score 0, as is every text if
-    no language has been learned.  Ties go to the first language by name.
+    no language has been learned.  Ties go to the first language by name.  Repeated rows, and rows with a null id, are rows like
+    any other.  Other columns are ignored.
     """
-    spark = df.sparkSession
-    model = spark.sparkContext.broadcast(trees)
-    text = F.col(text_col).cast("string")
-    rows = df.select(F.col(id_col), *keep, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.coalesce(text, F.lit("")).alias("_text"))
-    schema = rows.drop("_letter", "_text").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = model.value
-        for batch in batches:
-            letters = np.array(batch.column(batch.num_columns - 2).to_pylist(), dtype=bool)
-            for lo, hi, data, offsets in chunks(batch.column(batch.num_columns - 1)):
-                n = hi - lo
-                length = np.diff(offsets)
-                totals = np.zeros((n, max(1, len(t.langs))))
-                if len(data) and t.langs:
-                    codes = window_codes(t.symbol[data], offsets, t.start, t.k)
-                    full = np.flatnonzero(length > 0)
-                    totals[full] = np.add.reduceat(t.bits[codes], offsets[:-1][full], axis=0, dtype=np.float64)
-                best = totals.argmin(axis=1)
-                gap = totals - totals[np.arange(n), best][:, None]
-                sure = 1.0 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
-                good = letters[lo:hi] & bool(t.langs)
-                names = np.array([*t.langs, "und"], dtype=object)[np.where(good, best, len(t.langs))]
-                out = [batch.column(i).slice(lo, n) for i in range(batch.num_columns - 2)]
-                out += [pa.array(names.tolist(), pa.string()), pa.array(np.where(good, sure, 0.0)), pa.array(totals[np.arange(n), best] / np.maximum(length, 1))]
-                yield pa.RecordBatch.from_arrays(out, names=schema.names)
-
-    return rows.mapInArrow(score, schema)
+    rows = scored(df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")), trees, "_text")
+    return rows.select(F.col("_c0").alias(id_col), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_bits").alias("bits_per_byte"))
+
+
+def recognised(df: DataFrame, trees: Trees, text_col: str = "text", least: float = 0.5, most_bits: float = 8.0) -> DataFrame:
+    """The rows of df, all columns as they are, whose language is told.
+
+    Rows go if their text is null or has no letter, if the posterior is below `least`, or if the best language's code takes
+    `most_bits` a byte or more: no learned language tells more of such a text than its plain bytes.
+    """
+    rows = scored(df, trees, text_col)
+    kept = rows.where((F.col("_lang") != "und") & (F.col("_score") >= least) & (F.col("_bits") < most_bits))
+    return kept.drop("_lang", "_score", "_bits").toDF(*df.columns)
 
 
 def held_out(id_col: str, parts: int, which: int) -> Column:
@@ -185,5 +308,5 @@ def held_out(id_col: str, parts: int, which: int) -> Column:
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = freeze(context_counts(docs.where(~held_out("doc_id", 4, 2))))
-    found = identify(docs, trees)
-    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    found_ = identify(docs, trees)
+    return found_.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")

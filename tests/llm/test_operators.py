@@ -37,21 +37,91 @@ def test_bpe_equals_the_library(spark):
         assert rows[i]["decoded"] == lib.decode(ids, skip_special_tokens=False)
 
 
-def test_language_by_ppm(spark):
+class BrutePpm:
+    """Prediction by partial matching with escape method C and exclusion, by dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order, self.after = order, {}
+        for t in texts:
+            for i, c in enumerate(t):
+                for j in range(order + 1):
+                    own = self.after.setdefault(self.context(t, i, j), {})
+                    own[c] = own.get(c, 0) + 1
+
+    def context(self, t, i, j):
+        return tuple(t[q] if q >= 0 else None for q in range(i - j, i))
+
+    def probability(self, t, i, c):
+        gone, left = set(), 1.0
+        for j in range(self.order, -1, -1):
+            own = {s: n for s, n in self.after.get(self.context(t, i, j), {}).items() if s not in gone}
+            if not own:
+                continue
+            whole = sum(own.values()) + len(own)
+            if c in own:
+                return left * own[c] / whole
+            left *= len(own) / whole
+            gone |= set(own)
+        return left / (256 - len(gone))
+
+    def bits(self, t):
+        return -sum(np.log2(self.probability(t, i, c)) for i, c in enumerate(t))
+
+
+@pytest.mark.parametrize("order", [0, 2, 3])
+def test_language_by_ppm(spark, order):
     text = {"en": "the cat and the dog went to the house with them ", "de": "der hund und die katze gingen in das haus "}
-    rows = [text["en" if i % 2 else "de"] * (1 + i % 3) for i in range(40)] + ODD
-    langs = ["en" if i % 2 else "de" for i in range(40)] + [None] * len(ODD)
+    rows = [text["en" if i % 2 else "de"] * (1 + i % 3) for i in range(40)] + ODD + ["ein cat ü", "\u4f60\u597d", "zzz"]
+    langs = ["en" if i % 2 else "de" for i in range(40)] + [None] * (len(ODD) + 3)
     own = docs(spark, rows, langs)
-    trees = langid.freeze(langid.context_counts(own))
-    total = np.exp2(-trees.bits.reshape(trees.k, trees.k, trees.k, -1).astype(float))
-    # codes of all learned bytes and of each other byte sum to one in every context
-    known = trees.k - 2
-    assert np.allclose(total[:, :, :known].sum(axis=2) + (256 - known) * total[:, :, known], 1, atol=1e-5)
+    own = own.unionByName(own.where("doc_id is null or doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    trees = langid.freeze(langid.context_counts(own, order=order), order)
+    assert trees.langs == ["de", "en"]
     found = {r["doc_id"]: r for r in langid.identify(own, trees).collect()}
-    assert all(found[i]["lang_pred"] == langs[i] for i in range(40))
-    assert [found[40 + i]["lang_pred"] for i in range(3)] == ["und"] * 3
+    assert not order or all(found[i]["lang_pred"] == langs[i] for i in range(40))
+    assert [found[40 + i]["lang_pred"] for i in range(3)] == ["und"] * 3 and found[None]["lang_pred"] == "en"
+    brute = {x: BrutePpm([(r or "").encode() for r, y in zip([*rows, rows[3]], [*langs, langs[3]], strict=True) if y == x], order) for x in ("de", "en")}
+    for i in (0, 1, 2, 43, 45, 48, 49, 50):
+        t = rows[i].encode()
+        bits = {x: b.bits(t) for x, b in brute.items()}
+        best = min(sorted(bits), key=bits.get)
+        assert found[i]["lang_pred"] == best and abs(found[i]["bits_per_byte"] * len(t) - bits[best]) < 1e-9 * max(1, bits[best])
+        assert abs(found[i]["score"] - 1 / sum(2.0 ** (bits[best] - x) for x in bits.values())) < 1e-9
+    # the codes of all byte values sum to one in every context
+    tree = trees.block(0)["en"]
+    for prefix in (b"the", b"", b"qq", b"t"):
+        gram = 0
+        for s in ([langid.START] * order + list(prefix))[len(prefix) :]:
+            gram = gram * langid.BASE + s
+        assert abs(np.exp2(-tree.bits(gram * langid.BASE + np.arange(256))).sum() - 1) < 1e-9
     none = langid.identify(own, langid.freeze(langid.context_counts(own.where("false")))).collect()
-    assert {r["lang_pred"] for r in none} == {"und"}
+    assert {r["lang_pred"] for r in none} == {"und"} and len(none) == len(rows) + 1
+    assert langid.identify(own.where("false"), trees).count() == 0
+
+
+def test_language_of_two_hundred(spark):
+    rng = np.random.default_rng(12)
+    langs = [f"l{i:03d}" for i in range(200)]
+    vocab = {x: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéüñß"), int(rng.integers(2, 8)))) for _ in range(12)] for x in langs}
+    rows = [" ".join(rng.choice(vocab[x], 30)) for x in langs for _ in range(3)]
+    own = docs(spark, rows, [x if j < 2 else None for x in langs for j in range(3)])
+    counts = langid.context_counts(own)
+    one = langid.freeze(counts)
+    many = langid.freeze(counts, block_entries=15_000)
+    assert len(one.blocks) == 1 and len(many.blocks) > 3
+    a, b = ({r["doc_id"]: r for r in langid.identify(own, t).collect()} for t in (one, many))
+    for i in range(len(rows)):
+        assert a[i]["lang_pred"] == b[i]["lang_pred"] == langs[i // 3]
+        assert abs(a[i]["score"] - b[i]["score"]) < 1e-9 and a[i]["bits_per_byte"] == b[i]["bits_per_byte"]
+    brute = BrutePpm([r.encode() for r, i in zip(rows, range(len(rows)), strict=True) if i // 3 == 7 and i % 3 < 2], langid.ORDER)
+    assert abs(a[23]["bits_per_byte"] * len(rows[23].encode()) - brute.bits(rows[23].encode())) < 1e-9 * 1000
+
+
+def test_language_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = [r for r in langid.op4_language(spark, d).collect() if r["held_out"] and truth[r["doc_id"]] is not None]
+    assert len(rows) > 200 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in rows) >= 0.99 * len(rows)
 
 
 def closed(pairs, n):
