@@ -8,6 +8,7 @@ take part in every stage; stages that decide by id keep them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandtally.llm import bpe, langid, mixing, secrets, similar, simhash
@@ -15,22 +16,23 @@ from strandtally.llm._shared import table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised; those without letters, or with a posterior below one half, go."""
+    """Keeps documents whose language is recognised; those without letters, with a posterior below one half, or told no better than byte by byte, go."""
     trees = langid.freeze(langid.context_counts(docs.where(~langid.held_out("doc_id", 4, 2))))
-    found = langid.identify(docs, trees, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
+    return langid.recognised(docs, trees)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates, once if its row is repeated.
+    """Keeps the document with the smallest id of each group of near-duplicates, once if its row is repeated (of different rows with one id, the first by text).
 
     Links are those of SimHash, and all others of a similarity of 0.8 or more of the sets of five-word shingles.
     """
     found = simhash.near_duplicates(docs, width=5)
     links = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     gone = similar.similar_components(docs, links).where("node <> root").select(F.col("node").alias("doc_id"))
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    rest = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    named = kept.withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy("text", *rest))).where("_place = 1")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
