@@ -49,11 +49,34 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes a table made by written() that nothing will read again."""
+    drop_path(df.sparkSession, df.shared_path)
+
+
+def stored(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like written(), but as a table bucketed by key, so that joins with it by the key move the other side only."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.shared_path, out.table_name = path, name
+    return out
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Deletes a table made by stored()."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark.sql(f"DROP TABLE IF EXISTS {df.table_name}")
+    drop_path(spark, df.shared_path)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

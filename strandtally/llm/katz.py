@@ -1,43 +1,48 @@
 """Operator 1: language-model scores by Katz backoff.
 
-Word bigrams back off to words, and words to one class of unknown words:
+N-grams of `order` words back off, one word at a time, down to words, and those to one class of unknown words:
 
     P(w | h) = d(c(h w)) c(h w) / c(h)   if h w was seen
-             = a(h) P(w)                 otherwise
+             = a(h) P(w | h')            otherwise (h' is h without its oldest word; a(h) = 1 if h is new)
     P(w)     = d(c(w)) c(w) / N          if w was seen, else P(unknown)
 
-d are Good-Turing discounts for counts up to K (absolute discounting where the
+d are Good-Turing discounts for counts up to K, one set for each order (absolute discounting where the
 counts of counts don't allow them), P(unknown) is the mass that the discounts free, and
 a(h) makes the probabilities after h sum to one over the vocabulary and the unknown class:
-a(h) = (1 - sum of the seen) / (1 - sum of P(w) over the seen).  Where nothing is
+a(h) = (1 - sum of the seen) / (1 - sum of P(w | h') over the seen).  Where nothing is
 discounted, one is added to the denominator, so that some mass is free.
 
-Tables are partitioned by hash.  Documents stay on shelves (see _shared.shelve); a
-shelf sends its distinct n-grams with their training counts to the partitions that own
-them, and gets the corpus counts back, so frequent n-grams cost a shelf one entry.
-Contexts are whole in one partition, but for frequent ones, which are dealt by
-bigram and whose sums (for at most FREQUENT contexts) are broadcast.
+Words are known by 64-bit hashes and get numbers, frequent ones small ones.  Documents stay on shelves (packs of texts
+as numbers); for each order, a shelf sends its distinct n-grams with their training counts to the buckets that own their
+contexts, and gets the corpus counts back, so a frequent n-gram costs a shelf one entry.  A bucket writes what it counted as a
+part of the model's tables (see Model).  Contexts are whole in one bucket, but for frequent ones (over an N / FREQUENT of
+all tokens, so at most FREQUENT of an order), which are dealt by n-gram and whose sums are aggregated and broadcast.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandtally.llm._shared import (
+    chunks,
+    drop_path,
+    drop_stored,
+    drop_written,
     mix64,
     release,
-    shelve,
+    shared_dir,
     split_buckets,
     squeeze,
+    stored,
     table,
-    unshelve,
     unsqueeze,
     word_hashes,
     words,
@@ -46,10 +51,13 @@ from strandtally.llm._shared import (
 from strandtally.llm.langid import held_out
 
 K = 5
+ORDER = 3
 SHELF_BYTES = 8 << 20
-BUCKET_WORDS, LEAST_BUCKETS = 1_000_000, 64
-FREQUENT = 1_000_000
-END, START = mix64(np.array([1, 2], dtype=np.uint64))
+BUCKET_WORDS, LEAST_BUCKETS = 2_000_000, 64
+FREQUENT = 20_000
+ROUNDS = 2
+END = mix64(np.array([1], dtype=np.uint64))[0]
+UNKNOWN, START, FIRST_WORD = 0, 1, 2
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -61,7 +69,7 @@ def discounts(n: np.ndarray) -> np.ndarray:
         r = np.arange(1, K + 1)
         tail = (K + 1) * n[K + 1] / n[1]
         found = ((r + 1) * n[2 : K + 2] / n[1 : K + 1] / r - tail) / (1 - tail)
-    if np.isfinite(found).all() and (found > 0).all() and (found <= 1).all():
+    if np.isfinite(found).all() and (found > 0).all() and (found < 1).all():
         out[1 : K + 1] = found
     elif n[1] > 0:
         b = n[1] / (n[1] + 2 * n[2])
@@ -94,220 +102,503 @@ class Words:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.kinds + 1)))
 
 
-def sums_after(d: np.ndarray, of_counts: np.ndarray, total: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts: the denominator, and a(h).  of_counts: (K, contexts), the numbers of bigrams seen 1..K times; lower: sum of P(w) over the seen."""
+def wholes(d: np.ndarray, total: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """Denominators of contexts; small: whether any n-gram was seen 1..K times."""
+    return total + ~(small & (d[1] < 1))
+
+
+def weights(d: np.ndarray, total: np.ndarray, of_counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """a(h) of contexts.  of_counts: (K, contexts), the numbers of n-grams seen 1..K times; lower: sum of P(w | h') over the seen."""
     lost = sum((1 - d[r]) * r * of_counts[r - 1] for r in range(1, K + 1))
-    extra = lost <= 1e-9 * np.maximum(total, 1)
-    whole = total + extra
-    with np.errstate(all="ignore"):
-        weight = (lost + extra) / whole / (1 - lower)
-    return whole, np.where(total > 0, weight, 1.0)
+    whole = wholes(d, total, of_counts.sum(axis=0) > 0)
+    return (lost + (whole - total)) / whole / (1 - lower)
+
+
+def joint(columns: list[np.ndarray]) -> np.ndarray:
+    """One number for each row of nonnegative columns, in their order."""
+    code = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        width = int(c.max(initial=0)) + 1
+        if (int(code.max(initial=0)) + 1) * width >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+        code = code * width + c
+    return code
+
+
+def heads(codes: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+
+
+@dataclass
+class Level:
+    """A shelf's distinct n-grams of one order: the context (an n-gram of the order below), the last word's slot, and the n-gram without its oldest word."""
+
+    at: np.ndarray  # of each padded place, -1 where none ends
+    context: np.ndarray
+    last: np.ndarray
+    suffix: np.ndarray
+    pairs: np.ndarray  # in training, on this shelf
+    asked: np.ndarray
+    known: np.ndarray  # in training, in all
+    order: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    whole: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # by context
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 class Shelf:
-    """A shelf's tokens: words and an end for each document."""
+    """A shelf's tokens: words and an end for each document, as places in the shelf's own list of words."""
 
     def __init__(self, row: dict):
-        self.ids, self.none, data, offsets = unshelve(row["ids"], row["ends"], row["texts"])
-        self.train = unsqueeze(row["ids"])[2].astype(bool)
+        self.ids, none, train = unsqueeze(row["ids"])
+        self.none, self.train = none.astype(bool), train.astype(bool)
+        self.size = unsqueeze(row["sizes"])[0]
+        self.kinds = np.frombuffer(row["kinds"], np.uint64)
+        self.counts, (self.tokens,) = unsqueeze(row["counts"])[0], unsqueeze(row["tokens"])
+
+    @staticmethod
+    def packed(number: int, ids: np.ndarray, none: np.ndarray, train: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list:
         starts, ends, first = words(data, offsets)
         n = len(first) - 1
-        self.first = first + np.arange(n + 1)  # each document's first token
         owner = np.repeat(np.arange(n), np.diff(first))
+        size = np.diff(first) + 1
         tokens = np.empty(len(starts) + n, dtype=np.uint64)
         tokens[np.arange(len(starts)) + owner] = word_hashes(data, starts, ends, lower=True)
-        tokens[self.first[1:] - 1] = END
-        del data, offsets, starts, ends, owner
-        self.in_training = np.repeat(self.train, np.diff(self.first))
-        self.kinds, self.kind = np.unique(tokens, return_inverse=True)
-        self.counts = np.bincount(self.kind, weights=self.in_training, minlength=len(self.kinds)).astype(np.int64)
+        tokens[np.cumsum(size) - 1] = END
+        kinds, at, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which pack well
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        at = rank[at]
+        seen = np.bincount(at, weights=np.repeat(train, size), minlength=len(kinds)).astype(np.int64)
+        return [number, squeeze(ids, none, train), squeeze(size, plain=True), kinds[order].tobytes(), squeeze(seen, plain=True), squeeze(at, plain=True), len(tokens)]
 
     def owners(self, buckets: int) -> np.ndarray:
         return (self.kinds % np.uint64(buckets)).astype(np.int64)
 
-    def learn(self, replies: list[dict], buckets: int) -> None:
-        """Takes the corpus counts of the words; the last one is the start's, seen as often as the end."""
-        self.known = np.zeros(len(self.kinds) + 1, dtype=np.int64)
-        got = {r["bucket"]: r["counts"] for r in replies}
+    def learn(self, replies: list[dict], buckets: int, order: int) -> None:
+        """Takes the words' numbers and corpus counts; slots are the shelf's words, then one for unknown words and one for starts."""
+        n = len(self.kinds)
+        self.names, self.known = np.zeros(n + 2, np.int64), np.zeros(n + 2, np.int64)
+        got = {r["bucket"]: r["a"] for r in replies}
         for b, at in split_buckets(self.owners(buckets), buckets):
-            self.known[at] = unsqueeze(got[b])[0]
-        self.known[-1] = self.known[np.searchsorted(self.kinds, END)] if len(self.kinds) else 0
-
-    def pair(self, buckets: int, frequent: int) -> None:
-        """Distinct bigrams (context, word), sorted; and the partition of each."""
-        before = np.empty(len(self.kind), dtype=np.int64)
-        before[1:] = self.kind[:-1]
-        before[self.first[:-1]] = len(self.kinds)
-        width = len(self.kinds) + 1
-        codes, self.bigram = np.unique(before * width + self.kind, return_inverse=True)
-        self.context, self.word = codes // width, codes % width
-        self.pairs = np.bincount(self.bigram, weights=self.in_training, minlength=len(codes)).astype(np.int64)
-        names = np.append(self.kinds, START)
-        hot = self.known[self.context] > frequent
-        mixed = mix64(names[self.context] * np.uint64(3) + names[self.word])
-        self.hot, self.names = hot, names
-        self.owner = (np.where(hot, mixed, names[self.context] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-
-    def runs(self, at: np.ndarray) -> np.ndarray:
-        """Where a new context begins among these bigrams."""
-        c = self.context[at]
-        return np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
-
-
-def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            self.names[at], self.known[at] = unsqueeze(got[b])
+        self.names[n], self.names[n + 1] = UNKNOWN, START
+        end = np.flatnonzero(self.kinds == END)
+        self.known[n + 1] = self.known[end[0]] if len(end) else 0
+        slot = np.where(self.known[:-1] > 0, np.arange(n + 1), n)
+        # each document behind order - 1 starts
+        pad = order - 1
+        length = self.size + pad
+        first = np.cumsum(length) - length
+        self.place = np.arange(length.sum()) - np.repeat(first, length)
+        self.real = self.place >= pad
+        self.slots = np.full(len(self.place), n + 1)
+        self.slots[self.real] = slot[self.tokens]
+        self.counted = self.real & np.repeat(self.train, length)
+        self.levels = [Level(self.slots, np.zeros(0, int), np.arange(n + 2), np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool), self.known)]
+
+    def deepen(self) -> Level:
+        """The n-grams of the next order."""
+        below, n = self.levels[-1], len(self.levels)
+        places = np.flatnonzero(self.place >= n)
+        width = len(self.names)
+        codes, lead, back = np.unique(below.at[places - 1] * width + self.slots[places], return_index=True, return_inverse=True)
+        at = np.full(len(self.place), -1)
+        at[places] = back
+        context, last = codes // width, codes % width
+        real = np.bincount(back, weights=self.real[places], minlength=len(codes)) > 0
+        pairs = np.bincount(back, weights=self.counted[places], minlength=len(codes)).astype(np.int64)
+        # what ends before a text is starts alone, which stand before every document
+        known = np.where(real, 0, self.known[-1])
+        level = Level(at, context, last, below.at[places[lead]], pairs, real & (below.known[context] > 0), known)
+        level.whole, level.weight = np.zeros(len(below.known), np.int64), np.ones(len(below.known))
+        self.levels.append(level)
+        return level
+
+    def columns(self, n: int, context: np.ndarray) -> list[np.ndarray]:
+        """The numbers of the words of contexts (n-grams of order n), the latest first."""
+        out = []
+        for level in self.levels[n - 1 :: -1]:
+            out.append(self.names[level.last[context]])
+            context = level.context[context] if len(level.context) else context
+        return out
+
+    def deal(self, level: Level, buckets: int, frequent: int) -> None:
+        """The order in which asked n-grams are sent, their buckets, and whether their contexts are frequent."""
+        n = len(self.levels) - 1
+        asked = np.flatnonzero(level.asked)
+        context, word = level.context[asked], self.names[level.last[asked]]
+        columns = self.columns(n, context)
+        by_context = np.zeros(len(asked), np.uint64)
+        for c in columns:
+            by_context = mix64(by_context * np.uint64(3) + c.astype(np.uint64) + np.uint64(1))
+        hot = self.levels[n - 1].known[context] > frequent
+        owner = (np.where(hot, mix64(by_context + word.astype(np.uint64)), by_context) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(joint([*columns, word]), kind="stable")
+        level.order, level.owner, level.hot = asked[order], owner[order], hot[order]
+
+    def probabilities(self, d: list[np.ndarray], one: Words) -> np.ndarray:
+        """P of the token at each real place, by recursion over the orders."""
+        p = one.probability(self.levels[0].known)
+        for level, own in zip(self.levels[1:], d, strict=True):
+            with np.errstate(all="ignore"):
+                seen = own[np.minimum(level.known, K + 1)] * level.known / level.whole[level.context]
+            p = np.where(level.asked & (level.known > 0), seen, level.weight[level.context] * p[level.suffix])
+        return p[self.levels[-1].at[self.real]]
+
+
+@dataclass
+class Model:
+    """A model's tables under `path`, each in parts by bucket.
+
+    words (bucket, a: hashes, numbers and counts); for each order n: grams (bucket, a: the contexts' columns and where their
+    n-grams begin, b: words and counts, contexts in order) and weights (bucket, a: totals, b: a(h), in the order of grams' contexts);
+    hot (key, total, weight): the frequent contexts.  grams() and contexts() spell them out as rows.
+    """
+
+    path: str
+    order: int
+    one: Words
+    d: list[np.ndarray] = field(default_factory=list)
+    rounds: list[int] = field(default_factory=list)
+
+    def grams(self, spark: SparkSession, n: int) -> DataFrame:
+        """(w1..wn, count): the n-grams of order n seen in training, as numbers of words, the latest word of the context first and the word itself last."""
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    new, *columns = unsqueeze(row["a"])
+                    word, count = unsqueeze(row["b"])
+                    runs = np.diff(np.append(new, len(word)))
+                    yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(c, runs)) for c in columns], pa.array(word), pa.array(count)], names=[*[f"w{i + 1}" for i in range(n)], "count"])
+
+        rows = spark.read.schema("a binary, b binary").parquet(*[f"{self.path}/{n}-{r}/part=grams" for r in range(self.rounds[n - 2])])
+        return rows.select("a", "b").mapInArrow(spell, ", ".join(f"w{i + 1} long" for i in range(n)) + ", count long")
+
+    def contexts(self, spark: SparkSession, n: int) -> DataFrame:
+        """(w1.., total, weight): the contexts of n-grams of order n, frequent ones too, with c(h) and a(h)."""
+        names = [f"w{i + 1}" for i in range(n - 1)]
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    (total,) = unsqueeze(row["totals"])
+                    columns = unsqueeze(row["a"])[1:]
+                    whole = total > 0
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c[whole]) for c in columns], pa.array(total[whole]), pa.array(np.frombuffer(row["weights"], np.float64)[whole])], names=[*names, "total", "weight"])
+
+        paths = [f"{self.path}/{n}-{r}" for r in range(self.rounds[n - 2])]
+        grams = spark.read.schema("bucket long, a binary").parquet(*[f"{p}/part=grams" for p in paths])
+        rows = grams.join(spark.read.schema("bucket long, totals binary, weights binary").parquet(*[f"{p}/weights" for p in paths]), "bucket")
+        schema = ", ".join(f"{c} long" for c in names) + ", total long, weight double"
+        hot = spark.read.parquet(f"{self.path}/{n}-hot").select(*[F.get("key", F.lit(i)).alias(c) for i, c in enumerate(names)], "total", "weight")
+        return rows.select("a", "totals", "weights").mapInArrow(spell, schema).unionByName(hot)
+
+
+PARTS = "part string, bucket long, shelf long, a binary, b binary, c binary, stats array<long>, lower double"
+PART_TYPES = pa.schema([("part", pa.string()), ("bucket", pa.int64()), ("shelf", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("stats", pa.list_(pa.int64())), ("lower", pa.float64())])
+
+
+def parts_of(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, PART_TYPES)
+
+
+def batch_of(rows: list[tuple], names: str) -> pa.RecordBatch:
+    kinds = {"bucket": pa.int64(), "shelf": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds.get(n, pa.binary())) for n, x in zip(names.split(), zip(*rows, strict=True), strict=True)], names=names.split())
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for own in parts[1:]:
+        out = out.unionByName(own)
+    return out
+
+
+def summed(parts: DataFrame, n: int) -> list[int]:
+    sums = parts.where("part = 'stats'").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(n)]).first()
+    return [int(x or 0) for x in sums]
+
+
+def shelved(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        task, number = TaskContext.get().partitionId(), 0
+        names = ["shelf", "ids", "sizes", "kinds", "counts", "tokens", "n_tokens"]
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, number
+            ids, none, train, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            row = Shelf.packed(task << 33 | number, ids, none, train, data, np.concatenate([[0], np.cumsum(sizes)]))
+            held, number = [], number + 1
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=names)
+
+        for batch in batches:
+            none = np.asarray(batch.column(0).is_null())
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            flags = batch.column(2).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets in chunks(batch.column(1), SHELF_BYTES):
+                if held and sum(len(h[4]) for h in held) + len(data) > SHELF_BYTES:
+                    yield flush()
+                held.append((ids[lo:hi], none[lo:hi], flags[lo:hi], np.diff(offsets), data.copy()))
+        if held:
+            yield flush()
+
+    return stored(rows.mapInArrow(pack, "shelf long, ids binary, sizes binary, kinds binary, counts binary, tokens binary, n_tokens long"), "shelf", "shelves")
+
+
+def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, model_path: str | None = None) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) for each row, learning from the rows where train is true.
 
     Tokens are the words, with A-Z lower-cased, and one end; a null text is empty.  score is
     log10 of the model's probability of the text, with words unknown to training as one class;
     base_score the additively smoothed one of single words.  Without training rows train_tokens is 0, base_score counts all
-    words as unseen, and so does score.  Repeated rows are scored, and learned from, each.  Other columns are ignored.
+    words as unseen, and so does score.  Repeated rows are scored, and learned from, each; a null id is a row like any other.
+    Other columns are ignored.  The model's tables (see Model) stay under model_path if one is named, and go otherwise.
     """
+    if order < 1:
+        raise ValueError("order must be at least 1")
     spark = df.sparkSession
-    shelves = shelve(df, id_col, text_col, SHELF_BYTES, train)
-    size = shelves.agg(F.sum("n_words")).first()[0] or 0
+    path = model_path or f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
+    shelves = shelved(df, train, id_col, text_col)
+    size = shelves.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_WORDS))
-
-    # single words
-    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = Shelf(row)
-                out = [(b, row["shelf"], s.kinds[at].tobytes(), squeeze(s.counts[at], plain=True)) for b, at in split_buckets(s.owners(buckets), buckets)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shelf", "grams", "counts"])
-
-    def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-        counts = np.concatenate([unsqueeze(x)[0] for x in pdf["counts"]])
-        _, back = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(back, weights=counts).astype(np.int64)
-        cut = np.cumsum([len(g) for g in grams])[:-1]
-        stats = [int(total.sum()), int((total > 0).sum()), *[int((total == r).sum()) for r in range(1, K + 2)]]
-        bucket = int(pdf["bucket"].iloc[0])
-        rows = [(bucket, s, squeeze(c, plain=True), None) for s, c in zip(pdf["shelf"], np.split(total[back], cut), strict=True)]
-        return pd.DataFrame([*rows, (bucket, -1, None, stats)], columns=["bucket", "shelf", "counts", "stats"])
-
-    asked = shelves.mapInArrow(ask_words, "bucket long, shelf long, grams binary, counts binary")
-    known = written(asked.groupBy("bucket").applyInPandas(count_words, "bucket long, shelf long, counts binary, stats array<long>"), "words")
-    del asked
+    known = counted_words(shelves, buckets, f"{path}/1")
     release(spark)
-    sums = known.where("shelf = -1").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(K + 3)]).first()
-    stats = [int(x or 0) for x in sums]
+    stats = summed(known, K + 3)
     one = Words.of(stats[0], stats[1], np.array([0, *stats[2:]]))
     frequent = max(one.total // FREQUENT, BUCKET_WORDS // 8)
-    by_shelf = known.where("shelf >= 0").groupBy("shelf").agg(F.collect_list(F.struct("bucket", "counts")).alias("words"))
-
-    # bigrams
-    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = Shelf(row)
-                s.learn(row["words"], buckets)
-                s.pair(buckets, frequent)
-                out = []
-                for b, at in split_buckets(s.owner, buckets):
-                    new = s.runs(at)
-                    word = s.names[s.word[at]]
-                    out.append((b, row["shelf"], s.names[s.context[at[new]]].tobytes(), squeeze(new, s.hot[at[new]]), word.astype(np.uint32).tobytes(), (word >> np.uint64(32)).astype(np.uint8).tobytes(), squeeze(s.known[s.word[at]], s.pairs[at], plain=True)))
-                    if len(out) == 16:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "shelf", "contexts", "runs", "low", "high", "counts"])
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "shelf", "contexts", "runs", "low", "high", "counts"])
-
-    def count_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        contexts = [np.frombuffer(x, np.uint64) for x in pdf["contexts"]]
-        runs = [unsqueeze(x) for x in pdf["runs"]]
-        low = [np.frombuffer(x, np.uint32) for x in pdf["low"]]
-        names, context = np.unique(np.concatenate(contexts), return_inverse=True)
-        hot = np.zeros(len(names), dtype=bool)
-        hot[context] = np.concatenate([r[1] for r in runs]).astype(bool)
-        lengths = np.concatenate([np.diff(np.append(r[0], len(x))) for r, x in zip(runs, low, strict=True)])
-        code = np.repeat(context, lengths) << 40
-        code |= np.concatenate(low).astype(np.int64)
-        code |= np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["high"]]).astype(np.int64) << 32
-        counts = [unsqueeze(x) for x in pdf["counts"]]
-        codes, lead, back = np.unique(code, return_index=True, return_inverse=True)
-        del code
-        n = np.bincount(back, weights=np.concatenate([c[1] for c in counts])).astype(np.int64)
-        word = one.probability(np.concatenate([c[0] for c in counts])[lead])
-        owner = codes >> 40
-        rows = len(names)
-        of_counts = [np.bincount(owner[n == r], minlength=rows) for r in range(1, K + 1)]
-        total = np.bincount(owner, weights=n, minlength=rows).astype(np.int64)
-        lower = np.bincount(owner, weights=np.where(n > 0, word, 0.0), minlength=rows)
-        bucket = int(pdf["bucket"].iloc[0])
-        out, at, ct = [], 0, 0
-        for shelf, own, x in zip(pdf["shelf"], contexts, low, strict=True):
-            i = context[ct : ct + len(own)]
-            out.append((bucket, shelf, squeeze(n[back[at : at + len(x)]], plain=True), squeeze(total[i], *[c[i] for c in of_counts], plain=True), lower[i].tobytes(), None))
-            at, ct = at + len(x), ct + len(own)
-        out.append((bucket, -1, None, None, None, [int((n == r).sum()) for r in range(1, K + 2)]))
-        if hot.any():
-            i = np.flatnonzero(hot)
-            out.append((bucket, -2, names[i].tobytes(), squeeze(total[i], *[c[i] for c in of_counts], plain=True), lower[i].tobytes(), None))
-        return pd.DataFrame(out, columns=["bucket", "shelf", "counts", "sums", "lower", "stats"])
-
-    schema = "bucket long, shelf long, counts binary, sums binary, lower binary, stats array<long>"
-    asked = shelves.join(by_shelf, "shelf", "left").mapInArrow(ask_pairs, "bucket long, shelf long, contexts binary, runs binary, low binary, high binary, counts binary")
-    seen = written(asked.groupBy("bucket").applyInPandas(count_pairs, schema), "pairs")
-    del asked
-    release(spark)
-    sums = seen.where("shelf = -1").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(K + 1)]).first()
-    d = discounts(np.array([0, *[int(x or 0) for x in sums]]))
-
-    # the sums of frequent contexts: at most FREQUENT of them, as each has over a FREQUENTth of all tokens
-    parts = [(np.frombuffer(r["counts"], np.uint64), unsqueeze(r["sums"]), np.frombuffer(r["lower"], np.float64)) for r in seen.where("shelf = -2").toLocalIterator()]
-    name, back = np.unique(np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64), return_inverse=True)
-    joined = [np.bincount(back, weights=np.concatenate([p[1][i] for p in parts]), minlength=len(name)) if parts else np.zeros(0) for i in range(K + 1)]
-    lower = np.bincount(back, weights=np.concatenate([p[2] for p in parts]), minlength=len(name)) if parts else np.zeros(0)
-    hot_sums = spark.sparkContext.broadcast((name, joined, lower))
+    model = Model(path, order, one)
+    hot: list[Broadcast] = []
+    replies = [known.where("part = 'reply'").select("shelf", "bucket", "a", "b", "c")]
+    for n in range(2, order + 1):
+        rounds = ROUNDS if n > 2 else 1
+        model.rounds.append(rounds)
+        found = [counted_grams(shelves, replies, model, n, buckets, frequent, hot, r, rounds) for r in range(rounds)]
+        seen = union(found)
+        model.d.append(discounts(np.array([0, *summed(seen, K + 1)])))
+        hot.append(weighed(spark, found, model, n))
+        replies.append(seen.where("part = 'reply'").select("shelf", "bucket", "a", "b", "c"))
+        release(spark)
+    asked = joined(shelves, replies)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_names, hot_counts, hot_lower = hot_sums.value
         for batch in batches:
             for row in batch.to_pylist():
-                s = Shelf(row)
-                s.learn(row["words"], buckets)
-                s.pair(buckets, frequent)
-                n = np.zeros(len(s.context), dtype=np.int64)
-                held = np.zeros((K + 1, len(s.names)))
-                mass = np.zeros(len(s.names))
-                got = {r["bucket"]: r for r in row["pairs"] or []}
-                for b, at in split_buckets(s.owner, buckets):
-                    n[at] = unsqueeze(got[b]["counts"])[0]
-                    c = s.context[at[s.runs(at)]]
-                    held[:, c] = unsqueeze(got[b]["sums"])
-                    mass[c] = np.frombuffer(got[b]["lower"], np.float64)
-                c = np.unique(s.context[s.hot])
-                if len(c):
-                    i = np.searchsorted(hot_names, s.names[c])
-                    held[:, c] = [x[i] for x in hot_counts]
-                    mass[c] = hot_lower[i]
-                whole, weight = sums_after(d, held[1:], held[0], mass)
-                single = one.probability(s.known)
-                with np.errstate(all="ignore"):
-                    p = np.where(n > 0, d[np.minimum(n, K + 1)] * n / whole[s.context], weight[s.context] * single[s.word])
-                    logs = np.log10(p)[s.bigram]
-                c = s.known[s.kind]
-                at = s.first[:-1]
+                s = opened(row, order, buckets, frequent, model, hot)
+                c = s.known[s.tokens]
+                at = np.cumsum(s.size) - s.size
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(s.ids, pa.int64(), mask=s.none),
                         pa.array(s.train),
-                        pa.array(np.diff(s.first)),
+                        pa.array(s.size),
                         pa.array(np.add.reduceat((c > 0).astype(np.int64), at)),
                         pa.array(np.full(len(at), one.total, dtype=np.int64)),
                         pa.array(np.add.reduceat(one.base(c), at)),
-                        pa.array(np.add.reduceat(logs, at)),
+                        pa.array(np.add.reduceat(np.log10(s.probabilities(model.d, one)), at)),
                     ],
                     names=[id_col, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    pairs = seen.where("shelf >= 0").groupBy("shelf").agg(F.collect_list(F.struct("bucket", "counts", "sums", "lower")).alias("pairs"))
-    done = shelves.join(by_shelf, "shelf", "left").join(pairs, "shelf", "left")
-    return done.mapInArrow(score, f"`{id_col}` long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = written(asked.mapInArrow(score, f"`{id_col}` long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    drop_stored(shelves)
+    if not model_path:
+        drop_path(spark, path)
+    return out
+
+
+def joined(shelves: DataFrame, replies: list[DataFrame]) -> DataFrame:
+    """The shelves with the replies of each order; the shelves themselves stay where they are."""
+    for n, reply in enumerate(replies, 1):
+        shelves = shelves.join(reply.groupBy("shelf").agg(F.collect_list(F.struct("bucket", "a", "b", "c")).alias(f"r{n}")), "shelf", "left")
+    return shelves
+
+
+def opened(row: dict, order: int, buckets: int, frequent: int, model: Model, hot: list[Broadcast]) -> Shelf:
+    """A shelf with what it has been told of its n-grams so far."""
+    s = Shelf(row)
+    s.learn(row["r1"], buckets, order)
+    for n in range(2, 2 + len(hot)):
+        level, d = s.deepen(), model.d[n - 2]
+        s.deal(level, buckets, frequent)
+        codes = level.context[level.order]
+        got = {r["bucket"]: r for r in row[f"r{n}"] or []}
+        for b, at in split_buckets(level.owner, buckets):
+            counts = unsqueeze(got[b]["a"])[0]
+            level.known[level.order[at]] = counts
+            run = heads(codes[at])
+            context = codes[at[run]]
+            marks = unsqueeze(got[b]["b"])[0]
+            total, small = marks >> 1, marks & 1 > 0
+            own = ~level.hot[at[run]]
+            level.whole[context[own]] = wholes(d, total, small)[own]
+            need = own & (np.minimum.reduceat(counts, run) == 0)
+            if need.any():
+                *of_counts, lower = unsqueeze(got[b]["c"])
+                level.weight[context[need]] = weights(d, total[need], np.array(of_counts), lower.view(np.float64))
+        often = np.unique(codes[level.hot])
+        if len(often):
+            keys = np.stack(s.columns(n - 1, often), axis=1)
+            sums = np.array([hot[n - 2].value[tuple(k)] for k in keys.tolist()])
+            level.whole[often], level.weight[often] = sums[:, 0].astype(np.int64), sums[:, 1]
+    return s
+
+
+def counted_words(shelves: DataFrame, buckets: int, path: str) -> DataFrame:
+    """Parts: the words table, the replies (numbers and counts) and the sums of single words."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                s = Shelf(row)
+                out = []
+                for b, at in split_buckets(s.owners(buckets), buckets):
+                    out.append((b, row["shelf"], s.kinds[at].tobytes(), squeeze(s.counts[at], plain=True)))
+                if out:
+                    yield batch_of(out, "bucket shelf grams counts")
+
+    def count(asks: pa.Table) -> pa.Table:
+        rows = asks.to_pylist()
+        grams = [np.frombuffer(r["grams"], np.uint64) for r in rows]
+        kinds, back = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.bincount(back, weights=np.concatenate([unsqueeze(r["counts"])[0] for r in rows])).astype(np.int64)
+        order = np.argsort(-total, kind="stable")
+        bucket = rows[0]["bucket"]
+        number = np.empty(len(kinds), np.int64)
+        number[order] = FIRST_WORD + np.arange(len(kinds)) * buckets + bucket
+        number[total == 0] = UNKNOWN
+        cut = np.cumsum([len(g) for g in grams])[:-1]
+        out = [{"part": "reply", "bucket": bucket, "shelf": r["shelf"], "a": squeeze(number[at], total[at], plain=True)} for r, at in zip(rows, np.split(back, cut), strict=True)]
+        seen = total > 0
+        out.append({"part": "grams", "bucket": bucket, "a": kinds[seen].tobytes(), "b": squeeze(number[seen], total[seen], plain=True)})
+        out.append({"part": "stats", "bucket": bucket, "stats": [int(total.sum()), int(seen.sum()), *[int((total == r).sum()) for r in range(1, K + 2)]]})
+        return parts_of(out)
+
+    asked = shelves.mapInArrow(ask, "bucket long, shelf long, grams binary, counts binary")
+    return parted(asked.groupBy("bucket").applyInArrow(count, PARTS), path)
+
+
+def parted(df: DataFrame, path: str) -> DataFrame:
+    """Writes parts to folders of their own."""
+    df.write.partitionBy("part").option("compression", "zstd").parquet(path)
+    spark = df.sparkSession
+    # (an empty input leaves no folder to take columns from)
+    return spark.read.schema(PARTS).option("basePath", path).parquet(path)
+
+
+def counted_grams(shelves: DataFrame, replies: list[DataFrame], model: Model, n: int, buckets: int, frequent: int, hot: list[Broadcast], round_: int, rounds: int) -> DataFrame:
+    """Parts for the n-grams of order n in every rounds-th bucket: grams, their contexts' sums, replies, counts of counts, and the partial sums of frequent contexts."""
+    order, one, d = model.order, model.one, model.d[n - 3] if n > 2 else None
+    slim = Model(model.path, order, one, model.d)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                s = opened(row, order, buckets, frequent, slim, hot)
+                below = s.levels[-1]
+                level = s.deepen()
+                s.deal(level, buckets, frequent)
+                out = []
+                for b, at in split_buckets(level.owner, buckets):
+                    if b % rounds != round_:
+                        continue
+                    grams = level.order[at]
+                    run = heads(level.context[grams])
+                    context = level.context[grams[run]]
+                    latest, *older = s.columns(n - 1, context)
+                    # of the shorter n-gram: its count, and what the counts after its context are divided by
+                    whole = below.whole[below.context[level.suffix[grams[run]]]] if n > 2 else np.zeros(len(run), np.int64)
+                    lower = below.known[level.suffix[grams]]
+                    out.append((b, row["shelf"], squeeze(run, level.hot[at[run]], latest, whole), squeeze(*older, plain=True), squeeze(s.names[level.last[grams]], level.pairs[grams], lower, plain=True)))
+                    if len(out) == 16:
+                        yield batch_of(out, "bucket shelf contexts older grams")
+                        out = []
+                if out:
+                    yield batch_of(out, "bucket shelf contexts older grams")
+
+    def count(asks: pa.Table) -> pa.Table:
+        rows = asks.to_pylist()
+        bucket = rows[0]["bucket"]
+        contexts = [unsqueeze(r["contexts"]) for r in rows]
+        grams = [unsqueeze(r["grams"]) for r in rows]
+        older = [unsqueeze(r["older"]) for r in rows]
+        columns = [np.concatenate([c[2] for c in contexts]), *[np.concatenate(x) for x in zip(*older, strict=True)]]
+        names, lead, context = np.unique(joint(columns), return_index=True, return_inverse=True)
+        columns = [c[lead] for c in columns]
+        is_hot = np.zeros(len(names), bool)
+        is_hot[context] = np.concatenate([c[1] for c in contexts]) > 0
+        lengths = np.concatenate([np.diff(np.append(c[0], len(g[0]))) for c, g in zip(contexts, grams, strict=True)])
+        owner = np.repeat(context, lengths)
+        word = np.concatenate([g[0] for g in grams])
+        _, first, back = np.unique(joint([owner, word]), return_index=True, return_inverse=True)
+        count_ = np.bincount(back, weights=np.concatenate([g[1] for g in grams])).astype(np.int64)
+        owner, word = owner[first], word[first]
+        below = np.concatenate([g[2] for g in grams])[first]
+        if n == 2:
+            p = one.probability(below)
+        else:
+            whole = np.concatenate([c[3] for c in contexts])[lead]
+            with np.errstate(all="ignore"):
+                p = d[np.minimum(below, K + 1)] * below / whole[owner]
+        size = len(names)
+        seen = count_ > 0
+        of_counts = np.array([np.bincount(owner[count_ == r], minlength=size) for r in range(1, K + 1)])
+        total = np.bincount(owner, weights=count_, minlength=size).astype(np.int64)
+        lower = np.bincount(owner[seen], weights=p[seen], minlength=size)
+        marks = total * 2 + (of_counts.sum(axis=0) > 0)
+        out = []
+        gram_at = context_at = 0
+        for r, c, g in zip(rows, contexts, grams, strict=True):
+            i, own = context[context_at : context_at + len(c[0])], count_[back[gram_at : gram_at + len(g[0])]]
+            gram_at, context_at = gram_at + len(g[0]), context_at + len(c[0])
+            need = i[~is_hot[i] & (np.minimum.reduceat(own, c[0]) == 0)]
+            out.append({"part": "reply", "bucket": bucket, "shelf": r["shelf"], "a": squeeze(own, plain=True), "b": squeeze(marks[i], plain=True), "c": squeeze(*of_counts[:, need], lower[need].view(np.int64), plain=True) if len(need) else None})
+        # the tables hold what was seen
+        run = heads(owner[seen])
+        some = owner[seen][run]
+        out.append({"part": "grams", "bucket": bucket, "a": squeeze(run, *[x[some] for x in columns]), "b": squeeze(word[seen], count_[seen], plain=True)})
+        cold = ~is_hot[some]
+        out.append({"part": "sums", "bucket": bucket, "a": squeeze(np.where(cold, total[some], 0), *(of_counts[:, some] * cold), plain=True), "b": np.where(cold, lower[some], 0.0).tobytes()})
+        out.append({"part": "stats", "bucket": bucket, "stats": [int((count_ == r).sum()) for r in range(1, K + 2)]})
+        for i in np.flatnonzero(is_hot):
+            out.append({"part": "hot", "bucket": bucket, "a": np.array([x[i] for x in columns]).tobytes(), "stats": [int(x) for x in [*[c[i] for c in columns], total[i], *of_counts[:, i]]], "lower": float(lower[i])})
+        return parts_of(out)
+
+    asked = joined(shelves, replies).mapInArrow(ask, "bucket long, shelf long, contexts binary, older binary, grams binary")
+    return parted(asked.groupBy("bucket").applyInArrow(count, PARTS), f"{model.path}/{n}-{round_}")
+
+
+def weighed(spark: SparkSession, found: list[DataFrame], model: Model, n: int) -> Broadcast:
+    """Writes the weights of the contexts of order n in place of their sums, and those of frequent contexts; the latter are broadcast: at most FREQUENT."""
+    d, width = model.d[n - 2], n - 1
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                total, *of_counts = unsqueeze(row["a"])
+                with np.errstate(all="ignore"):
+                    out = np.where(total > 0, weights(d, total, np.array(of_counts), np.frombuffer(row["b"], np.float64)), 0.0)
+                yield batch_of([(row["bucket"], squeeze(total, plain=True), out.tobytes())], "bucket totals weights")
+
+    for r, parts in enumerate(found):
+        rows = parts.where("part = 'sums'").select("bucket", "a", "b").mapInArrow(weigh, "bucket long, totals binary, weights binary")
+        rows.write.option("compression", "zstd").parquet(f"{model.path}/{n}-{r}/weights")
+        drop_path(spark, f"{model.path}/{n}-{r}/part=sums")
+    sums = union(found).where("part = 'hot'").groupBy("a").agg(F.first(F.slice("stats", 1, width)).alias("key"), *[F.sum(F.get("stats", F.lit(width + i))).alias(f"s{i}") for i in range(K + 1)], F.sum("lower").alias("lower"))
+    lost = sum((F.col(f"s{r}") * float((1 - d[r]) * r) for r in range(1, K + 1)), F.lit(0.0))
+    small = sum((F.col(f"s{r}") for r in range(1, K + 1)), F.lit(0)) > 0
+    extra = F.when(small & F.lit(bool(d[1] < 1)), 0).otherwise(1)
+    rows = sums.select("key", F.col("s0").alias("total"), (F.col("s0") + extra).alias("whole"), ((lost + extra) / (F.col("s0") + extra) / (1 - F.col("lower"))).alias("weight"))
+    rows.write.parquet(f"{model.path}/{n}-hot")
+    table_ = spark.read.schema("key array<long>, total long, whole long, weight double").parquet(f"{model.path}/{n}-hot")
+    return spark.sparkContext.broadcast({tuple(r["key"]): (r["whole"], r["weight"]) for r in table_.collect()})
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,35 +373,98 @@ def test_repeats(spark):
     assert repeats.removed_spans(docs(spark, ["a"]).where("false")).count() == 0
 
 
-def test_katz_is_normalised_and_scores(spark, monkeypatch):
-    monkeypatch.setattr(katz, "BUCKET_WORDS", 64)  # so that some contexts are frequent
+class BruteKatz:
+    """Katz backoff from the published formulas, by dictionaries."""
+
+    def __init__(self, sequences, order, k=5):
+        self.order, self.k = order, k
+        self.n = [{} for _ in range(order)]  # by order: context -> word -> count
+        for t in sequences:
+            padded = ["<s>"] * (order - 1) + t
+            for i in range(order - 1, len(padded)):
+                for m in range(order):
+                    own = self.n[m].setdefault(tuple(padded[i - m : i]), {})
+                    own[padded[i]] = own.get(padded[i], 0) + 1
+        self.d = [self.discount([c for own in level.values() for c in own.values()]) for level in self.n]
+
+    def discount(self, counts):
+        of = {r: sum(c == r for c in counts) for r in range(1, self.k + 2)}
+        out = {r: 1.0 for r in range(1, self.k + 1)}
+        if of[1] and all(of[r] for r in range(1, self.k + 1)):
+            tail = (self.k + 1) * of[self.k + 1] / of[1]
+            if tail != 1:
+                good = {r: ((r + 1) * of[r + 1] / (of[r] * r) - tail) / (1 - tail) for r in out}
+                if all(0 < x < 1 for x in good.values()):
+                    return good
+        if of[1]:
+            b = min(0.9, of[1] / (of[1] + 2 * of[2]))
+            return {r: (r - b) / r for r in out}
+        return out
+
+    def p(self, w, h):
+        m = len(h)
+        own = self.n[m].get(h, {})
+        d = self.d[m]
+        mass = sum(d.get(c, 1.0) * c for c in own.values())
+        whole = sum(own.values())
+        if own and whole - mass <= 1e-9 * whole:
+            whole += 1
+        if not m:
+            return d.get(own[w], 1.0) * own[w] / whole if w in own else 1 - mass / max(whole, 1)
+        if not own:
+            return self.p(w, h[1:])
+        if w in own:
+            return d.get(own[w], 1.0) * own[w] / whole
+        return self.weight(h) * self.p(w, h[1:])
+
+    def weight(self, h):
+        own, d = self.n[len(h)][h], self.d[len(h)]
+        mass, whole = sum(d.get(c, 1.0) * c for c in own.values()), sum(own.values())
+        whole += whole - mass <= 1e-9 * whole
+        return (1 - mass / whole) / (1 - sum(self.p(w, h[1:]) for w in own))
+
+    def score(self, t):
+        padded = ["<s>"] * (self.order - 1) + t
+        return sum(np.log10(self.p(padded[i], tuple(padded[i - self.order + 1 : i]))) for i in range(self.order - 1, len(padded)))
+
+
+@pytest.mark.parametrize(("order", "words"), [(1, 64), (2, 64), (3, 64), (3, 2_000_000), (4, 100)])
+def test_katz_equals_brute_force(spark, monkeypatch, tmp_path, order, words):
+    monkeypatch.setattr(katz, "BUCKET_WORDS", words)  # so that some contexts are frequent
+    monkeypatch.setattr(katz, "SHELF_BYTES", 2000)
     rng = np.random.default_rng(6)
-    texts = [*ODD, *[" ".join(rng.choice(["a", "b", "the", "of", *[f"w{i}" for i in range(40)]], int(rng.integers(1, 30)))) for _ in range(80)]]
-    train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
-    rows = {r["doc_id"]: r for r in katz.score_texts(docs(spark, texts), ~langid.held_out("doc_id", 10, 0)).collect()}
-    from collections import Counter
-
+    texts = [*ODD[:6], "word " * 300, "x" * 3000, *[" ".join(rng.choice(["a", "B", "the", "of", *[f"w{i}" for i in range(40)]], int(rng.integers(1, 30)))) for _ in range(80)]]
+    texts += [texts[20], texts[21]]
+    ids = [*range(len(texts) - 2), None, 20]
+    train = [i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i in ids]
+    df = spark.createDataFrame([(i, t, 1.0, 5) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, score double, shelf int").repartition(3)
+    rows = katz.score_texts(df, ~langid.held_out("doc_id", 10, 0), order=order, model_path=f"{tmp_path}/model").collect()
     tokens = [[*(t or "").encode().lower().split(), b"</s>"] for t in texts]
-    one = Counter(w for t, ok in zip(tokens, train, strict=True) if ok for w in t)
-    two = Counter(p for t, ok in zip(tokens, train, strict=True) if ok for p in zip([b"<s>", *t[:-1]], t, strict=True))
-    counts = lambda c: np.array([0, *[sum(v == r for v in c.values()) for r in range(1, katz.K + 2)]])
-    words, d = katz.Words.of(sum(one.values()), len(one), counts(one)), katz.discounts(counts(two))
-    p1 = {w: float(words.probability(np.array([n]))[0]) for w, n in one.items()}
-    unknown = float(words.probability(np.array([0]))[0])
-    assert abs(sum(p1.values()) + unknown - 1) < 1e-9
-    after = {}
-    for (h, w), n in two.items():
-        after.setdefault(h, {})[w] = n
-    model = {}
-    for h, own in after.items():
-        total = np.array([sum(own.values())])
-        whole, weight = katz.sums_after(d, np.array([[sum(n == r for n in own.values())] for r in range(1, katz.K + 1)]), total, np.array([sum(p1[w] for w in own)]))
-        model[h] = ({w: d[min(n, katz.K + 1)] * n / whole[0] for w, n in own.items()}, weight[0])
-        assert abs(sum(model[h][0].values()) + weight[0] * (unknown + sum(p for w, p in p1.items() if w not in own)) - 1) < 1e-9
-    for i, t in enumerate(tokens):
-        logs = [np.log10(model[h][0][w] if h in model and w in model[h][0] else (model[h][1] if h in model else 1.0) * p1.get(w, unknown)) for h, w in zip([b"<s>", *t[:-1]], t, strict=True)]
-        assert rows[i]["n_tokens"] == len(t) and rows[i]["train"] == train[i] and rows[i]["n_known"] == sum(w in one for w in t)
-        assert abs(rows[i]["score"] - sum(logs)) < 1e-6 * max(1, abs(sum(logs)))
+    brute = BruteKatz([t for t, ok in zip(tokens, train, strict=True) if ok], order)
+    one, total = brute.n[0][()], sum(brute.n[0][()].values())
+    want = sorted((-1 if i is None else i, ok, len(t), sum(w in one for w in t), total, sum(np.log10((one.get(w, 0) + 0.1) / (total + 0.1 * (len(one) + 1))) for w in t), brute.score(t)) for i, ok, t in zip(ids, train, tokens, strict=True))
+    found = sorted((-1 if r["doc_id"] is None else r["doc_id"], *list(r)[1:]) for r in rows)
+    assert len(found) == len(want)
+    for a, b in zip(found, want, strict=True):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9, atol=1e-9)
+    # probabilities sum to one over the vocabulary and the unknown class
+    for h in [tuple(t[:m]) for t in tokens[20:24] for m in range(order)]:
+        assert abs(sum(brute.p(w, h) for w in one) + brute.p(b"never", h) - 1) < 1e-9
+    # the tables hold the n-grams, and weights for every context
+    for n in range(2, order + 1):
+        model = katz.Model(f"{tmp_path}/model", order, None, [], [1 if m == 2 else katz.ROUNDS for m in range(2, order + 1)])
+        grams = model.grams(spark, n).toPandas()
+        assert sorted(grams["count"]) == sorted(c for own in brute.n[n - 1].values() for c in own.values())
+        contexts = model.contexts(spark, n).toPandas()
+        assert sorted(contexts["total"]) == sorted(sum(own.values()) for own in brute.n[n - 1].values())
+        assert np.allclose(sorted(contexts["weight"]), sorted(brute.weight(h) for h in brute.n[n - 1]), rtol=1e-9)
+
+
+def test_katz_without_rows_or_training(spark):
+    own = docs(spark, ["a b", None])
+    rows = katz.score_texts(own, F.lit(False)).collect()
+    assert len(rows) == 2 and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in rows)
+    assert katz.score_texts(own.where("false"), F.lit(True)).count() == 0
 
 
 def test_media_aligns_recordings(spark):
