@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ ORDER = 3
 SHELF_BYTES = 8 << 20
 BUCKET_WORDS, LEAST_BUCKETS = 2_000_000, 64
 FREQUENT = 20_000
-ROUNDS = 2
+ROUNDS = 1
 END = mix64(np.array([1], dtype=np.uint64))[0]
 UNKNOWN, START, FIRST_WORD = 0, 1, 2
 
@@ -125,6 +126,30 @@ def joint(columns: list[np.ndarray]) -> np.ndarray:
     return code
 
 
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, ascending; a place of each; and for each place the number of its value."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    new = np.ones(len(codes), dtype=bool)
+    new[1:] = codes[1:] != codes[:-1]
+    back = np.empty(len(codes), dtype=np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    return codes[new], order[new], back
+
+
+def packed_places(places: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers that are mostly small: two bytes each, and what these leave of the few that don't fit."""
+    large = np.flatnonzero(places >= 0xFFFF)
+    return zstandard.compress(np.minimum(places, 0xFFFF).astype("<u2").tobytes(), 3), squeeze(large, places[large])
+
+
+def unpacked_places(low: bytes, rest: bytes) -> np.ndarray:
+    out = np.frombuffer(zstandard.decompress(low), "<u2").astype(np.int32)
+    at, values = unsqueeze(rest)
+    out[at] = values
+    return out
+
+
 def heads(codes: np.ndarray) -> np.ndarray:
     """Where a new value begins."""
     return np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
@@ -148,67 +173,76 @@ class Level:
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
+def split(owner: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    return split_buckets(owner.astype(np.uint16) if buckets <= 1 << 16 else owner, buckets)
+
+
+def packed_shelf(number: int, ids: np.ndarray, none: np.ndarray, train: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> dict:
+    """A shelf of texts: the distinct words' hashes and counts in training, and each token's word.  Frequent words come first, then early ones, so that places pack well."""
+    starts, ends, first = words(data, offsets)
+    n = len(first) - 1
+    owner = np.repeat(np.arange(n), np.diff(first))
+    size = np.diff(first) + 1
+    tokens = np.empty(len(starts) + n, dtype=np.uint64)
+    tokens[np.arange(len(starts)) + owner] = word_hashes(data, starts, ends, lower=True)
+    tokens[np.cumsum(size) - 1] = END
+    kinds, _, at = distinct(tokens)
+    early = np.empty(len(kinds), np.int64)
+    early[at[::-1]] = np.arange(len(at))[::-1]
+    order = np.lexsort((early, -np.bincount(at)))
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    at = rank[at]
+    seen = np.bincount(at, weights=np.repeat(train, size), minlength=len(kinds)).astype(np.int64)
+    low, rest = packed_places(at)
+    return {"shelf": number, "ids": squeeze(ids, none, train), "sizes": squeeze(size, plain=True), "kinds": kinds[order].tobytes(), "counts": squeeze(seen, plain=True), "low": low, "rest": rest, "n_tokens": len(tokens)}
+
+
+def known_shelf(row: dict, buckets: int) -> dict:
+    """The shelf with its words' numbers and corpus counts in place of hashes; words unknown to training become one."""
+    kinds = np.frombuffer(row["kinds"], np.uint64)
+    names, known = np.zeros(len(kinds) + 1, np.int64), np.zeros(len(kinds) + 1, np.int64)
+    got = {r["bucket"]: r["a"] for r in row["r1"] or []}
+    for b, at in split_buckets((kinds % np.uint64(buckets)).astype(np.int64), buckets):
+        names[at], known[at] = unsqueeze(got[b])
+    some = np.append(known[:-1] > 0, True)
+    place = np.where(some, np.cumsum(some) - 1, some.sum() - 1)
+    low, rest = packed_places(place[unpacked_places(row["low"], row["rest"])])
+    ends = int(known[:-1][kinds == END].sum())
+    return {"shelf": row["shelf"], "ids": row["ids"], "sizes": row["sizes"], "words": squeeze(names[some], known[some], plain=True), "low": low, "rest": rest, "ends": ends}
+
+
 class Shelf:
-    """A shelf's tokens: words and an end for each document, as places in the shelf's own list of words."""
+    """A shelf's tokens: words and an end for each document, as slots: the shelf's words, then one for unknown words and one for starts."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, order: int):
         self.ids, none, train = unsqueeze(row["ids"])
         self.none, self.train = none.astype(bool), train.astype(bool)
         self.size = unsqueeze(row["sizes"])[0]
-        self.kinds = np.frombuffer(row["kinds"], np.uint64)
-        self.counts, (self.tokens,) = unsqueeze(row["counts"])[0], unsqueeze(row["tokens"])
-
-    @staticmethod
-    def packed(number: int, ids: np.ndarray, none: np.ndarray, train: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list:
-        starts, ends, first = words(data, offsets)
-        n = len(first) - 1
-        owner = np.repeat(np.arange(n), np.diff(first))
-        size = np.diff(first) + 1
-        tokens = np.empty(len(starts) + n, dtype=np.uint64)
-        tokens[np.arange(len(starts)) + owner] = word_hashes(data, starts, ends, lower=True)
-        tokens[np.cumsum(size) - 1] = END
-        kinds, at, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which pack well
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        at = rank[at]
-        seen = np.bincount(at, weights=np.repeat(train, size), minlength=len(kinds)).astype(np.int64)
-        return [number, squeeze(ids, none, train), squeeze(size, plain=True), kinds[order].tobytes(), squeeze(seen, plain=True), squeeze(at, plain=True), len(tokens)]
-
-    def owners(self, buckets: int) -> np.ndarray:
-        return (self.kinds % np.uint64(buckets)).astype(np.int64)
-
-    def learn(self, replies: list[dict], buckets: int, order: int) -> None:
-        """Takes the words' numbers and corpus counts; slots are the shelf's words, then one for unknown words and one for starts."""
-        n = len(self.kinds)
-        self.names, self.known = np.zeros(n + 2, np.int64), np.zeros(n + 2, np.int64)
-        got = {r["bucket"]: r["a"] for r in replies}
-        for b, at in split_buckets(self.owners(buckets), buckets):
-            self.names[at], self.known[at] = unsqueeze(got[b])
-        self.names[n], self.names[n + 1] = UNKNOWN, START
-        end = np.flatnonzero(self.kinds == END)
-        self.known[n + 1] = self.known[end[0]] if len(end) else 0
-        slot = np.where(self.known[:-1] > 0, np.arange(n + 1), n)
+        names, known = unsqueeze(row["words"])
+        self.names, self.known = np.append(names, START), np.append(known, row["ends"])
+        n = len(names)
         # each document behind order - 1 starts
         pad = order - 1
         length = self.size + pad
         first = np.cumsum(length) - length
-        self.place = np.arange(length.sum()) - np.repeat(first, length)
+        self.place = (np.arange(length.sum()) - np.repeat(first, length)).astype(np.int32)
         self.real = self.place >= pad
-        self.slots = np.full(len(self.place), n + 1)
-        self.slots[self.real] = slot[self.tokens]
+        self.slots = np.full(len(self.place), n, dtype=np.int32)
+        self.slots[self.real] = unpacked_places(row["low"], row["rest"])
         self.counted = self.real & np.repeat(self.train, length)
-        self.levels = [Level(self.slots, np.zeros(0, int), np.arange(n + 2), np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool), self.known)]
+        none = np.zeros(0, np.int32)
+        self.levels = [Level(self.slots, none, np.arange(n + 1, dtype=np.int32), none, none, none > 0, self.known)]
 
     def deepen(self) -> Level:
         """The n-grams of the next order."""
         below, n = self.levels[-1], len(self.levels)
         places = np.flatnonzero(self.place >= n)
         width = len(self.names)
-        codes, lead, back = np.unique(below.at[places - 1] * width + self.slots[places], return_index=True, return_inverse=True)
-        at = np.full(len(self.place), -1)
+        codes, lead, back = distinct(below.at[places - 1].astype(np.int64) * width + self.slots[places])
+        at = np.full(len(self.place), -1, dtype=np.int32)
         at[places] = back
-        context, last = codes // width, codes % width
+        context, last = (codes // width).astype(np.int32), (codes % width).astype(np.int32)
         real = np.bincount(back, weights=self.real[places], minlength=len(codes)) > 0
         pairs = np.bincount(back, weights=self.counted[places], minlength=len(codes)).astype(np.int64)
         # what ends before a text is starts alone, which stand before every document
@@ -237,7 +271,7 @@ class Shelf:
             by_context = mix64(by_context * np.uint64(3) + c.astype(np.uint64) + np.uint64(1))
         hot = self.levels[n - 1].known[context] > frequent
         owner = (np.where(hot, mix64(by_context + word.astype(np.uint64)), by_context) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(joint([*columns, word]), kind="stable")
+        order = np.argsort(joint([*columns, word]))
         level.order, level.owner, level.hot = asked[order], owner[order], hot[order]
 
     def probabilities(self, d: list[np.ndarray], one: Words) -> np.ndarray:
@@ -330,14 +364,13 @@ def shelved(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFra
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         task, number = TaskContext.get().partitionId(), 0
-        names = ["shelf", "ids", "sizes", "kinds", "counts", "tokens", "n_tokens"]
 
         def flush() -> pa.RecordBatch:
             nonlocal held, number
             ids, none, train, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = Shelf.packed(task << 33 | number, ids, none, train, data, np.concatenate([[0], np.cumsum(sizes)]))
+            row = packed_shelf(task << 33 | number, ids, none, train, data, np.concatenate([[0], np.cumsum(sizes)]))
             held, number = [], number + 1
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=names)
+            return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
             none = np.asarray(batch.column(0).is_null())
@@ -350,7 +383,7 @@ def shelved(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFra
         if held:
             yield flush()
 
-    return stored(rows.mapInArrow(pack, "shelf long, ids binary, sizes binary, kinds binary, counts binary, tokens binary, n_tokens long"), "shelf", "shelves")
+    return stored(rows.mapInArrow(pack, "shelf long, ids binary, sizes binary, kinds binary, counts binary, low binary, rest binary, n_tokens long"), "shelf", "shelves")
 
 
 def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, model_path: str | None = None) -> DataFrame:
@@ -366,17 +399,28 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         raise ValueError("order must be at least 1")
     spark = df.sparkSession
     path = model_path or f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
-    shelves = shelved(df, train, id_col, text_col)
-    size = shelves.agg(F.sum("n_tokens")).first()[0] or 0
+    texts = shelved(df, train, id_col, text_col)
+    size = texts.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_WORDS))
-    known = counted_words(shelves, buckets, f"{path}/1")
+    known = counted_words(texts, buckets, f"{path}/1")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([known_shelf(row, buckets)])
+
+    told = joined(texts, {1: known})
+    shelves = stored(told.mapInArrow(settle, "shelf long, ids binary, sizes binary, words binary, low binary, rest binary, ends long"), "shelf", "shelves")
+    drop_stored(texts)
+    drop_path(spark, f"{path}/1/part=reply")
+    del texts, told
     release(spark)
     stats = summed(known, K + 3)
     one = Words.of(stats[0], stats[1], np.array([0, *stats[2:]]))
     frequent = max(one.total // FREQUENT, BUCKET_WORDS // 8)
     model = Model(path, order, one)
     hot: list[Broadcast] = []
-    replies = [known.where("part = 'reply'").select("shelf", "bucket", "a", "b", "c")]
+    replies: dict[int, DataFrame] = {}
     for n in range(2, order + 1):
         rounds = ROUNDS if n > 2 else 1
         model.rounds.append(rounds)
@@ -384,7 +428,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         seen = union(found)
         model.d.append(discounts(np.array([0, *summed(seen, K + 1)])))
         hot.append(weighed(spark, found, model, n))
-        replies.append(seen.where("part = 'reply'").select("shelf", "bucket", "a", "b", "c"))
+        replies[n] = seen
         release(spark)
     asked = joined(shelves, replies)
 
@@ -392,7 +436,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         for batch in batches:
             for row in batch.to_pylist():
                 s = opened(row, order, buckets, frequent, model, hot)
-                c = s.known[s.tokens]
+                c = s.known[s.slots[s.real]]
                 at = np.cumsum(s.size) - s.size
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -414,23 +458,23 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     return out
 
 
-def joined(shelves: DataFrame, replies: list[DataFrame]) -> DataFrame:
+def joined(shelves: DataFrame, parts: dict[int, DataFrame]) -> DataFrame:
     """The shelves with the replies of each order; the shelves themselves stay where they are."""
-    for n, reply in enumerate(replies, 1):
-        shelves = shelves.join(reply.groupBy("shelf").agg(F.collect_list(F.struct("bucket", "a", "b", "c")).alias(f"r{n}")), "shelf", "left")
+    for n, own in parts.items():
+        replies = own.where("part = 'reply'").groupBy("shelf").agg(F.collect_list(F.struct("bucket", "a", "b", "c")).alias(f"r{n}"))
+        shelves = shelves.join(replies, "shelf", "left")
     return shelves
 
 
 def opened(row: dict, order: int, buckets: int, frequent: int, model: Model, hot: list[Broadcast]) -> Shelf:
     """A shelf with what it has been told of its n-grams so far."""
-    s = Shelf(row)
-    s.learn(row["r1"], buckets, order)
+    s = Shelf(row, order)
     for n in range(2, 2 + len(hot)):
         level, d = s.deepen(), model.d[n - 2]
         s.deal(level, buckets, frequent)
         codes = level.context[level.order]
         got = {r["bucket"]: r for r in row[f"r{n}"] or []}
-        for b, at in split_buckets(level.owner, buckets):
+        for b, at in split(level.owner, buckets):
             counts = unsqueeze(got[b]["a"])[0]
             level.known[level.order[at]] = counts
             run = heads(codes[at])
@@ -457,17 +501,16 @@ def counted_words(shelves: DataFrame, buckets: int, path: str) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                s = Shelf(row)
-                out = []
-                for b, at in split_buckets(s.owners(buckets), buckets):
-                    out.append((b, row["shelf"], s.kinds[at].tobytes(), squeeze(s.counts[at], plain=True)))
+                kinds, (counts,) = np.frombuffer(row["kinds"], np.uint64), unsqueeze(row["counts"])
+                owner = (kinds % np.uint64(buckets)).astype(np.int64)
+                out = [(b, row["shelf"], kinds[at].tobytes(), squeeze(counts[at], plain=True)) for b, at in split(owner, buckets)]
                 if out:
                     yield batch_of(out, "bucket shelf grams counts")
 
     def count(asks: pa.Table) -> pa.Table:
         rows = asks.to_pylist()
         grams = [np.frombuffer(r["grams"], np.uint64) for r in rows]
-        kinds, back = np.unique(np.concatenate(grams), return_inverse=True)
+        kinds, _, back = distinct(np.concatenate(grams))
         total = np.bincount(back, weights=np.concatenate([unsqueeze(r["counts"])[0] for r in rows])).astype(np.int64)
         order = np.argsort(-total, kind="stable")
         bucket = rows[0]["bucket"]
@@ -493,7 +536,7 @@ def parted(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(PARTS).option("basePath", path).parquet(path)
 
 
-def counted_grams(shelves: DataFrame, replies: list[DataFrame], model: Model, n: int, buckets: int, frequent: int, hot: list[Broadcast], round_: int, rounds: int) -> DataFrame:
+def counted_grams(shelves: DataFrame, replies: dict[int, DataFrame], model: Model, n: int, buckets: int, frequent: int, hot: list[Broadcast], round_: int, rounds: int) -> DataFrame:
     """Parts for the n-grams of order n in every rounds-th bucket: grams, their contexts' sums, replies, counts of counts, and the partial sums of frequent contexts."""
     order, one, d = model.order, model.one, model.d[n - 3] if n > 2 else None
     slim = Model(model.path, order, one, model.d)
@@ -506,7 +549,7 @@ def counted_grams(shelves: DataFrame, replies: list[DataFrame], model: Model, n:
                 level = s.deepen()
                 s.deal(level, buckets, frequent)
                 out = []
-                for b, at in split_buckets(level.owner, buckets):
+                for b, at in split(level.owner, buckets):
                     if b % rounds != round_:
                         continue
                     grams = level.order[at]
@@ -530,14 +573,14 @@ def counted_grams(shelves: DataFrame, replies: list[DataFrame], model: Model, n:
         grams = [unsqueeze(r["grams"]) for r in rows]
         older = [unsqueeze(r["older"]) for r in rows]
         columns = [np.concatenate([c[2] for c in contexts]), *[np.concatenate(x) for x in zip(*older, strict=True)]]
-        names, lead, context = np.unique(joint(columns), return_index=True, return_inverse=True)
+        names, lead, context = distinct(joint(columns))
         columns = [c[lead] for c in columns]
         is_hot = np.zeros(len(names), bool)
         is_hot[context] = np.concatenate([c[1] for c in contexts]) > 0
         lengths = np.concatenate([np.diff(np.append(c[0], len(g[0]))) for c, g in zip(contexts, grams, strict=True)])
         owner = np.repeat(context, lengths)
         word = np.concatenate([g[0] for g in grams])
-        _, first, back = np.unique(joint([owner, word]), return_index=True, return_inverse=True)
+        _, first, back = distinct(joint([owner, word]))
         count_ = np.bincount(back, weights=np.concatenate([g[1] for g in grams])).astype(np.int64)
         owner, word = owner[first], word[first]
         below = np.concatenate([g[2] for g in grams])[first]
