@@ -53,10 +53,10 @@ from strandtally.llm.langid import held_out
 
 K = 5
 ORDER = 3
-SHELF_BYTES = 8 << 20
-BUCKET_WORDS, LEAST_BUCKETS = 2_000_000, 64
+SHELF_BYTES = 6 << 20
+BUCKET_WORDS, LEAST_BUCKETS = 1_000_000, 64
 FREQUENT = 20_000
-ROUNDS = 1
+ROUNDS = 2
 END = mix64(np.array([1], dtype=np.uint64))[0]
 UNKNOWN, START, FIRST_WORD = 0, 1, 2
 
@@ -615,7 +615,10 @@ def counted_grams(shelves: DataFrame, replies: dict[int, DataFrame], model: Mode
         return parts_of(out)
 
     asked = joined(shelves, replies).mapInArrow(ask, "bucket long, shelf long, contexts binary, older binary, grams binary")
-    return parted(asked.groupBy("bucket").applyInArrow(count, PARTS), f"{model.path}/{n}-{round_}")
+    out = parted(asked.groupBy("bucket").applyInArrow(count, PARTS), f"{model.path}/{n}-{round_}")
+    del asked
+    release(out.sparkSession)
+    return out
 
 
 def weighed(spark: SparkSession, found: list[DataFrame], model: Model, n: int) -> Broadcast:
