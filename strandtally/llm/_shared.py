@@ -257,7 +257,8 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner drop the shuffle files of steps that are done and no longer referenced."""
+    """Lets Spark's context cleaner drop the shuffle files of steps that are done and no longer referenced (the last job's are, until another ran)."""
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
 
