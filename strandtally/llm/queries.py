@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from strandtally.llm import bpe, katz, langid, lattice, media, mixing, private, repeats, secrets, simhash
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_repeats": repeats.op9_repeats,
     "op10_private": private.op10_private,
-    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
