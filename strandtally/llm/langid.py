@@ -33,7 +33,7 @@ BASE = 257
 MERGE_ROWS = 2_000_000
 LEAST_SHARE = 2.0**-20
 BLOCK_ENTRIES = 8_000_000
-SCORED_BYTES = 1 << 20
+PIECE_BYTES = 1 << 20
 AT_ONCE = 8  # languages
 
 
@@ -41,23 +41,26 @@ def ranked(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarra
     """The distinct grams (order + 1 symbols, to base BASE, START before each text), and for each byte the number of its gram."""
     used = np.flatnonzero(np.bincount(data, minlength=256))
     k = len(used) + 1
-    small = np.zeros(256, dtype=np.int64)
+    small = np.zeros(256, dtype=np.int32)
     small[used] = np.arange(len(used))
     symbol = small[data]
     names = np.append(used, START)
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    code, grams = np.zeros(len(data), np.int64), np.zeros(1, np.int64)
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    ends = offsets[1:][np.diff(offsets) > 0]
+    code, grams = np.zeros(len(data), np.int32), np.zeros(1, np.int64)
     for back in range(order, -1, -1):
-        own = np.full(len(data), k - 1, dtype=np.int64)
+        own = np.full(len(data), k - 1, dtype=np.int32)
         own[back:] = symbol[: len(data) - back]
-        own[place < back] = k - 1
-        code = code * k + own
+        for i in range(back):  # places less than `back` from their text's start
+            own[(starts + i)[starts + i < ends]] = k - 1
+        # (the grams of a piece are fewer than its bytes, so this fits)
+        code = code.astype(np.int64 if len(grams) * k >= 1 << 31 else np.int32) * k + own
         seen = np.zeros(len(grams) * k, dtype=bool)
         seen[code] = True
         found = np.flatnonzero(seen)
         rank = np.zeros(len(seen), dtype=np.int32)
         rank[found] = np.arange(len(found))
-        code, grams = rank[code].astype(np.int64), grams[found // k] * BASE + names[found % k]
+        code, grams = rank[code], grams[found // k] * BASE + names[found % k]
     return grams, code
 
 
@@ -81,17 +84,17 @@ def context_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text"
         def flushed() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 grams, n = merged(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(grams)), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
             held.clear()
 
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            for lo, hi, data, offsets in chunks(batch.column(1), 4 << 20):
+            for lo, hi, data, offsets in chunks(batch.column(1), PIECE_BYTES):
                 if not len(data):
                     continue
                 grams, code = ranked(data, offsets, order)
                 which, own = np.unique(langs[lo:hi].astype(str), return_inverse=True)
-                seen, n = np.unique(np.repeat(own, np.diff(offsets)) * len(grams) + code, return_counts=True)
+                seen, n = np.unique(np.repeat(own * len(grams), np.diff(offsets)) + code, return_counts=True)
                 for i, lang in enumerate(which):
                     a, b = np.searchsorted(seen, [i * len(grams), (i + 1) * len(grams)])
                     if a < b:
@@ -245,7 +248,7 @@ def scored(df: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
             langs = sorted(own)
             for batch in batches:
                 n_columns = batch.num_columns
-                for lo, hi, data, offsets in chunks(batch.column(n_columns - 1), SCORED_BYTES):
+                for lo, hi, data, offsets in chunks(batch.column(n_columns - 1), PIECE_BYTES):
                     n = hi - lo
                     totals = np.zeros((n, len(langs)))
                     if len(data):
