@@ -230,54 +230,61 @@ def freeze(counts: DataFrame, order: int = ORDER, least_share: float = LEAST_SHA
     return Trees(entries, blocks, order)
 
 
-def scored(df: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """df with its columns renamed to _c0, _c1, ..., and _lang, _score, _bits (a byte); names of its own never clash."""
+def scored(df: DataFrame, trees: Trees, text_col: str = "text", carry: bool = True) -> DataFrame:
+    """df with its columns renamed to _c0, _c1, ..., and _lang, _score, _bits (a byte); names of its own never clash.
+
+    A text moves to Python and back once for each block of languages; without carry, it doesn't come back from the last.
+    """
     names = df.columns
     at = next(i for i, c in enumerate(names) if c.lower() == text_col.lower())
-    text = F.col(f"_c{at}").cast("string")
     rows = df.toDF(*[f"_c{i}" for i in range(len(names))])
     own = rows.columns
-    rows = rows.select(*own, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.lit(None).cast("string").alias("_lang"), F.lit(None).cast("double").alias("_least"), F.lit(0.0).alias("_mass"), F.coalesce(text, F.lit("")).alias("_text"))
-    schema, order = T.StructType(rows.schema.fields), trees.order
+    state = ["_lang", "_least", "_mass", "_letter"]
+    rows = rows.select(*own, F.lit(None).cast("string").alias("_lang"), F.lit(None).cast("double").alias("_least"), F.lit(0.0).alias("_mass"), F.coalesce(F.col(f"_c{at}").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    order = trees.order
 
     def passed(rows: DataFrame, block: int) -> DataFrame:
         model = df.sparkSession.sparkContext.broadcast(trees.block(block))
+        last = block == len(trees.blocks) - 1
+        kept = [i for i in range(len(own)) if i != at or carry or not last]
+        schema = T.StructType([rows.schema[f"_c{i}"] for i in kept] + [T.StructField(c, rows.schema[c].dataType) for c in state] + [T.StructField("_size", T.LongType())])
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = model.value
-            langs = sorted(own)
+            trees_ = model.value
+            langs = sorted(trees_)
             for batch in batches:
-                n_columns = batch.num_columns
-                for lo, hi, data, offsets in chunks(batch.column(n_columns - 1), PIECE_BYTES):
+                was_lang, was_least, was_mass, letter = (batch.column(len(own) + i) for i in range(4))
+                for lo, hi, data, offsets in chunks(batch.column(at).fill_null(""), PIECE_BYTES):
                     n = hi - lo
                     totals = np.zeros((n, len(langs)))
                     if len(data):
                         grams, code = ranked(data, offsets, order)
                         full = np.flatnonzero(np.diff(offsets) > 0)
                         for a in range(0, len(langs), AT_ONCE):
-                            bits = np.stack([own[x].bits(grams) for x in langs[a : a + AT_ONCE]], axis=1)
+                            bits = np.stack([trees_[x].bits(grams) for x in langs[a : a + AT_ONCE]], axis=1)
                             totals[full, a : a + AT_ONCE] = np.add.reduceat(bits[code], offsets[:-1][full], axis=0)
                     best = totals.argmin(axis=1)
                     least = totals[np.arange(n), best]
                     mass = np.exp2(-np.minimum(totals - least[:, None], 1000)).sum(axis=1)
                     # what earlier blocks found; ties go to the first name, and blocks are in their order
-                    before = batch.column(n_columns - 3).slice(lo, n).to_numpy(zero_copy_only=False)
-                    was = batch.column(n_columns - 2).slice(lo, n).to_numpy(zero_copy_only=False)
-                    name = np.array(batch.column(n_columns - 4).slice(lo, n).to_pylist(), dtype=object)
-                    old = np.array(before, dtype=float)
+                    old = np.array(was_least.slice(lo, n).to_numpy(zero_copy_only=False), dtype=float)
                     worse = np.isnan(old) | (old > least)
                     low = np.where(worse, least, old)
-                    mass = mass * np.exp2(-np.minimum(least - low, 1000)) + np.where(np.isnan(old), 0, was * np.exp2(-np.minimum(np.nan_to_num(old) - low, 1000)))
-                    name = np.where(worse, np.array(langs, dtype=object)[best], name)
-                    out = [batch.column(i).slice(lo, n) for i in range(n_columns - 4)]
-                    yield pa.RecordBatch.from_arrays([*out, pa.array(name.tolist(), pa.string()), pa.array(low), pa.array(mass), batch.column(n_columns - 1).slice(lo, n)], names=schema.names)
+                    before = np.where(np.isnan(old), 0, was_mass.slice(lo, n).to_numpy(zero_copy_only=False) * np.exp2(-np.minimum(np.nan_to_num(old) - low, 1000)))
+                    mass = mass * np.exp2(-np.minimum(least - low, 1000)) + before
+                    name = np.where(worse, np.array(langs, dtype=object)[best], np.array(was_lang.slice(lo, n).to_pylist(), dtype=object))
+                    out = [batch.column(i).slice(lo, n) for i in kept]
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(name.tolist(), pa.string()), pa.array(low), pa.array(mass), letter.slice(lo, n), pa.array(np.diff(offsets))], names=schema.names)
 
-        return rows.mapInArrow(score, schema)
+        return rows.select(*own, *state).mapInArrow(score, schema)
 
     for i in range(len(trees.blocks)):
         rows = passed(written(rows, "scored") if i else rows, i)
+    if not trees.blocks:
+        rows = rows.withColumn("_size", F.lit(0).cast("long"))
     good = F.col("_letter") & F.col("_lang").isNotNull()
-    return rows.select(*own, F.when(good, F.col("_lang")).otherwise("und").alias("_lang"), F.when(good, 1 / F.col("_mass")).otherwise(0.0).alias("_score"), F.coalesce(F.col("_least") / F.greatest(F.octet_length("_text"), F.lit(1)), F.lit(0.0)).alias("_bits"))
+    mine = [c for i, c in enumerate(own) if carry or i != at]
+    return rows.select(*mine, F.when(good, F.col("_lang")).otherwise("und").alias("_lang"), F.when(good, 1 / F.col("_mass")).otherwise(0.0).alias("_score"), F.coalesce(F.col("_least") / F.greatest(F.col("_size"), F.lit(1)), F.lit(0.0)).alias("_bits"))
 
 
 def identify(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,7 +295,7 @@ def identify(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
     no language has been learned.  Ties go to the first language by name.  Repeated rows, and rows with a null id, are rows like
     any other.  Other columns are ignored.
     """
-    rows = scored(df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")), trees, "_text")
+    rows = scored(df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")), trees, "_text", carry=False)
     return rows.select(F.col("_c0").alias(id_col), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_bits").alias("bits_per_byte"))
 
 
