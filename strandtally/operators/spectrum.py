@@ -73,9 +73,9 @@ def collected(histogram: DataFrame) -> list[tuple[int, int]]:
 
 
 def filter_only_spectrum(spark: SparkSession, histogram: DataFrame, n_hashes: int, most: int = 255, hint: int | None = None) -> DataFrame:
-    """(estimated_count, estimated_kmers, method, kmer_count_hint)."""
+    """(estimated_count, estimated_kmers, method, kmer_count_hint); without a hint, the one of abundances up to `most`."""
     rows = collected(histogram)
-    hint = count_hint(rows, n_hashes) if hint is None else hint
+    hint = count_hint(rows, n_hashes, most) if hint is None else hint
     out = [(v, n, METHOD, hint) for v, n in filter_only(rows, n_hashes, most, hint)]
     return spark.createDataFrame(out, "estimated_count long, estimated_kmers long, method string, kmer_count_hint long")
 

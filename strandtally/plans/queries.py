@@ -117,15 +117,13 @@ def q_exact_summary(spark: SparkSession, d: str) -> DataFrame:
 def q_deconvolved(spark: SparkSession, d: str) -> DataFrame:
     own = index(spark, d)
     found = spectrum.deconvolve(spectrum.collected(own.counter_histogram()), CONFIG.n_hashes, 64)
-    return spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(found)], "abundance long, expected double")
+    return spark.createDataFrame([(i + 1, round(float(x), 6)) for i, x in enumerate(found)], "abundance long, expected double")
 
 
 def q_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """The scaled positive counters, which stand in where deconvolution finds nothing."""
+    """The scaled positive counters, which stand in where deconvolution finds nothing: here, as empty counters are left out."""
     rows = [(v, n) for v, n in spectrum.collected(index(spark, d).counter_histogram()) if v > 0]
-    positive = sum(n for _, n in rows)
-    held = dict(rows)
-    return spark.createDataFrame([(v, spectrum.half_away(1000 * held.get(v, 0) / positive)) for v in range(1, 33)] if positive else [], "estimated_count long, estimated_kmers long")
+    return spark.createDataFrame(spectrum.filter_only(rows, CONFIG.n_hashes, 32, 1000) if rows else [], "estimated_count long, estimated_kmers long")
 
 
 def q_hint(spark: SparkSession, d: str) -> DataFrame:
@@ -286,6 +284,18 @@ def _estimates(p: str) -> str:
 EST = f"{COUNTS}, {_estimates('d')}"
 PAIR = f"{COUNTS}, {BK}, {_minimizers('b')}, {_windows('bs', 'b', CONFIG.s)}, {_estimates('b')}"
 HIST = f"{COUNTS}, hist AS (SELECT cnt AS counter_value, count(*)::BIGINT AS counters FROM c GROUP BY 1 UNION ALL SELECT 0, {CONFIG.counter_slots} - count(*) FROM c HAVING count(*) < {CONFIG.counter_slots})"
+
+
+def _rates(most: int) -> str:
+    """rates(v, x): the recurrence of the compound Poisson rates, after HIST."""
+    q = f"(SELECT list(coalesce(counters, 0)::DOUBLE / (SELECT counters FROM hist WHERE counter_value = 0) ORDER BY v) AS q FROM generate_series(1, {most}) t(v) LEFT JOIN hist ON counter_value = v)"
+    inner = "list_sum(list_transform(generate_series(1, n), lambda j: j * c[j] * q[n + 1 - j])) / (n + 1)"
+    return (
+        f"qs AS {q}, steps AS (SELECT 1::BIGINT AS n, [q[1]] AS c FROM qs UNION ALL SELECT n + 1, list_append(c, q[n + 1] - {inner}) FROM steps, qs WHERE n < {most}), "
+        f"rates AS (SELECT unnest(generate_series(1, {most})) AS v, greatest(0.0, {CONFIG.counter_slots}::DOUBLE * unnest(c) / {CONFIG.n_hashes}) AS x FROM steps WHERE n = {most})"
+    )
+
+
 SMP = f"sk1 AS (SELECT record_id, i AS kmer_index, code AS kmer, {_mix('(record_id + 1)')} AS r FROM dk WHERE code IS NOT NULL), smp AS (SELECT record_id, kmer_index, kmer FROM (SELECT *, {_mix('xor(r, kmer_index::UBIGINT)')} >> 1 AS x FROM sk1) ORDER BY x, record_id, kmer_index LIMIT {SAMPLE})"
 SUMMARY = "SELECT d.record_id, length(sequence)::BIGINT AS length, coalesce(t, 0)::BIGINT AS total_windows, coalesce(v, 0)::BIGINT AS valid_kmers, round(a, 6) AS mean_abundance, round(m, 6)::DOUBLE AS median_abundance FROM d LEFT JOIN (SELECT record_id, count(*) AS t, count(x) AS v, avg(x) AS a, median(x) AS m FROM (SELECT record_id, {x} AS x FROM dk LEFT JOIN {e} ON dk.code = {e}.kmer) GROUP BY 1) USING (record_id)"
 
@@ -315,6 +325,9 @@ SQL = {
     "sketch_spectrum": f"WITH {EST} SELECT estimate AS estimated_count, count(*)::BIGINT AS kmers FROM e GROUP BY 1",
     "sketch_spectrum_pair": f"WITH {PAIR} SELECT estimate AS estimated_count, count(*)::BIGINT AS kmers FROM e GROUP BY 1",
     "positive_membership": f"WITH {PAIR} SELECT record_id, count(estimate)::BIGINT AS valid_kmers, count(*) FILTER (estimate > 0)::BIGINT AS positive_estimates FROM bk LEFT JOIN e ON bk.code = e.kmer GROUP BY 1",
+    "deconvolved_counts": f"WITH RECURSIVE {HIST}, {_rates(64)} SELECT v::BIGINT AS abundance, round(x, 6) AS expected FROM rates",
+    "filter_only_spectrum": f"WITH RECURSIVE {HIST}, {_rates(64)} SELECT v::BIGINT AS estimated_count, round(x * 10000 / (SELECT sum(x) FROM rates))::BIGINT AS estimated_kmers, 'compound_poisson_counter_deconvolution' AS method, 10000::BIGINT AS kmer_count_hint FROM rates",
+    "count_hint": f"WITH RECURSIVE {HIST}, {_rates(255)} SELECT greatest(1, round(sum(x)))::BIGINT AS kmer_count_hint FROM rates",
     "filter_only_fallback": f"WITH {HIST} SELECT v::BIGINT AS estimated_count, round(1000.0::DOUBLE * coalesce(counters, 0) / (SELECT sum(counters) FROM hist WHERE counter_value > 0))::BIGINT AS estimated_kmers FROM generate_series(1, 32) t(v) LEFT JOIN hist ON counter_value = v",
     "sampled_kmers": f"WITH {DK}, {SMP} SELECT * FROM smp",
     "sampled_spectrum": f"WITH {EST}, {SMP}, r AS (SELECT estimate, count(*)::BIGINT AS n FROM smp JOIN e USING (kmer) GROUP BY 1), l AS (SELECT *, round(n * (SELECT count(*) FROM dk WHERE code IS NOT NULL)::DOUBLE / (SELECT count(*) FROM smp))::BIGINT AS linear FROM r) SELECT estimate AS estimated_count, n AS sampled_kmers, linear AS linear_scaled_windows, CASE WHEN estimate > 0 THEN round(linear::DOUBLE / estimate)::BIGINT ELSE 0 END AS estimated_distinct_kmers FROM l",
