@@ -1,24 +1,29 @@
 """Near-duplicates by the Jaccard similarity of word shingles, for stages of a pipeline.
 
 Candidates share one of BANDS bands of ROWS MinHash values: at a similarity of 0.8 a pair has no band in common
-with probability (1 - 0.8 ** 4) ** 24 = 3e-6.  Each candidate pair is verified on its full shingle sets.
-Texts with equal sets are one entry.  A band's members are first compared with its least member; all pairs
-of the members that are then still apart follow, so a large group of copies costs its size, not its square.
+with probability (1 - 0.8 ** 4) ** 24 = 3e-6.  Of those, pairs that agree in NEAR or more of all 96 values, compared by
+one byte each, form groups (a pair of similarity 0.8 agrees in fewer with probability 3e-7); what joins a group is a
+forest, not all of its pairs.  A group's texts then move once, in blocks if they are many, and all pairs within it that are not yet
+linked are verified on their full shingle sets.  So a large group of copies costs about its size in rows moved, not its square.
+Texts with equal sets are one entry.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandtally.llm._shared import cell_pairs, chunks, components, grouped_blocks, mix64, whole_cells, window_hashes, word_hashes, words, written
+from strandtally.llm._shared import chunks, components, drop_written, grouped_blocks, mix64, release, whole_cells, window_hashes, word_hashes, words, written
 
 BANDS, ROWS = 24, 4
+NEAR = 56
 BLOCK = 2048
+#: shingles of a block of a group
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -32,21 +37,22 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarr
     return out
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, BANDS): a 64-bit key for each band; no set may be empty."""
+def band_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, BANDS): a 64-bit key for each band, and (sets, BANDS * ROWS): a byte of each MinHash value; no set may be empty."""
     joined = np.concatenate(sets)
     at = np.cumsum([0, *map(len, sets)])[:-1]
     odd = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    out = np.zeros((len(sets), BANDS), np.uint64)
+    keys = np.zeros((len(sets), BANDS), np.uint64)
+    sketch = np.zeros((len(sets), BANDS * ROWS), np.uint8)
     for i in range(BANDS * ROWS):
-        least = np.minimum.reduceat((joined ^ odd[2 * i]) * odd[2 * i + 1], at)
-        out[:, i // ROWS] = mix64(out[:, i // ROWS] * np.uint64(0x9E3779B97F4A7C15) + mix64(least) + np.uint64(i // ROWS + 1))
-    return out
+        least = mix64(np.minimum.reduceat((joined ^ odd[2 * i]) * odd[2 * i + 1], at))
+        sketch[:, i] = (least >> np.uint64(56)).astype(np.uint8)
+        keys[:, i // ROWS] = mix64(keys[:, i // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(i // ROWS + 1))
+    return keys, sketch
 
 
-def shingled(rows: DataFrame, width: int, bands: bool) -> DataFrame:
-    """(id, dig, n, bands or shingles) for each (id, text) with words; dig names the set, n is its size."""
-    name = "bands" if bands else "shingles"
+def shingled(rows: DataFrame, width: int) -> DataFrame:
+    """(id, dig, n, bands, sketch) for each (id, text) with words; dig names the set, n is its size."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,60 +66,120 @@ def shingled(rows: DataFrame, width: int, bands: bool) -> DataFrame:
                 # order does not matter for the sum of mixed values, and a set has each once
                 total = np.add.reduceat(mix64(np.concatenate(sets)), np.cumsum(size) - size)
                 dig = mix64(total + size.astype(np.uint64)).view(np.int64)
-                if bands:
-                    flat, ends = band_keys(sets).view(np.int64).reshape(-1), np.arange(len(sets) + 1) * BANDS
-                else:
-                    flat, ends = np.concatenate(sets).view(np.int64), np.concatenate([[0], np.cumsum(size)])
+                keys, sketch = band_keys(sets)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
                 ids = batch.column(0).slice(lo, hi - lo).take(pa.array(some))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(dig), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "dig", "n", name])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(dig), pa.array(size), bands, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["id", "dig", "n", "bands", "sketch"])
+
+    return rows.mapInArrow(mark, "id long, dig long, n long, bands array<long>, sketch binary")
+
 
-    return rows.mapInArrow(mark, f"id long, dig long, n long, {name} array<long>")
+def joined_up(n: np.ndarray, least: float, linked: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Labels of the classes of entries in ascending order of their sizes n; a label is the place of a member.
+
+    linked(i, others) tells which of the others are linked to i.  Entries too different in size
+    aren't asked for, nor those that are of i's class already.
+    """
+    label = np.arange(len(n))
+    ends = np.searchsorted(n, n / least + 1e-9, side="right")
+    for i in range(len(n) - 1):
+        others = i + 1 + np.flatnonzero(label[i + 1 : ends[i]] != label[i])
+        found = np.unique(label[others[linked(i, others)]]) if len(others) else others
+        if len(found):
+            label[np.isin(label, found)] = label[i]
+    return label
 
 
-def alike(pairs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (node_a, node_b) of (a, b, node_a, node_b) whose sets have a Jaccard similarity of `least` or more."""
-    pairs = written(pairs, "pairs")
-    nodes = pairs.select(F.col("node_a").alias("id")).union(pairs.select(F.col("node_b").alias("id"))).distinct()
-    sets = written(shingled(rows.join(nodes, "id", "left_semi"), width, bands=False).select("dig", "shingles").dropDuplicates(["dig"]), "sets")
-    both = pairs.join(sets.select(F.col("dig").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("dig").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    good = common >= F.lit(least) * (F.size("sa") + F.size("sb") - common) - 1e-9
-    return written(both.where(good).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "alike")
+def edges_of(node: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """Edges (a, b) from each entry to the one that its class is named after."""
+    a, b = node[label], node
+    return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+
+def bounds(cells: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and end position of each run of equal cells."""
+    cuts = np.flatnonzero(cells[1:] != cells[:-1]) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)], strict=True)
+
+
+def candidate_edges(lists: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) of nodes that share a band and agree in NEAR of their MinHash values; lists(key, node, n, sketch)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_cells(batches):
+            cell, node, n = (part.column(i).to_numpy() for i in range(3))
+            sketch = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+            for lo, hi in bounds(cell):
+                order = lo + np.argsort(n[lo:hi], kind="stable")
+                own = sketch[order]
+                label = joined_up(n[order], least, lambda i, others, own=own: np.count_nonzero(own[others] == own[i], axis=1) >= NEAR)
+                yield edges_of(node[order], label)
+
+    cells = grouped_blocks(lists, "key", "node", BLOCK).select("cell", "node", "n", "sketch")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
+
+
+def verified_edges(groups: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """Edges (a, b) that join all nodes of groups(node, root, n) that are linked by similarities of `least` or more within a group."""
+    parts = groups.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("_parts"))
+    own = F.pmod(F.xxhash64("node", F.lit(13)), "_parts").cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda other: F.xxhash64("root", F.least("_own", other), F.greatest("_own", other)))
+    dealt = groups.join(parts, "root").withColumn("_own", own).select("node", cells.alias("cells"))
+    # whole texts move by id once, repeated ones as one, and then to their cells
+    texts = rows.groupBy(F.col("id").alias("node")).agg(F.collect_set("text").alias("texts"))
+    moved = texts.join(dealt.hint("shuffle_merge"), "node").select("node", "cells", F.explode("texts").alias("text")).select(F.explode("cells").alias("cell"), "node", "text")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_cells(batches, 1):
+            for lo, hi in bounds(part.column(0).to_numpy()):
+                some = part.slice(lo, hi - lo)
+                node = some.column(1).to_numpy()
+                sets = [s for piece in some.column(2).chunks for _, _, data, offsets in chunks(piece) for s in shingles(data, offsets, width)]
+                n = np.array([len(s) for s in sets])
+                order = np.argsort(n, kind="stable")[np.count_nonzero(n == 0) :]
+                if len(order) < 2:
+                    continue
+                node, n = node[order], n[order]
+                names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+                own = np.split(flat.astype(np.int32), np.cumsum(n)[:-1])
+                mark = np.zeros(len(names), np.uint8)
+
+                def linked(i: int, others: np.ndarray, n=n, own=own, mark=mark) -> np.ndarray:
+                    mark[own[i]] = 1
+                    size = n[others]
+                    common = np.add.reduceat(mark[np.concatenate([own[j] for j in others])], np.cumsum(size) - size, dtype=np.int64)
+                    mark[own[i]] = 0
+                    return common >= least * (n[i] + size - common) - 1e-9
+
+                yield edges_of(node, joined_up(n, least, linked))
+
+    return moved.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "a long, b long")
 
 
 def similar_components(df: DataFrame, links: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """(node, root) for the ids that are linked to another: by a similarity of `least` or more, or by links (a, b).
+    """(node, root) for the ids that reach a smaller one: by similarities of `least` or more, or by links (a, b).
 
-    Null ids and texts without words are linked by nothing here.
+    Null ids and texts without words are linked by nothing here.  Of different texts with one id each counts.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    marked = written(shingled(rows, width, bands=True), "bands")
-    reps = written(marked.groupBy("dig").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
-    equal = marked.join(reps.select("dig", "node"), "dig").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    lists = reps.select("dig", "node", "n", F.explode("bands").alias("key"))
-    many = lists.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("dig", "node", "n")).alias("m")).where("size > 1")
-    near = F.least("n", "m.n") >= F.lit(least) * F.greatest("n", "m.n") - 1e-9
-    stars = lists.join(many.select("key", "m"), "key").where((F.col("dig") > F.col("m.dig")) & near)
-    stars = stars.select(F.col("m.dig").alias("a"), F.col("dig").alias("b"), F.col("m.node").alias("node_a"), F.col("node").alias("node_b")).distinct()
-    edges = alike(stars, rows, width, least).unionByName(equal)
+    marked = written(shingled(rows, width), "bands")
+    # equal sets have equal sizes, bands and sketches
+    entries = written(marked.groupBy("dig").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")]), "entries")
+    equal = written(marked.select("id", "dig").join(entries.select("dig", "node"), "dig").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")), "equal")
+    drop_written(marked)
+    lists = entries.select("dig", F.explode("bands").alias("key"))
+    shared = written(lists.join(lists.groupBy("key").agg(F.count("*").alias("_size")).where("_size > 1").select("key"), "key", "left_semi"), "shared")
+    release(spark)
+    cells = shared.join(entries.select("dig", "node", "n", "sketch"), "dig").select("key", "node", "n", "sketch")
+    roots = components(candidate_edges(cells, least))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    drop_written(shared)
+    groups = written(roots.join(entries.groupBy("node").agg(F.sum("n").alias("n")), "node"), "groups")
+    drop_written(entries)
+    release(spark)
+    edges = verified_edges(groups, rows, width, least)
+    edges = edges.unionByName(equal)
     if links is not None:
         edges = edges.unionByName(links.select("a", "b"))
-    root = written(components(edges), "roots")
-    # members of a band that are still apart
-    rest = lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = lists.join(root, "node", "left").groupBy("key").agg(F.min(F.coalesce("root", "node")).alias("lo"), F.max(F.coalesce("root", "node")).alias("hi")).where("lo <> hi").select("key")
-    cells = grouped_blocks(rest.join(apart, "key", "left_semi"), "key", "dig", BLOCK).select("cell", "dig", "node", "root", "n")
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_cells(batches):
-            dig, node, top, n = (part.column(i).to_numpy() for i in range(1, 5))
-            for a, b in cell_pairs(part.column(0).to_numpy()):
-                good = (top[a] != top[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9)
-                a, b = a[good], b[good]
-                a, b = np.where(dig[a] < dig[b], a, b), np.where(dig[a] < dig[b], b, a)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(dig[a]), pa.array(dig[b]), pa.array(node[a]), pa.array(node[b])], names=["a", "b", "node_a", "node_b"])
-
-    pairs = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(pair, "a long, b long, node_a long, node_b long").distinct()
-    more = alike(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), rows, width, least)
-    return components(more.unionByName(root.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return components(edges)

@@ -594,6 +594,37 @@ def test_pipeline_removes_copies_of_similarity_08(spark):
     assert kept == set(root)
 
 
+@pytest.mark.parametrize("shingles, rows", [(1 << 20, 2048), (700, 4)])
+def test_similar_components_match_brute_force_in_blocks(spark, monkeypatch, shingles, rows):
+    from strandtally.llm import similar
+
+    monkeypatch.setattr(similar, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(similar, "BLOCK", rows)
+    rng = np.random.default_rng(12)
+    pool = [f"w{i}" for i in range(3000)]
+    texts = [None, "", "one", "one", "one two"]
+    for _ in range(4):
+        base = rng.choice(pool, 150)
+        for j in range(25):  # copies of a copy, so that similarities within a group are of every size
+            base = base.copy()
+            base[rng.integers(0, 150, int(rng.integers(0, 4)))] = f"new{j}"
+            texts.append(" ".join(base))
+    texts += [texts[-1]] * 5
+    ids = [*range(len(texts) - 3), 7, 7, None]  # one id with several texts, some of them repeated, and none
+    rows_ = list(zip(ids, texts, strict=True)) + [(9, texts[9])] * 20
+    sets = jaccard_sets([t for _, t in rows_])
+    links = []
+    for a in range(len(rows_)):
+        for b in range(a):
+            if None not in (rows_[a][0], rows_[b][0]) and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links.append((rows_[a][0], rows_[b][0]))
+    want = {i: r for i, r in enumerate(closed(links, len(texts))) if i != r}
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(5)
+    got = {r["node"]: r["root"] for r in similar.similar_components(df).collect()}
+    assert got == want and len(set(want.values())) > 3
+    assert similar.similar_components(df.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("shares", [(0.4, 0.2, 0.3, 0.1), (0.2, 0.3, 0.3, 0.2), (0.02, 0.6, 0.08, 0.3)])
 @pytest.mark.parametrize("sure", [1.0, 0.9])
 def test_mixing_meets_targets_of_skewed_shares(spark, shares, sure):
