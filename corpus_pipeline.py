@@ -45,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Thins the domains to the target weights; the leading domain stays whole."""
     rated = mixing.mix(docs.where("doc_id is not null"), table(spark, sf_dir, "labels"), most=1.0, anchor=True)
     kept = written(rated.where("copies > 0").select("doc_id").distinct(), "mixed")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return docs.join(kept.hint("shuffle_merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
