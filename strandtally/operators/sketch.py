@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandtally.config import SketchConfig
@@ -76,8 +76,14 @@ def inserted_totals(reads: DataFrame, config: SketchConfig) -> DataFrame:
 
 
 def block_rows(index: DataFrame) -> DataFrame:
-    """(block, counters map<int,bigint>): a row for each occupied block."""
-    return index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("slot", "cnt"))).alias("counters"))
+    """(block, counters array<bigint>): a row for each occupied block, its counters by slot up to the last that isn't empty."""
+    rows = index.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slot", "cnt"))).alias("_some"))
+
+    def filled(x: Column, i: Column) -> Column:
+        gap = x["slot"] - F.coalesce(F.get("_some", i - 1)["slot"], F.lit(-1)) - 1
+        return F.concat(F.array_repeat(F.lit(0).cast("long"), gap), F.array(x["cnt"]))
+
+    return rows.select("block", F.flatten(F.transform("_some", filled)).alias("counters"))
 
 
 def kmer_estimates(reads: DataFrame, index: DataFrame, config: SketchConfig) -> DataFrame:
@@ -86,7 +92,7 @@ def kmer_estimates(reads: DataFrame, index: DataFrame, config: SketchConfig) ->
     One join by block (a block has at most block_slots counters); a k-mer's estimate is the least of its slots, 0 if one is empty.
     """
     joined = kmer_probes(reads, config).join(block_rows(index), "block", "left")
-    least = F.array_min(F.transform("slots", lambda s: F.coalesce(F.try_element_at(F.col("counters"), s), F.lit(0))))
+    least = F.array_min(F.transform("slots", lambda s: F.coalesce(F.get("counters", s), F.lit(0).cast("long"))))
     return joined.select("kmer", "n", least.cast("long").alias("estimate"))
 
 
