@@ -30,15 +30,15 @@ class SketchConfig:
 
     def __post_init__(self) -> None:
         checks = (
-            (1 <= self.k <= 32, "k must be in 1..=32"),
-            (1 <= self.m <= self.k, "m must be in 1..=k"),
-            (1 <= self.s <= min(self.k, 32), "s must be in 1..=k"),
-            (self.k % 2 == 1, "k must be odd"),
-            (self.n_hashes > 0, "n_hashes must be positive"),
-            (self.counter_bits in COUNTER_BITS, "counter_bits must be 8, 16 or 32"),
-            (0 <= self.block_slots_exponent < self.counter_slots_exponent < 63, "block_slots_exponent must be below counter_slots_exponent"),
-            (self.threads > 0, "threads must be positive"),
-            (self.queue > 0, "queue must be positive"),
+            (1 <= self.k <= 32, "a k-mer needs between 1 and 32 bases (k)"),
+            (1 <= self.m <= self.k, "minimizers (m) need at least one base and fit into a k-mer"),
+            (1 <= self.s <= min(self.k, 32), "s-mers (s) need at least one base and fit into a k-mer"),
+            (self.k % 2 == 1, "an even k could equal its own reverse complement; take an odd one"),
+            (self.n_hashes > 0, "at least one hash is needed (n_hashes)"),
+            (self.counter_bits in COUNTER_BITS, "counters have 8, 16 or 32 bits (counter_bits)"),
+            (0 <= self.block_slots_exponent < self.counter_slots_exponent < 63, "a block (block_slots_exponent) has to be smaller than the sketch (counter_slots_exponent, below 63)"),
+            (self.threads > 0, "at least one thread is needed (threads)"),
+            (self.queue > 0, "the queue holds at least one batch (queue)"),
             (self.segmentation in ("position", "value"), "segmentation must be position or value"),
             (self.segmentation == "position" or self.s % 2 == 1, "segmentation by value needs an odd s"),
         )
