@@ -9,9 +9,11 @@ import argparse
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandtally.config import SketchConfig, parse_counter_bits
+from strandtally.operators import sketch, spectrum
 from strandtally.plans.index import IndexBuilder, SketchIndex
 from strandtally.sources import sinks
 from strandtally.sources.fastx import read_fastx
@@ -71,6 +73,30 @@ def answer(index: SketchIndex, spark: SparkSession, a: argparse.Namespace) -> No
         sinks.write_csv(sinks.slow_rows(index.abundances(reads), reads), a.output)
 
 
+def run_spectrum(index: SketchIndex, reads: DataFrame, asked: DataFrame, a: argparse.Namespace) -> None:
+    """The spectrum (unless only stream figures are asked for) and a line of figures, each part timed as it is made."""
+    times = [time.time()]
+    built = sketch.inserted_totals(reads, index.config).first()
+    index.counters.count()
+    times.append(time.time())
+    # at most a row for each abundance
+    found = spectrum.spectrum_totals(index.estimates(asked)).persist()
+    v, n = F.col("estimated_count"), F.col("windows")
+    sums = found.agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("long") for x in (n, F.when(v > 0, n), (v * n).cast("decimal(38,0)"), F.col("kmers"))]).first()
+    times.append(time.time())
+    if not a.stream_query_only:
+        sinks.write_spectrum(found, a.spectrum_out)
+    times.append(time.time())
+    found.unpersist()
+    row = {"chunks": built["chunks"], "indexed_kmers": built["inserted_kmers"], "queried_kmers": sums[0], "positive_estimates": sums[1], "inserted_smers": built["inserted_smers"]}
+    row |= {"estimate_checksum": sums[2]} if a.stream_query_only else {"distinct_keys": sums[3]}
+    row |= {"counter_bits": index.config.counter_bits, "counter_slots": index.config.counter_slots, "blocks": index.config.blocks}
+    spent = dict(zip(("build_s", "query_s", "spectrum_s"), [y - x for x, y in zip(times, times[1:], strict=False)], strict=True)) | {"total_s": times[-1] - times[0]}
+    if a.stream_query_only:
+        del spent["spectrum_s"]
+    sinks.metrics_line(row | {k: f"{x:.3f}" for k, x in spent.items()})
+
+
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("strandtally").getOrCreate()
@@ -84,7 +110,6 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "query-abundance":
         answer(SketchIndex.build(spark, read_fastx(spark, a.index), config_of(a)), spark, a)
     else:
-        began = time.time()
         reads = read_fastx(spark, a.input)
         index = SketchIndex.build(spark, reads, config_of(a))
         index.counters = index.counters.persist()
@@ -96,10 +121,8 @@ def main(args: list[str] | None = None) -> int:
             sinks.write_csv(index.sampled_spectrum(reads, a.sample_size, a.seed), a.output, single=True)
         else:
             asked = read_fastx(spark, a.query_input) if a.query_input else reads
-            if not a.stream_query_only:
-                sinks.write_spectrum(index.spectrum(asked), a.spectrum_out)
-            stats = index.stream_stats(asked).first().asDict()
-            sinks.metrics_line({**stats, "total_s": f"{time.time() - began:.3f}"})
+            run_spectrum(index, reads, asked, a)
+        index.counters.unpersist()
     return 0
 
 

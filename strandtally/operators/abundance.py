@@ -19,11 +19,12 @@ def abundance_windows(reads: DataFrame, estimates: DataFrame, k: int) -> DataFra
 
 
 def sequence_summary(reads: DataFrame, abundance: DataFrame) -> DataFrame:
-    """(record_id, length, total_windows, valid_kmers, mean_abundance, median_abundance); the last two null without valid windows."""
+    """(record_id, length, total_windows, valid_kmers, mean_abundance, median_abundance); the last two null without valid windows.  Windows of equal ids, null ids among them, are taken together."""
     by = abundance.groupBy("record_id").agg(F.count("*").alias("total_windows"), F.count("abundance").alias("valid_kmers"), F.avg("abundance").alias("mean_abundance"), F.median("abundance").alias("median_abundance"))
     sizes = reads.select("record_id", F.length(F.coalesce("sequence", F.lit(""))).cast("long").alias("length"))
     zero = F.lit(0).cast("long")
-    return sizes.join(by, "record_id", "left").select("record_id", "length", F.coalesce("total_windows", zero).alias("total_windows"), F.coalesce("valid_kmers", zero).alias("valid_kmers"), "mean_abundance", "median_abundance")
+    by = by.withColumnRenamed("record_id", "_record")
+    return sizes.join(by, F.col("record_id").eqNullSafe(F.col("_record")), "left").select("record_id", "length", F.coalesce("total_windows", zero).alias("total_windows"), F.coalesce("valid_kmers", zero).alias("valid_kmers"), "mean_abundance", "median_abundance")
 
 
 def query_report(reads: DataFrame, estimates: DataFrame, k: int) -> DataFrame:

@@ -122,6 +122,8 @@ def scans(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, int
     reads = batch.column(column)
     if not len(reads):
         return
+    if pa.types.is_large_string(reads.type):
+        reads = reads.cast(pa.string())
     held = reads.buffers()
     offsets = np.frombuffer(held[1], np.int32, len(reads) + reads.offset + 1)[reads.offset :].astype(np.int64)
     data = np.frombuffer(held[2], np.uint8) if held[2] is not None and held[2].size else np.zeros(0, np.uint8)
@@ -132,16 +134,15 @@ def scans(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, int
         lo = hi
 
 
-def per_scan(reads: DataFrame, k: int, schema: str, fn: Callable[[np.ndarray, Scan], list[np.ndarray | pa.Array]]) -> DataFrame:
+def per_scan(reads: DataFrame, k: int, schema: str, fn: Callable[[pa.Array, Scan], list[np.ndarray | pa.Array]]) -> DataFrame:
     """What fn makes of (record ids, scan), as rows of the schema."""
     names = [part.split()[0] for part in schema.split(",")]
     rows = reads.select(F.col("record_id").cast("long"), F.coalesce(F.col("sequence"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             for lo, hi, scan in scans(batch, 1, k):
-                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in fn(ids[lo:hi], scan)]
+                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in fn(batch.column(0).slice(lo, hi - lo), scan)]
                 full = pa.RecordBatch.from_arrays(made, names=names)
                 for at in range(0, full.num_rows, 200_000):
                     yield full.slice(at, 200_000)

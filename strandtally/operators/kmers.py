@@ -20,8 +20,8 @@ def valid_runs(reads: DataFrame, k: int) -> DataFrame:
 def windows(reads: DataFrame, k: int) -> DataFrame:
     """(record_id, kmer_index, kmer): a row for each window; kmer is the canonical code, null where the window isn't ACGT alone."""
 
-    def fn(ids: np.ndarray, s: Scan) -> list:
-        return [ids[s.read], s.place, pa.array(s.canonical(k)[s.at].astype(np.int64), mask=~s.valid)]
+    def fn(ids: pa.Array, s: Scan) -> list:
+        return [ids.take(pa.array(s.read)), s.place, pa.array(s.canonical(k)[s.at].astype(np.int64), mask=~s.valid)]
 
     return per_scan(reads, k, "record_id long, kmer_index long, kmer long", fn)
 
@@ -29,7 +29,7 @@ def windows(reads: DataFrame, k: int) -> DataFrame:
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
     """(kmer, n): exact counts of canonical k-mers; batches are pre-aggregated before the shuffle."""
 
-    def fn(ids: np.ndarray, s: Scan) -> list:
+    def fn(ids: pa.Array, s: Scan) -> list:
         return list(np.unique(s.canonical(k)[s.at[s.valid]].astype(np.int64), return_counts=True))
 
     return per_scan(reads, k, "kmer long, n long", fn).groupBy("kmer").agg(F.sum("n").alias("n"))
@@ -43,10 +43,10 @@ def smers(reads: DataFrame, s: int) -> DataFrame:
 def minimizers(reads: DataFrame, config: SketchConfig) -> DataFrame:
     """(record_id, kmer_index, minimizer_position, minimizer_hash) of valid windows; the hash as signed BIGINT."""
 
-    def fn(ids: np.ndarray, s: Scan) -> list:
+    def fn(ids: pa.Array, s: Scan) -> list:
         position, hashes = s.minimizers(config.m)
         v = s.valid
-        return [ids[s.read[v]], s.place[v], (position - s.offsets[:-1][s.read])[v], hashes[v].view(np.int64)]
+        return [ids.take(pa.array(s.read[v])), s.place[v], (position - s.offsets[:-1][s.read])[v], hashes[v].view(np.int64)]
 
     return per_scan(reads, config.k, "record_id long, kmer_index long, minimizer_position long, minimizer_hash long", fn)
 
@@ -54,9 +54,9 @@ def minimizers(reads: DataFrame, config: SketchConfig) -> DataFrame:
 def super_kmers(reads: DataFrame, config: SketchConfig) -> DataFrame:
     """(record_id, first_window, n_windows, block)."""
 
-    def fn(ids: np.ndarray, s: Scan) -> list:
+    def fn(ids: pa.Array, s: Scan) -> list:
         first, size, hashes = s.segments(config.m, config.segmentation == "value")
-        return [ids[s.read[first]], s.place[first], size, (hashes & np.uint64(config.blocks - 1)).astype(np.int64)]
+        return [ids.take(pa.array(s.read[first])), s.place[first], size, (hashes & np.uint64(config.blocks - 1)).astype(np.int64)]
 
     return per_scan(reads, config.k, "record_id long, first_window long, n_windows long, block long", fn)
 
@@ -67,7 +67,7 @@ def kmer_probes(reads: DataFrame, config: SketchConfig) -> DataFrame:
     Block and slots depend on the k-mer alone, so any of its windows will do.
     """
 
-    def fn(ids: np.ndarray, s: Scan) -> list:
+    def fn(ids: pa.Array, s: Scan) -> list:
         own = np.flatnonzero(s.valid)
         kmer, lead, n = np.unique(s.canonical(config.k)[s.at[own]].astype(np.int64), return_index=True, return_counts=True)
         _, hashes = s.minimizers(config.m)

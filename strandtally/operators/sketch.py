@@ -63,14 +63,16 @@ def counters(partial: DataFrame, config: SketchConfig) -> DataFrame:
 
 
 def inserted_totals(reads: DataFrame, config: SketchConfig) -> DataFrame:
-    """One row: records_processed, records_indexed, inserted_kmers, inserted_smers, super_kmers."""
+    """One row: records_processed, records_indexed, chunks (runs of k valid bases or more), inserted_kmers, inserted_smers, super_kmers."""
 
-    def fn(ids: np.ndarray, s: Scan) -> list:
+    def fn(ids: pa.Array, s: Scan) -> list:
         first, size, _ = s.segments(config.m, config.segmentation == "value")
         good = np.bincount(s.read[s.valid], minlength=len(ids)) > 0
-        return [np.array([x], dtype=np.int64) for x in (len(ids), good.sum(), size.sum(), size.sum() + len(size) * (config.k - config.s), len(size))]
+        run = s.valid.copy()
+        run[1:] &= ~(s.valid[:-1] & (s.read[1:] == s.read[:-1]))
+        return [np.array([x], dtype=np.int64) for x in (len(ids), good.sum(), run.sum(), size.sum(), size.sum() + len(size) * (config.k - config.s), len(size))]
 
-    names = ["records_processed", "records_indexed", "inserted_kmers", "inserted_smers", "super_kmers"]
+    names = ["records_processed", "records_indexed", "chunks", "inserted_kmers", "inserted_smers", "super_kmers"]
     rows = per_scan(reads, config.k, ", ".join(f"{n} long" for n in names), fn)
     return rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
 

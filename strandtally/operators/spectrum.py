@@ -17,6 +17,11 @@ def spectrum(estimates: DataFrame, column: str = "estimate") -> DataFrame:
     return estimates.groupBy(F.col(column).alias("estimated_count")).agg(F.count("*").alias("kmers")).orderBy("estimated_count")
 
 
+def spectrum_totals(estimates: DataFrame) -> DataFrame:
+    """(estimated_count, kmers, windows): the spectrum with the windows that its k-mers have, from (kmer, n, estimate)."""
+    return estimates.groupBy(F.col("estimate").alias("estimated_count")).agg(F.count("*").alias("kmers"), F.sum("n").alias("windows"))
+
+
 def deconvolve(histogram: Sequence[tuple[int, int]], n_hashes: int, most: int) -> list[float]:
     """Expected numbers of keys of abundance 1..most from (counter value, counters).
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,12 @@ class IndexBuilder:
         self.partial: list[DataFrame] = []
         self.inserted_kmers = self.inserted_smers = 0
 
+    def set_threads(self, n: int) -> None:
+        """Checked and kept in the configuration; Spark decides how many tasks run."""
+        self.config = replace(self.config, threads=n)
+
     def add(self, reads: DataFrame) -> dict:
-        """Adds reads(record_id, sequence); returns records_processed, records_indexed, inserted_kmers, inserted_smers, super_kmers."""
+        """Adds reads(record_id, sequence); returns records_processed, records_indexed, chunks, inserted_kmers, inserted_smers, super_kmers."""
         report = sketch.inserted_totals(reads, self.config).first().asDict()
         self.partial.append(sketch.increments(reads, self.config))
         self.inserted_kmers += report["inserted_kmers"]

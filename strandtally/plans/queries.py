@@ -316,7 +316,7 @@ SQL = {
     "index_counters": f"WITH {COUNTS} SELECT * FROM c",
     "index_counters_u8": f"WITH {COUNTS} SELECT block, slot, least(n, 255)::BIGINT AS cnt FROM dc",
     "counter_histogram": f"WITH {HIST} SELECT * FROM hist",
-    "build_report": f"WITH {SEG} SELECT (SELECT count(*) FROM d)::BIGINT AS records_processed, count(DISTINCT record_id)::BIGINT AS records_indexed, sum(n_windows)::BIGINT AS inserted_kmers, (sum(n_windows) + count(*) * {CONFIG.k - CONFIG.s})::BIGINT AS inserted_smers, count(*)::BIGINT AS super_kmers FROM dsk",
+    "build_report": f"WITH {SEG} SELECT (SELECT count(*) FROM d)::BIGINT AS records_processed, count(DISTINCT record_id)::BIGINT AS records_indexed, (SELECT count(*) FROM (SELECT DISTINCT record_id, i - o FROM (SELECT record_id, i, row_number() OVER (PARTITION BY record_id ORDER BY i) AS o FROM dk WHERE code IS NOT NULL)))::BIGINT AS chunks, sum(n_windows)::BIGINT AS inserted_kmers, (sum(n_windows) + count(*) * {CONFIG.k - CONFIG.s})::BIGINT AS inserted_smers, count(*)::BIGINT AS super_kmers FROM dsk",
     "kmer_estimates": f"WITH {EST} SELECT * FROM e",
     "kmer_abundance_windows": f"WITH {EST} SELECT record_id, i AS kmer_index, coalesce(estimate, -1)::BIGINT AS abundance FROM dk LEFT JOIN e ON dk.code = e.kmer",
     "sequence_summary": f"WITH {EST} " + SUMMARY.format(x="estimate", e="e"),
