@@ -1,4 +1,3 @@
-import itertools
 from collections import Counter
 
 import numpy as np
@@ -70,6 +69,16 @@ def test_windows_mark_what_is_not_acgt(spark):
     assert [(r["run_start"], r["run"]) for r in runs] == [(0, "ACGTAC"), (8, "ACGTAC")]
 
 
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 40_000])
+def test_runs_of_long_sequences(spark, n):
+    import re
+
+    rng = np.random.default_rng(n)
+    text = "".join("ACgT"[: 1 + i % 4] * (1 + i % 3) + "N" * int(x) for i, x in enumerate(rng.integers(1, 4, n)))
+    found = [(r["run_start"], r["run"]) for r in kmers.valid_runs(reads(spark, text), 5).collect()]
+    assert found == [(m.start(), m[0].upper()) for m in re.finditer("[ACGTacgt]+", text) if len(m[0]) >= 5]
+
+
 @pytest.mark.parametrize(("k", "m", "s"), [(9, 5, 7), (9, 5, 9), (11, 5, 8), (13, 7, 9)])
 @pytest.mark.parametrize("bits", [8, 16, 32])
 def test_estimates_never_fall_below_counts(spark, k, m, s, bits):
@@ -167,4 +176,3 @@ def test_segments_do_not_depend_on_batches(spark):
     assert one == many
     assert sum(r[2] for r in one) == sum(max(0, len(t) - 8) for t in texts)
     assert all(n >= 1 for *_, n, _ in one) and len({r[:2] for r in one}) == len(one)
-    assert list(itertools.chain()) == []
