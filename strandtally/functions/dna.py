@@ -31,6 +31,11 @@ def kmer_code(x: Column) -> Column:
     return F.conv(F.translate(x, "ACGT", "0123"), 4, 10).cast("bigint")
 
 
+def kmer_text(code: Column, k: int) -> Column:
+    """The k bases of a code."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
 def text_as_dna(x: Column) -> Column:
     """Ordinary text as DNA: letters and blanks become bases, all else N."""
     return F.regexp_replace(F.translate(x, LETTERS, AS_BASES), "[^ACGT]", "N")

@@ -26,6 +26,11 @@ def windows(reads: DataFrame, k: int) -> DataFrame:
     return per_scan(reads, k, "record_id long, kmer_index long, kmer long", fn)
 
 
+def valid_windows(reads: DataFrame, k: int) -> DataFrame:
+    """One row: n, the number of windows that are ACGT alone."""
+    return per_scan(reads, k, "n long", lambda _, s: [np.array([s.valid.sum()], dtype=np.int64)]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
     """(kmer, n): exact counts of canonical k-mers; batches are pre-aggregated before the shuffle."""
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandtally.functions import dna
 from strandtally.functions.hashing import with_mix64
 
 METHOD = "compound_poisson_counter_deconvolution"
@@ -96,12 +98,20 @@ def sampled_windows(windows: DataFrame, size: int, seed: int = 1) -> DataFrame:
     return rows.orderBy("_mix", "record_id", "kmer_index").limit(size).select("record_id", "kmer_index", "kmer")
 
 
-def sampled_spectrum(sample: DataFrame, estimates: DataFrame, total_windows: int) -> DataFrame:
-    """(estimated_count, sampled_kmers, linear_scaled_windows, estimated_distinct_kmers)."""
-    rows = sample.join(estimates.select("kmer", "estimate"), "kmer").groupBy(F.col("estimate").alias("estimated_count")).agg(F.count("*").alias("sampled_kmers"))
-    # the sample's size arrives as a one-row table, so the plan needs no action
-    size = sample.agg(F.count("*").alias("_size"))
-    linear = F.round(F.col("sampled_kmers") * F.lit(float(total_windows)) / F.col("_size"))
-    rows = rows.crossJoin(F.broadcast(size)).withColumn("linear_scaled_windows", linear.cast("long"))
+def sampled_reads(sample: DataFrame, k: int) -> DataFrame:
+    """reads(record_id, sequence): a read of k bases for each row of the sample, so that only its k-mers are probed."""
+    return sample.select("record_id", dna.kmer_text(F.col("kmer"), k).alias("sequence"))
+
+
+def sampled_spectrum(estimates: DataFrame, total: DataFrame) -> DataFrame:
+    """(estimated_count, sampled_kmers, linear_scaled_windows, estimated_distinct_kmers), from the sample's (kmer, n, estimate).
+
+    total(n): one row, the number of windows that the sample is drawn from.
+    """
+    rows = estimates.groupBy(F.col("estimate").alias("estimated_count")).agg(F.sum("n").alias("sampled_kmers"))
+    # a row for each abundance: the size of the sample is their sum
+    size = F.sum("sampled_kmers").over(W.partitionBy(F.lit(0)))
+    rows = rows.withColumn("_size", size).crossJoin(F.broadcast(total.select(F.col("n").cast("double").alias("_total"))))
+    rows = rows.withColumn("linear_scaled_windows", F.round(F.col("sampled_kmers") * F.col("_total") / F.col("_size")).cast("long"))
     distinct = F.when(F.col("estimated_count") > 0, F.round(F.col("linear_scaled_windows") / F.col("estimated_count"))).otherwise(0).cast("long")
     return rows.select("estimated_count", "sampled_kmers", "linear_scaled_windows", distinct.alias("estimated_distinct_kmers")).orderBy("estimated_count")

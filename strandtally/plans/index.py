@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandtally.config import ConfigError, IndexFormatError, SketchConfig
 from strandtally.operators import abundance as ab
 from strandtally.operators import sketch, spectrum
-from strandtally.operators.kmers import windows
+from strandtally.operators.kmers import valid_windows, windows
 from strandtally.sources.fastx import read_fastx
 
 FORMAT, VERSION = "blocked-counting-sketch", 1
@@ -125,6 +125,6 @@ class SketchIndex:
         return spectrum.count_hint(spectrum.collected(self.counter_histogram()), self.config.n_hashes)
 
     def sampled_spectrum(self, reads: DataFrame, size: int = 1_000_000, seed: int = 1) -> DataFrame:
-        every = windows(reads, self.config.k)
-        total = every.where("kmer is not null").count()
-        return spectrum.sampled_spectrum(spectrum.sampled_windows(every, size, seed), self.estimates(reads), total)
+        k = self.config.k
+        sample = spectrum.sampled_windows(windows(reads, k), size, seed)
+        return spectrum.sampled_spectrum(self.estimates(spectrum.sampled_reads(sample, k)), valid_windows(reads, k))

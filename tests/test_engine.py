@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandtally import ConfigError, SketchConfig
 from strandtally.config import IndexFormatError
+from strandtally.functions import dna
 from strandtally.functions.hashing import mix64, with_mix64
 from strandtally.operators import kmers, spectrum
 from strandtally.plans.index import IndexBuilder, SketchIndex
@@ -69,6 +70,12 @@ def test_windows_mark_what_is_not_acgt(spark):
     assert [(r["run_start"], r["run"]) for r in runs] == [(0, "ACGTAC"), (8, "ACGTAC")]
 
 
+def test_text_of_codes(spark):
+    texts = ["A" * 31, "T" * 31, "GATTACA" * 4 + "CCC"]
+    rows = spark.createDataFrame([(t, code(t)) for t in texts], "t string, c long").select("t", dna.kmer_text(F.col("c"), 31).alias("back")).collect()
+    assert all(r["t"] == r["back"] for r in rows)
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 40_000])
 def test_runs_of_long_sequences(spark, n):
     import re
