@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -113,11 +114,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_LOWER_VALUES = _BYTE_VALUES.copy()
-_LOWER_VALUES[65:91] = _BYTE_VALUES[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = np.arange(97, 123)
 _RADIX = 0x5851F42D4C957F2D
-_RADIX_INVERSE = pow(_RADIX, -1, 1 << 64)
+#: keeps the first n bytes of a little-endian lane
+_LANE = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 256
 
 
 class Powers:
@@ -159,19 +161,30 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word; with lower, A-Z count as a-z."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    values = _LOWER_VALUES if lower else _BYTE_VALUES
+    """A 64-bit hash of each word; with lower, A-Z count as a-z.
+
+    Words are taken by lanes of eight bytes, each mixed into what came before, so that words of equal length
+    up to a lane never share a hash, and no structure of longer ones cancels out; very long words are digested whole.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     at = 0
     while at < len(starts):  # a piece of about CHUNK_BYTES at a time; a longer word is a piece of its own
         base = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, side="right")))
         piece = data[base : ends[to - 1]]
-        up, down = _POWERS.get(len(piece) + 1)
-        total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(values[piece] * up[: len(piece)], out=total[1:])
-        first, last = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = mix64((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+        piece = np.concatenate([_LOWER[piece] if lower else piece, np.zeros(8, np.uint8)])
+        lanes = np.lib.stride_tricks.as_strided(piece[:8].view(np.uint64), (len(piece) - 7,), (1,))
+        first, own = starts[at:to] - base, size[at:to]
+        for i in np.flatnonzero(own > LONG_WORD):
+            out[at + i] = int.from_bytes(hashlib.blake2b(piece[first[i] : first[i] + own[i]], digest_size=8).digest(), "little")
+        live = np.flatnonzero(own <= LONG_WORD)
+        place = 0
+        while len(live):
+            lane = lanes[first[live] + place] & _LANE[np.minimum(own[live] - place, 8)]
+            out[at + live] = mix64((out[at + live] ^ lane) * np.uint64(_RADIX) + np.uint64(place + 1))
+            place += 8
+            live = live[own[live] > place]
         at = to
     return out
 
