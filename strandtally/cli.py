@@ -77,7 +77,7 @@ def run_spectrum(index: SketchIndex, reads: DataFrame, asked: DataFrame, a: argp
     """The spectrum (unless only stream figures are asked for) and a line of figures, each part timed as it is made."""
     times = [time.time()]
     built = sketch.inserted_totals(reads, index.config).first()
-    index.counters.count()
+    index.packed.count()
     times.append(time.time())
     # at most a row for each abundance
     found = spectrum.spectrum_totals(index.estimates(asked)).persist()
@@ -112,7 +112,7 @@ def main(args: list[str] | None = None) -> int:
     else:
         reads = read_fastx(spark, a.input)
         index = SketchIndex.build(spark, reads, config_of(a))
-        index.counters = index.counters.persist()
+        index.packed = index.packed.persist()
         if a.command == "filter-spectrum":
             if a.counter_histogram:
                 sinks.write_csv(index.counter_histogram(), a.counter_histogram, single=True)
@@ -122,7 +122,7 @@ def main(args: list[str] | None = None) -> int:
         else:
             asked = read_fastx(spark, a.query_input) if a.query_input else reads
             run_spectrum(index, reads, asked, a)
-        index.counters.unpersist()
+        index.packed.unpersist()
     return 0
 
 

@@ -3,6 +3,7 @@
 Windows, codes, minimizers and segments of a read are sliding computations.  As
 relational windows they would shuffle a row for each base; here they are numpy
 passes over a batch of reads, and what leaves a batch is already aggregated.
+Long reads are cut into overlapping pieces before they leave the JVM, so that neither a task's memory nor a batch grows with the read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from strandtally.config import SketchConfig
 from strandtally.functions.hashing import mix64
 
 CHUNK_BASES = 1 << 20
+#: windows of a piece of a longer read
+PIECE_WINDOWS = 1 << 21
 _BASE = np.full(256, 4, dtype=np.uint8)
 for _i, _c in enumerate("ACGT"):
     _BASE[ord(_c)] = _BASE[ord(_c.lower())] = _i
@@ -38,21 +41,43 @@ def codes(base: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
+def least_of_runs(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every run of `width` values, by doubling."""
+    have, size = x, 1
+    while 2 * size <= width:
+        have = np.minimum(have[:-size], have[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(have[: len(have) - rest], have[rest:]) if rest else have
+
+
 class Scan:
-    """All windows of some reads; a window is valid if it holds ACGT alone and lies in one read."""
+    """All windows of some pieces of reads; a window is known if it holds ACGT alone, and valid if it is this scan's own besides.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, k: int):
+    A piece that isn't its read's first begins one window early (lead): that
+    window belongs to the piece before, and tells whether the first own one continues a segment or run.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, k: int, starts: np.ndarray | None = None, lead: np.ndarray | None = None):
+        n_pieces = len(offsets) - 1
+        self.starts = np.zeros(n_pieces, np.int64) if starts is None else starts
+        self.lead = np.zeros(n_pieces, np.int64) if lead is None else lead
         self.base, self.offsets, self.k = _BASE[data], offsets, k
         self.windows = np.maximum(np.diff(offsets) - k + 1, 0)
         n = int(self.windows.sum())
-        self.read = np.repeat(np.arange(len(offsets) - 1), self.windows)
+        self.read = np.repeat(np.arange(n_pieces), self.windows)
         first = np.cumsum(self.windows) - self.windows
-        self.place = np.arange(n) - np.repeat(first, self.windows)
-        self.at = self.place + offsets[:-1][self.read]
+        local = np.arange(n) - np.repeat(first, self.windows)
+        self.place = local + (self.starts - self.lead)[self.read]
+        self.at = local + offsets[:-1][self.read]
         wrong = np.concatenate([[0], np.cumsum(self.base > 3)])
-        self.valid = wrong[self.at + k] == wrong[self.at]
+        self.known = wrong[self.at + k] == wrong[self.at]
+        self.own = local >= self.lead[self.read]
+        self.heads = local == self.lead[self.read]
+        self.valid = self.known & self.own
         self.clean = np.where(self.base > 3, 0, self.base).astype(np.uint8)
         self._both: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._marks: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
 
     def both(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the windows at each base, forward and reverse-complemented."""
@@ -72,30 +97,42 @@ class Scan:
         The least hash of a canonical m-mer; of equal ones the leftmost if the
         window is its own canonical form, else the rightmost.
         """
-        hashes = mix64(self.canonical(m))
-        best = hashes[self.at]
-        left = self.at.copy()
-        right = self.at.copy()
-        for j in range(1, self.k - m + 1):
-            now = hashes[self.at + j]
-            less, same = now < best, now == best
-            left[less] = self.at[less] + j
-            right[less | same] = self.at[less | same] + j
-            best = np.where(less, now, best)
+        if not len(self.at):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        hashes, width = mix64(self.canonical(m)), self.k - m + 1
+        n = len(self.base) - self.k + 1
+        best = least_of_runs(hashes, width)
+        right, ties = np.zeros(n, np.int8), np.zeros(n, np.int8)
+        for j in range(width):
+            same = hashes[j : j + n] == best
+            right[same] = j
+            ties += same
+        left = right.copy()
+        several = np.flatnonzero(ties > 1)
+        for j in range(width - 1, -1, -1):
+            same = several[hashes[several + j] == best[several]]
+            left[same] = j
         forward, backward = self.both(self.k)
-        own = forward[self.at] <= backward[self.at]
-        return np.where(own, left, right), best
-
-    def segments(self, m: int, by_value: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Super-k-mers as (first window, number of windows, hash of the minimizer): valid neighbours that share a minimizer."""
-        position, hashes = self.minimizers(m)
-        mark = hashes if by_value else position
-        new = self.valid.copy()
-        new[1:] &= ~(self.valid[:-1] & (self.read[1:] == self.read[:-1]) & (mark[1:] == mark[:-1]))
+        place = np.where(forward <= backward, left, right)
+        return self.at + place[self.at], best[self.at]
+
+    def marks(self, m: int, by_value: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """For each window whether a segment (super-k-mer: neighbours that share a minimizer) begins there, and its minimizer's hash."""
+        if (m, by_value) not in self._marks:
+            position, hashes = self.minimizers(m)
+            mark = hashes if by_value else position
+            new = self.known.copy()
+            new[1:] &= ~(self.known[:-1] & (self.read[1:] == self.read[:-1]) & (mark[1:] == mark[:-1]))
+            self._marks[m, by_value] = (new & self.own, hashes)
+        return self._marks[m, by_value]
+
+    def segments(self, m: int, by_value: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Segments that begin here as (first window, number of windows, hash of the minimizer); and how many windows continue the last scan's last one."""
+        new, hashes = self.marks(m, by_value)
         first = np.flatnonzero(new)
-        segment = np.cumsum(new) - 1
-        size = np.bincount(segment[self.valid], minlength=len(first)) if len(first) else np.zeros(0, np.int64)
-        return first, size, hashes[first]
+        segment = (np.cumsum(new) - 1)[self.valid]
+        size = np.bincount(segment[segment >= 0], minlength=len(first)) if len(first) else np.zeros(0, np.int64)
+        return first, size, hashes[first], int((segment < 0).sum())
 
 
 def chains(smers: np.ndarray, config: SketchConfig) -> np.ndarray:
@@ -109,42 +146,61 @@ def chains(smers: np.ndarray, config: SketchConfig) -> np.ndarray:
 
 
 def inserted(scan: Scan, config: SketchConfig) -> tuple[np.ndarray, np.ndarray]:
-    """(block, canonical s-mer) of every insertion."""
-    first, size, hashes = scan.segments(config.m, config.segmentation == "value")
-    count = size + (config.k - config.s)
-    at = np.repeat(scan.at[first] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(first) else np.zeros(0, np.int64)
+    """(block, canonical s-mer) of every insertion: a window's last s-mer, and all others of a window that begins a segment."""
+    new, hashes = scan.marks(config.m, config.segmentation == "value")
+    if not len(new):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    more = config.k - config.s
+    own, first = np.flatnonzero(scan.valid), np.flatnonzero(new)
+    at = np.concatenate([scan.at[own] + more, (scan.at[first][:, None] + np.arange(more)).reshape(-1)])
     block = (hashes & np.uint64(config.blocks - 1)).astype(np.int64)
-    return np.repeat(block, count), scan.canonical(config.s)[at]
+    return np.concatenate([block[own], np.repeat(block[first], more)]), scan.canonical(config.s)[at]
+
+
+def pieces(reads: DataFrame, k: int) -> DataFrame:
+    """(record_id, start, lead, sequence binary): reads of more than PIECE_WINDOWS windows cut into pieces that share k bases; others whole."""
+    data = F.coalesce(F.col("sequence").cast("string"), F.lit("")).cast("binary")
+    rows = reads.select(F.col("record_id").cast("long").alias("record_id"), data.alias("sequence"))
+    n = F.octet_length("sequence") - (k - 1)
+    starts = F.when(n > PIECE_WINDOWS, F.sequence(F.lit(0), n - 1, F.lit(PIECE_WINDOWS))).otherwise(F.array(F.lit(0)))
+    rows = rows.select("record_id", "sequence", n.alias("_n"), F.explode(starts).alias("start"))
+    lead = F.when(F.col("start") > 0, 1).otherwise(0)
+    piece = F.substring(F.col("sequence"), F.col("start") - lead + 1, F.least(F.lit(PIECE_WINDOWS), F.col("_n") - F.col("start")) + lead + (k - 1))
+    return rows.select("record_id", F.col("start").cast("long").alias("start"), lead.cast("long").alias("lead"), F.when(F.col("_n") > PIECE_WINDOWS, piece).otherwise(F.col("sequence")).alias("sequence"))
 
 
-def scans(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, int, Scan]]:
-    """(first row, end row, scan) of about CHUNK_BASES; a longer read is a scan of its own."""
-    reads = batch.column(column)
+def scans(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, Scan]]:
+    """(first row, end row, scan) of about CHUNK_BASES of pieces(); a longer piece is a scan of its own."""
+    reads = batch.column(3)
     if not len(reads):
         return
-    if pa.types.is_large_string(reads.type):
-        reads = reads.cast(pa.string())
+    if pa.types.is_large_binary(reads.type):
+        reads = reads.cast(pa.binary())
     held = reads.buffers()
     offsets = np.frombuffer(held[1], np.int32, len(reads) + reads.offset + 1)[reads.offset :].astype(np.int64)
     data = np.frombuffer(held[2], np.uint8) if held[2] is not None and held[2].size else np.zeros(0, np.uint8)
+    starts, lead = (batch.column(i).to_numpy() for i in (1, 2))
     lo = 0
     while lo < len(reads):
         hi = min(max(int(np.searchsorted(offsets, offsets[lo] + CHUNK_BASES, side="right")) - 1, lo + 1), len(reads))
-        yield lo, hi, Scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
+        yield lo, hi, Scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k, starts[lo:hi], lead[lo:hi])
         lo = hi
 
 
-def per_scan(reads: DataFrame, k: int, schema: str, fn: Callable[[pa.Array, Scan], list[np.ndarray | pa.Array]]) -> DataFrame:
-    """What fn makes of (record ids, scan), as rows of the schema."""
+def over_scans(reads: DataFrame, k: int, schema: str, make: Callable[[Iterator[tuple[pa.Array, Scan]]], Iterator[list]]) -> DataFrame:
+    """What make yields from a task's (record ids, scan), which are in the order of the reads, as rows of the schema."""
     names = [part.split()[0] for part in schema.split(",")]
-    rows = reads.select(F.col("record_id").cast("long"), F.coalesce(F.col("sequence"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, scan in scans(batch, 1, k):
-                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in fn(batch.column(0).slice(lo, hi - lo), scan)]
-                full = pa.RecordBatch.from_arrays(made, names=names)
-                for at in range(0, full.num_rows, 200_000):
-                    yield full.slice(at, 200_000)
-
-    return rows.mapInArrow(run, schema)
+        own = ((batch.column(0).slice(lo, hi - lo), scan) for batch in batches for lo, hi, scan in scans(batch, k))
+        for made in make(own):
+            full = pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], names=names)
+            for at in range(0, full.num_rows, 200_000):
+                yield full.slice(at, 200_000)
+
+    return pieces(reads, k).mapInArrow(run, schema)
+
+
+def per_scan(reads: DataFrame, k: int, schema: str, fn: Callable[[pa.Array, Scan], list]) -> DataFrame:
+    """What fn makes of (record ids, scan), as rows of the schema."""
+    return over_scans(reads, k, schema, lambda own: (fn(ids, scan) for ids, scan in own))

@@ -1,7 +1,9 @@
-"""Windows, k-mers, minimizers, segments and probes of reads(record_id, sequence)."""
+"""Windows, k-mers, minimizers and segments of reads(record_id, sequence)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,7 +11,11 @@ from pyspark.sql import functions as F
 
 from strandtally.config import SketchConfig
 from strandtally.functions import dna
-from strandtally.operators.kernel import Scan, chains, per_scan
+from strandtally.operators.kernel import Scan, over_scans, per_scan
+from strandtally.operators.packing import HELD_RECORDS, Layout, Opened, Records, cut, lanes, summed, whole_parts
+
+#: parts of an exact count: enough for some thousand tasks, and few enough that a task's records of a part fill a row
+PARTS = 1 << 12
 
 
 def valid_runs(reads: DataFrame, k: int) -> DataFrame:
@@ -21,7 +27,7 @@ def windows(reads: DataFrame, k: int) -> DataFrame:
     """(record_id, kmer_index, kmer): a row for each window; kmer is the canonical code, null where the window isn't ACGT alone."""
 
     def fn(ids: pa.Array, s: Scan) -> list:
-        return [ids.take(pa.array(s.read)), s.place, pa.array(s.canonical(k)[s.at].astype(np.int64), mask=~s.valid)]
+        return [ids.take(pa.array(s.read[s.own])), s.place[s.own], pa.array(s.canonical(k)[s.at[s.own]].astype(np.int64), mask=~s.valid[s.own])]
 
     return per_scan(reads, k, "record_id long, kmer_index long, kmer long", fn)
 
@@ -31,13 +37,58 @@ def valid_windows(reads: DataFrame, k: int) -> DataFrame:
     return per_scan(reads, k, "n long", lambda _, s: [np.array([s.valid.sum()], dtype=np.int64)]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
+def minimizer_width(k: int) -> int:
+    """The minimizers by which exact counts are dealt: some two thirds of k, so that there are many and runs are long."""
+    return max(1, min(k, 2 * k // 3))
+
+
+def dealt(reads: DataFrame, k: int, m: int, parts: int) -> DataFrame:
+    """(part, records, counts): packed super-k-mers by the hash of their minimizer, equal ones of a task summed."""
+    layout = Layout(k, m)
+
+    def make(own: Iterator[tuple[pa.Array, Scan]]) -> Iterator[list]:
+        records = Records(layout)
+        for _, s in own:
+            first, size, hashes = cut(s, m)
+            if len(first):
+                records.add((hashes % np.uint64(parts)).astype(np.int32), np.zeros(len(first), np.int64), size, lanes(s, first, size, layout))
+            if records.n >= HELD_RECORDS:
+                yield records.rows()
+        if records.n:
+            yield records.rows()
+
+    return over_scans(reads, k, "part int, records binary, counts binary", make)
+
+
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
-    """(kmer, n): exact counts of canonical k-mers; batches are pre-aggregated before the shuffle."""
+    """(kmer, n): exact counts of canonical k-mers.
 
-    def fn(ids: pa.Array, s: Scan) -> list:
-        return list(np.unique(s.canonical(k)[s.at[s.valid]].astype(np.int64), return_counts=True))
+    What is exchanged is packed super-k-mers, by minimizer; they are taken apart and counted where they arrive, a few parts
+    at a time.  A part holds at most the k-mers of its minimizers, however often they occur, as counts are summed as they come.
+    """
+    m = minimizer_width(k)
+    layout = Layout(k, m)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, np.ndarray] | None = None
+        for whole, rows in whole_parts(batches):
+            records, n = opened(rows, layout)
+            keys, record, _ = records.codes(k)
+            keys, sums, _ = summed(keys, n[record])
+            if held:
+                keys, sums, _ = summed(np.concatenate([held[0], keys]), np.concatenate([held[1], sums]))
+            held = None if whole else (keys, sums)
+            if whole:
+                for at in range(0, len(keys), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000].view(np.int64)), pa.array(sums[at : at + 200_000])], names=["kmer", "n"])
 
-    return per_scan(reads, k, "kmer long, n long", fn).groupBy("kmer").agg(F.sum("n").alias("n"))
+    return dealt(reads, k, m, PARTS).repartition("part").sortWithinPartitions("part").mapInArrow(count, "kmer long, n long")
+
+
+def opened(rows: list[pa.RecordBatch], layout: Layout, column: int = 1) -> tuple[Opened, np.ndarray]:
+    """The records of some rows, and their counts (the column after them)."""
+    records, counts = (b"".join(x for row in rows for x in row.column(i).to_pylist()) for i in (column, column + 1))
+    return Opened(np.frombuffer(records, np.uint8), layout), np.frombuffer(counts, np.uint32).astype(np.int64)
 
 
 def smers(reads: DataFrame, s: int) -> DataFrame:
@@ -51,37 +102,29 @@ def minimizers(reads: DataFrame, config: SketchConfig) -> DataFrame:
     def fn(ids: pa.Array, s: Scan) -> list:
         position, hashes = s.minimizers(config.m)
         v = s.valid
-        return [ids.take(pa.array(s.read[v])), s.place[v], (position - s.offsets[:-1][s.read])[v], hashes[v].view(np.int64)]
+        return [ids.take(pa.array(s.read[v])), s.place[v], (position - s.at + s.place)[v], hashes[v].view(np.int64)]
 
     return per_scan(reads, config.k, "record_id long, kmer_index long, minimizer_position long, minimizer_hash long", fn)
 
 
 def super_kmers(reads: DataFrame, config: SketchConfig) -> DataFrame:
-    """(record_id, first_window, n_windows, block)."""
-
-    def fn(ids: pa.Array, s: Scan) -> list:
-        first, size, hashes = s.segments(config.m, config.segmentation == "value")
-        return [ids.take(pa.array(s.read[first])), s.place[first], size, (hashes & np.uint64(config.blocks - 1)).astype(np.int64)]
-
-    return per_scan(reads, config.k, "record_id long, first_window long, n_windows long, block long", fn)
-
-
-def kmer_probes(reads: DataFrame, config: SketchConfig) -> DataFrame:
-    """(kmer, n, block, slots): distinct canonical k-mers, how often they occur, and the slots that hold their counts.
-
-    Block and slots depend on the k-mer alone, so any of its windows will do.
-    """
-
-    def fn(ids: pa.Array, s: Scan) -> list:
-        own = np.flatnonzero(s.valid)
-        kmer, lead, n = np.unique(s.canonical(config.k)[s.at[own]].astype(np.int64), return_index=True, return_counts=True)
-        _, hashes = s.minimizers(config.m)
-        at = own[lead]
-        small = s.canonical(config.s)
-        parts = [chains(small[s.at[at] + j], config) for j in range(config.k - config.s + 1)]
-        slots = np.concatenate(parts, axis=1).astype(np.int32) if len(at) else np.zeros((0, 1), np.int32)
-        ends = (np.arange(len(at) + 1) * slots.shape[1]).astype(np.int32)
-        return [kmer, n, (hashes[at] & np.uint64(config.blocks - 1)).astype(np.int64), pa.ListArray.from_arrays(pa.array(ends), pa.array(slots.reshape(-1)))]
-
-    rows = per_scan(reads, config.k, "kmer long, n long, block long, slots array<int>", fn)
-    return rows.groupBy("kmer").agg(F.sum("n").alias("n"), F.first("block").alias("block"), F.first("slots").alias("slots"))
+    """(record_id, first_window, n_windows, block).  A super-k-mer that a cut of its read divides is put out once, when it has ended."""
+
+    def make(own: Iterator[tuple[pa.Array, Scan]]) -> Iterator[list]:
+        held: list[pa.Array | np.ndarray] | None = None
+        for ids, s in own:
+            first, size, hashes, carried = s.segments(config.m, config.segmentation == "value")
+            if carried:
+                held[2] = held[2] + carried
+            if not len(first):
+                continue
+            if held:
+                yield held
+            rows = [ids.take(pa.array(s.read[first])), s.place[first], size, (hashes & np.uint64(config.blocks - 1)).astype(np.int64)]
+            # the last one may go on
+            held = [x[-1:] for x in rows]
+            yield [x[:-1] for x in rows]
+        if held:
+            yield held
+
+    return over_scans(reads, config.k, "record_id long, first_window long, n_windows long, block long", make)

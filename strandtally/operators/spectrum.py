@@ -75,7 +75,7 @@ def filter_only(histogram: Sequence[tuple[int, int]], n_hashes: int, most: int,
 
 
 def collected(histogram: DataFrame) -> list[tuple[int, int]]:
-    """A histogram on the driver: at most 2**counter_bits rows."""
+    """A histogram on the driver; it should be one of counter_histogram() with a limit, whose rows that bounds."""
     return sorted((r["counter_value"], r["counters"]) for r in histogram.collect())
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +14,7 @@ from strandtally.operators import abundance as ab
 from strandtally.operators import kmers, sketch, spectrum
 from strandtally.plans.index import SketchIndex
 from strandtally.sources.fastx import reads_of_text
+from strandtally.sources.files import shared_dir
 from strandtally.streaming.ingest import ingest, ingested
 
 CONFIG = SketchConfig(k=15, m=9, s=11, n_hashes=3, counter_bits=16, counter_slots_exponent=20, block_slots_exponent=8)
@@ -116,13 +115,13 @@ def q_exact_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def q_deconvolved(spark: SparkSession, d: str) -> DataFrame:
     own = index(spark, d)
-    found = spectrum.deconvolve(spectrum.collected(own.counter_histogram()), CONFIG.n_hashes, 64)
+    found = spectrum.deconvolve(spectrum.collected(own.counter_histogram(64)), CONFIG.n_hashes, 64)
     return spark.createDataFrame([(i + 1, round(float(x), 6)) for i, x in enumerate(found)], "abundance long, expected double")
 
 
 def q_fallback(spark: SparkSession, d: str) -> DataFrame:
     """The scaled positive counters, which stand in where deconvolution finds nothing: here, as empty counters are left out."""
-    rows = [(v, n) for v, n in spectrum.collected(index(spark, d).counter_histogram()) if v > 0]
+    rows = [(v, n) for v, n in spectrum.collected(index(spark, d).counter_histogram(32)) if v > 0]
     return spark.createDataFrame(spectrum.filter_only(rows, CONFIG.n_hashes, 32, 1000) if rows else [], "estimated_count long, estimated_kmers long")
 
 
@@ -134,18 +133,14 @@ def q_sample(spark: SparkSession, d: str) -> DataFrame:
     return spectrum.sampled_windows(kmers.windows(documents(spark, d), CONFIG.k), SAMPLE)
 
 
-def shared(spark: SparkSession) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='shared-')).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def q_saved(spark: SparkSession, d: str) -> DataFrame:
-    path = shared(spark)
+    path = shared_dir(spark)
     index(spark, d).save(path)
     return SketchIndex.load(spark, path).spectrum(passages(spark, d))
 
 
 def q_streamed(spark: SparkSession, d: str) -> DataFrame:
-    path = shared(spark)
+    path = shared_dir(spark)
     schema = spark.read.parquet(f"{d}/documents.parquet").schema
     # a stream reads a folder: the glob matches a table that is one file and one that is a folder
     stream = reads_of_text(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{d}/documents.parque[t]"), "doc_id", "text")
