@@ -148,20 +148,17 @@ def whole_parts(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Itera
             if size > most and parts[lo] != last:
                 yield True, held
                 held, size = [], 0
-            at = lo
+            at, last = lo, parts[lo]
             while at < hi:
-                # a part of many rows is handed on in portions
-                to = at + 1
+                # a part of many rows is handed on in portions, the last of which is held until it is known what follows
+                if size > 4 * most:
+                    yield False, held
+                    held, size = [], 0
                 own = batch.column(1).slice(at, hi - at)
                 ends = np.frombuffer(own.buffers()[1], np.int32, len(own) + own.offset + 1)[own.offset :]
-                to = at + max(1, int(np.searchsorted(ends, int(ends[0]) + most, side="right")) - 1)
-                to = min(to, hi)
+                to = min(at + max(1, int(np.searchsorted(ends, int(ends[0]) + most, side="right")) - 1), hi)
                 held.append(batch.slice(at, to - at))
                 size += int(ends[to - at] - ends[0])
                 at = to
-                if size > 4 * most:
-                    yield False, held
-                    held, size = [], 0
-            last = parts[lo]
     if held:
         yield True, held
