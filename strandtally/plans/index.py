@@ -131,6 +131,11 @@ class SketchIndex:
             config, buckets = SketchConfig(**meta["config"]), int(meta["buckets"])
         except (KeyError, TypeError, ValueError) as error:
             raise IndexFormatError(f"bad configuration: {error}") from error
+        if not any(n.startswith("part-") for n in files.names(spark, f"{path}/counters")):
+            # nothing was counted, so there are no files
+            if meta.get("inserted_kmers", 0):
+                raise IndexFormatError(f"no counters at {path}")
+            return cls(spark, config, spark.createDataFrame([], sketch.PACKED))
         try:
             found = spark.read.parquet(f"{path}/counters").dtypes
         except Exception as error:
