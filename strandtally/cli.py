@@ -116,9 +116,18 @@ def main(args: list[str] | None = None) -> int:
         if a.command == "filter-spectrum":
             if a.counter_histogram:
                 sinks.write_csv(index.counter_histogram(), a.counter_histogram, single=True)
+            print("warning: spectra from the counters alone follow a model; they don't replace spectra of k-mers", file=sys.stderr)
             sinks.write_csv(index.filter_only_spectrum(a.max_abundance, a.kmer_count_hint), a.output, single=True)
         elif a.command == "sampled-spectrum":
-            sinks.write_csv(index.sampled_spectrum(reads, a.sample_size, a.seed), a.output, single=True)
+            index.inserted_kmers = sketch.inserted_totals(reads, index.config).first()["inserted_kmers"]
+            began = time.time()
+            found, figures = index.sampled(reads, a.sample_size, a.seed)
+            # at most a row for each abundance
+            found = found.persist()
+            queried = found.agg(F.coalesce(F.sum("sampled_kmers"), F.lit(0))).first()[0]
+            sinks.write_csv(found, a.output, single=True)
+            found.unpersist()
+            sinks.metrics_line(figures | {"queried_kmers": queried, "invalid_queries": figures["sampled_kmers"] - queried, "query_s": f"{time.time() - began:.3f}"})
         else:
             asked = read_fastx(spark, a.query_input) if a.query_input else reads
             run_spectrum(index, reads, asked, a)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import asdict, dataclass
 
 COUNTER_BITS = (8, 16, 32)
@@ -27,6 +28,8 @@ class SketchConfig:
     threads: int = 1
     queue: int = 4096
     segmentation: str = "position"
+    #: counters saturate there, or (None) at the greatest value of their width
+    counter_cap: int | None = None
 
     def __post_init__(self) -> None:
         checks = (
@@ -40,15 +43,18 @@ class SketchConfig:
             (self.threads > 0, "at least one thread is needed (threads)"),
             (self.queue > 0, "the queue holds at least one batch (queue)"),
             (self.segmentation in ("position", "value"), "segmentation must be position or value"),
+            (self.counter_cap is None or 0 < self.counter_cap < 1 << self.counter_bits, "a counter's cap has to be positive and fit its width (counter_cap)"),
             (self.segmentation == "position" or self.s % 2 == 1, "segmentation by value needs an odd s"),
         )
         for good, what in checks:
             if not good:
                 raise ConfigError(what)
+        if self.s % 2 == 0 and self.m % 2 == 0:
+            warnings.warn("with s and m both even, k-mers that overlap their own reverse complement may be estimated too low", stacklevel=3)
 
     @property
     def counter_max(self) -> int:
-        return (1 << self.counter_bits) - 1
+        return (1 << self.counter_bits) - 1 if self.counter_cap is None else self.counter_cap
 
     @property
     def counter_slots(self) -> int:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandtally.config import SketchConfig
 from strandtally.functions import dna
+from strandtally.functions.hashing import mix64
 from strandtally.operators.kernel import Scan, over_scans, per_scan
 from strandtally.operators.packing import HELD_RECORDS, Layout, Opened, Records, cut, lanes, summed, whole_parts
 
@@ -37,6 +38,56 @@ def valid_windows(reads: DataFrame, k: int) -> DataFrame:
     return per_scan(reads, k, "n long", lambda _, s: [np.array([s.valid.sum()], dtype=np.int64)]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
+def sample_ranks(ids: pa.Array, s: Scan, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Valid windows and their places in the order in which they are sampled: a hash of seed, read and window, below 2**63.  Null ids hash as -1."""
+    at = np.flatnonzero(s.valid)
+    own = ids.fill_null(-1).to_numpy().astype(np.int64)[s.read[at]]
+    mixed = mix64((own + seed).view(np.uint64))
+    return at, mix64(mixed ^ s.place[at].astype(np.uint64)) >> np.uint64(1)
+
+
+def _coarse(rank: np.ndarray) -> np.ndarray:
+    """The leading bits of a rank as a float: 64 steps for each power of two."""
+    return (rank.astype(np.float64).view(np.int64) >> (52 - 6)).astype(np.int64)
+
+
+def sample_limit(reads: DataFrame, k: int, size: int, seed: int = 1) -> tuple[int, int]:
+    """(limit, number of valid windows): at least `size` windows (or all) have a coarse rank up to the limit, and about a 64th more than that.
+
+    One pass; what reaches the driver is a row for each step, some 4,000 at most.
+    """
+
+    def fn(ids: pa.Array, s: Scan) -> list:
+        return list(np.unique(_coarse(sample_ranks(ids, s, seed)[1]), return_counts=True))
+
+    rows = per_scan(reads, k, "step long, n long", fn).groupBy("step").agg(F.sum("n").alias("n")).collect()
+    seen, limit = 0, -1
+    for r in sorted(rows, key=lambda r: r["step"]):
+        if seen < size:
+            limit = r["step"]
+        seen += r["n"]
+    return limit, seen
+
+
+def sampled_windows(reads: DataFrame, k: int, size: int, seed: int = 1, found: tuple[int, int] | None = None) -> DataFrame:
+    """(record_id, kmer_index, kmer): a uniform sample without replacement of valid windows, those that rank first, whatever the partitioning.
+
+    Windows beyond a limit found in a pass before (by sample_limit, unless that is given) never leave the kernel, so the task that ranks the rest has little more than the sample.
+    """
+    if size <= 0:
+        raise ValueError("sample size must be positive")
+    limit, total = found or sample_limit(reads, k, size, seed)
+
+    def fn(ids: pa.Array, s: Scan) -> list:
+        at, rank = sample_ranks(ids, s, seed)
+        some = _coarse(rank) <= limit
+        at, rank = at[some], rank[some]
+        return [ids.take(pa.array(s.read[at])), s.place[at], s.canonical(k)[s.at[at]].astype(np.int64), rank.view(np.int64)]
+
+    rows = per_scan(reads, k, "record_id long, kmer_index long, kmer long, _rank long", fn)
+    return (rows.orderBy("_rank", "record_id", "kmer_index").limit(size) if size < total else rows).drop("_rank")
+
+
 def minimizer_width(k: int) -> int:
     """The minimizers by which exact counts are dealt: some two thirds of k, so that there are many and runs are long."""
     return max(1, min(k, 2 * k // 3))

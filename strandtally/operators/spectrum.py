@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandtally.functions import dna
-from strandtally.functions.hashing import with_mix64
 
 METHOD = "compound_poisson_counter_deconvolution"
 
@@ -87,31 +86,16 @@ def filter_only_spectrum(spark: SparkSession, histogram: DataFrame, n_hashes: in
     return spark.createDataFrame(out, "estimated_count long, estimated_kmers long, method string, kmer_count_hint long")
 
 
-def sampled_windows(windows: DataFrame, size: int, seed: int = 1) -> DataFrame:
-    """A uniform sample without replacement of valid windows: those with the least hash of seed and place, whatever the partitioning."""
-    if size <= 0:
-        raise ValueError("sample size must be positive")
-    rows = windows.where("kmer is not null")
-    rows = with_mix64(rows.withColumn("_seed", F.col("record_id") + F.lit(seed)), "_seed", "_mix")
-    rows = with_mix64(rows.withColumn("_mix", F.col("_mix").bitwiseXOR(F.col("kmer_index").cast("long"))), "_mix", "_mix")
-    rows = rows.withColumn("_mix", F.shiftrightunsigned("_mix", 1))
-    return rows.orderBy("_mix", "record_id", "kmer_index").limit(size).select("record_id", "kmer_index", "kmer")
-
-
 def sampled_reads(sample: DataFrame, k: int) -> DataFrame:
     """reads(record_id, sequence): a read of k bases for each row of the sample, so that only its k-mers are probed."""
     return sample.select("record_id", dna.kmer_text(F.col("kmer"), k).alias("sequence"))
 
 
-def sampled_spectrum(estimates: DataFrame, total: DataFrame) -> DataFrame:
-    """(estimated_count, sampled_kmers, linear_scaled_windows, estimated_distinct_kmers), from the sample's (kmer, n, estimate).
-
-    total(n): one row, the number of windows that the sample is drawn from.
-    """
+def sampled_spectrum(estimates: DataFrame, total: int) -> DataFrame:
+    """(estimated_count, sampled_kmers, linear_scaled_windows, estimated_distinct_kmers), from the sample's (kmer, n, estimate); total: the windows that it is drawn from."""
     rows = estimates.groupBy(F.col("estimate").alias("estimated_count")).agg(F.sum("n").alias("sampled_kmers"))
     # a row for each abundance: the size of the sample is their sum
     size = F.sum("sampled_kmers").over(W.partitionBy(F.lit(0)))
-    rows = rows.withColumn("_size", size).crossJoin(F.broadcast(total.select(F.col("n").cast("double").alias("_total"))))
-    rows = rows.withColumn("linear_scaled_windows", F.round(F.col("sampled_kmers") * F.col("_total") / F.col("_size")).cast("long"))
+    rows = rows.withColumn("linear_scaled_windows", F.round(F.col("sampled_kmers") * F.lit(float(total)) / size).cast("long"))
     distinct = F.when(F.col("estimated_count") > 0, F.round(F.col("linear_scaled_windows") / F.col("estimated_count"))).otherwise(0).cast("long")
     return rows.select("estimated_count", "sampled_kmers", "linear_scaled_windows", distinct.alias("estimated_distinct_kmers")).orderBy("estimated_count")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import warnings
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from strandtally.config import ConfigError, IndexFormatError, SketchConfig
 from strandtally.operators import abundance as ab
 from strandtally.operators import sketch, spectrum
-from strandtally.operators.kmers import valid_windows, windows
+from strandtally.operators.kmers import sample_limit, sampled_windows
 from strandtally.plans.log import IndexLog
 from strandtally.sources import files
 from strandtally.sources.fastx import read_fastx, records
@@ -81,9 +82,12 @@ class IndexBuilder:
 
 
 class SketchIndex:
-    """Frozen counters, packed by part (part, counters), with their configuration; buckets: how many they are stored in, by part."""
+    """Frozen counters, packed by part (part, counters), with their configuration.
 
-    def __init__(self, spark: SparkSession, config: SketchConfig, packed: DataFrame, inserted_kmers: int = 0, buckets: int | None = None):
+    inserted_kmers is None where it wasn't counted; buckets: how many the counters are stored in, by part.
+    """
+
+    def __init__(self, spark: SparkSession, config: SketchConfig, packed: DataFrame, inserted_kmers: int | None = None, buckets: int | None = None):
         self.spark, self.config, self.packed, self.inserted_kmers, self.buckets = spark, config, packed, inserted_kmers, buckets
         self.threads: int | None = None
 
@@ -133,9 +137,9 @@ class SketchIndex:
             raise IndexFormatError(f"bad configuration: {error}") from error
         if not any(n.startswith("part-") for n in files.names(spark, f"{path}/counters")):
             # nothing was counted, so there are no files
-            if meta.get("inserted_kmers", 0):
+            if meta.get("inserted_kmers"):
                 raise IndexFormatError(f"no counters at {path}")
-            return cls(spark, config, spark.createDataFrame([], sketch.PACKED))
+            return cls(spark, config, spark.createDataFrame([], sketch.PACKED), meta.get("inserted_kmers"))
         try:
             found = spark.read.parquet(f"{path}/counters").dtypes
         except Exception as error:
@@ -153,7 +157,7 @@ class SketchIndex:
         out = packed.agg(F.count(F.when(F.coalesce(bad, F.lit(True)), 1)).alias("bad"), F.count("*").alias("n"), F.count_distinct("part").alias("parts")).first()
         if out["bad"] or out["n"] != out["parts"]:
             raise IndexFormatError("counters don't fit the configuration")
-        return cls(spark, config, packed, meta.get("inserted_kmers", 0), buckets)
+        return cls(spark, config, packed, meta.get("inserted_kmers"), buckets)
 
     def estimates(self, reads: DataFrame) -> DataFrame:
         return sketch.kmer_estimates(reads, self.packed, self.config, self.buckets)
@@ -185,6 +189,16 @@ class SketchIndex:
         return spectrum.count_hint(spectrum.collected(self.counter_histogram(most)), self.config.n_hashes, most)
 
     def sampled_spectrum(self, reads: DataFrame, size: int = 1_000_000, seed: int = 1) -> DataFrame:
+        return self.sampled(reads, size, seed)[0]
+
+    def sampled(self, reads: DataFrame, size: int = 1_000_000, seed: int = 1) -> tuple[DataFrame, dict]:
+        """The sampled spectrum, and figures: total_inserted_kmers and sampled_kmers.  Warns if the index holds another number of k-mers than it is sampled from."""
+        if size <= 0:
+            raise ValueError("sample size must be positive")
         k = self.config.k
-        sample = spectrum.sampled_windows(windows(reads, k), size, seed)
-        return spectrum.sampled_spectrum(self.estimates(spectrum.sampled_reads(sample, k)), valid_windows(reads, k))
+        limit, total = sample_limit(reads, k, size, seed)
+        if self.inserted_kmers is not None and self.inserted_kmers != total:
+            warnings.warn(f"the sample is drawn from {total} windows, but {self.inserted_kmers} k-mers were indexed", stacklevel=2)
+        sample = sampled_windows(reads, k, size, seed, (limit, total))
+        found = spectrum.sampled_spectrum(self.estimates(spectrum.sampled_reads(sample, k)), total)
+        return found, {"total_inserted_kmers": total, "sampled_kmers": min(size, total)}

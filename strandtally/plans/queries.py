@@ -130,7 +130,7 @@ def q_hint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_sample(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum.sampled_windows(kmers.windows(documents(spark, d), CONFIG.k), SAMPLE)
+    return kmers.sampled_windows(documents(spark, d), CONFIG.k, SAMPLE)
 
 
 def q_saved(spark: SparkSession, d: str) -> DataFrame:
