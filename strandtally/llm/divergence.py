@@ -1,6 +1,6 @@
 """Operator 11: how the word use of sources diverges, within each language.
 
-Plain relational: terms are exploded regular-expression matches, grouped and counted; each (language, source) group and each language as
+Plain relational: regular-expression matches are exploded, a row for each distinct term of a document with its count, and grouped and counted; each (language, source) group and each language as
 a whole is crossed with the language's kept vocabulary, so that zeros count; smoothed shares are compared by a self-join on language and term,
 summed, and ranked by windows.  The crossing goes by language and a salt of the term, and pairs by language and a salt
 of the source, as one language may hold most rows.  All arithmetic is in integers.
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandtally.llm._native import bound
 from strandtally.llm._shared import table, written
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -43,13 +44,26 @@ def salted(rows: DataFrame, by: str | None) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
 
 
-def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """groups(lang, source), counts(lang, source, term, n) and documents(lang, term, n), the last of how many rows hold the term."""
+def tallied(terms: Column) -> Column:
+    """array<struct<term,n>>: the distinct terms of a document with how often each occurs, from its sorted terms.  A document so gives a row for each term."""
+
+    def runs(own: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
+        return bound(firsts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(own, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(own)) - i).alias("n"))))
+
+    empty = F.array().cast("array<struct<term:string,n:int>>")
+    return bound(F.sort_array(terms), lambda own: F.when(F.size(own) > 0, runs(own)).otherwise(empty))
+
+
+def kept_counts(df: DataFrame, text_col: str, lang_col: str, source_col: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """groups(lang, source); and counts(lang, source, term, n) of the terms that at least so many rows of the language hold."""
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_col, lang_col, source_col))
-    rows = df.select(lang.alias("lang"), source.alias("source"), F.regexp_extract_all(lowered(text), F.lit(TERM), F.lit(0)).alias("terms"))
-    counts = rows.select("lang", "source", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
-    held = rows.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
-    return rows.select("lang", "source").distinct(), counts, held
+    rows = df.select(lang.alias("lang"), source.alias("source"), lowered(text).alias("text"))
+    each = rows.select("lang", "source", F.inline(tallied(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))))
+    counts = each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count("*").alias("held"))
+    # a row for each source of a language that has the term
+    held = F.sum("held").over(W.partitionBy("lang", "term"))
+    return rows.select("lang", "source").distinct(), counts.withColumn("held", held).where(F.col("held") >= least).select("lang", "source", "term", "n")
 
 
 def divergence(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
@@ -60,10 +74,9 @@ def divergence(df: DataFrame, text_col: str = "text", lang_col: str = "lang", so
     and by the item's bytes where values are equal.  Null texts, languages and sources count as empty strings; repeated rows are documents of
     their own.  An empty table, or a language of one source with no kept term, gives no rows.  Other columns are ignored.
     """
-    found, counts, held = term_counts(df, text_col, lang_col, source_col)
-    groups = written(found, "groups")
-    kept = written(held.where(F.col("n") >= least).select("lang", "term"), "kept")
-    counts = written(counts.join(kept, ["lang", "term"], "left_semi"), "counts")
+    groups, counts = kept_counts(df, text_col, lang_col, source_col, least)
+    groups, counts = written(groups, "groups"), written(counts, "counts")
+    kept = counts.select("lang", "term").distinct()
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = F.lit(0).cast("long")
