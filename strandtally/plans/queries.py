@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +35,9 @@ def index(spark: SparkSession, d: str, config: SketchConfig = CONFIG) -> SketchI
     return SketchIndex.build(spark, documents(spark, d), config)
 
 
-def q_canonical_strings(spark: SparkSession, d: str) -> DataFrame:
-    """Canonical forms with built-in functions alone, on the passages."""
-    runs = kmers.valid_runs(passages(spark, d), CONFIG.k)
+def q_canonical_strings(reads: Callable[[SparkSession, str], DataFrame], spark: SparkSession, d: str) -> DataFrame:
+    """Canonical forms with built-in functions alone."""
+    runs = kmers.valid_runs(reads(spark, d), CONFIG.k)
     own = runs.select("record_id", "run_start", "run", F.explode(F.sequence(F.lit(0), F.length("run") - CONFIG.k)).alias("i"))
     kmer = own.select("record_id", (F.col("run_start") + F.col("i")).cast("long").alias("kmer_index"), F.col("run").substr(F.col("i") + 1, F.lit(CONFIG.k)).alias("kmer"))
     return kmer.select("record_id", "kmer_index", dna.canonical(F.col("kmer")).alias("canonical"), dna.kmer_code(dna.canonical(F.col("kmer"))).alias("code"), dna.is_acgt(F.col("kmer")).alias("is_acgt"))
@@ -60,8 +61,8 @@ def q_window_validity(spark: SparkSession, d: str) -> DataFrame:
     return kmers.windows(documents(spark, d), CONFIG.k).groupBy("record_id").agg(F.count("*").alias("total_windows"), F.count("kmer").alias("valid_kmers"))
 
 
-def q_mix64(spark: SparkSession, d: str) -> DataFrame:
-    rows = kmers.smers(passages(spark, d), CONFIG.s)
+def q_mix64(reads: Callable[[SparkSession, str], DataFrame], spark: SparkSession, d: str) -> DataFrame:
+    rows = kmers.smers(reads(spark, d), CONFIG.s)
     return with_mix64(rows, "smer", "mix").select("smer", F.lpad(F.lower(F.hex("mix")), 16, "0").alias("mix"))
 
 
@@ -74,9 +75,9 @@ def q_block_routing(spark: SparkSession, d: str) -> DataFrame:
     return kmers.super_kmers(documents(spark, d), CONFIG).groupBy("block").agg(F.count("*").alias("super_kmers"), F.sum("n_windows").alias("kmers"))
 
 
-def q_probe_slots(spark: SparkSession, d: str) -> DataFrame:
-    """Probe chains with built-in functions alone, on the passages."""
-    rows = kmers.smers(passages(spark, d), CONFIG.s).select("smer", F.col("smer").alias("h0"))
+def q_probe_slots(reads: Callable[[SparkSession, str], DataFrame], spark: SparkSession, d: str) -> DataFrame:
+    """Probe chains with built-in functions alone."""
+    rows = kmers.smers(reads(spark, d), CONFIG.s).select("smer", F.col("smer").alias("h0"))
     for i in range(CONFIG.n_hashes):
         rows = with_mix64(rows, f"h{i}", f"h{i + 1}")
     slots = [F.col(f"h{i + 1}").bitwiseAND(F.lit(CONFIG.block_slots - 1)) for i in range(CONFIG.n_hashes)]
@@ -149,19 +150,22 @@ def q_streamed(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "canonical_strings": q_canonical_strings,
+    "canonical_strings": functools.partial(q_canonical_strings, passages),
+    "document_canonical_strings": functools.partial(q_canonical_strings, documents),
     "canonical_kmers": lambda s, d: kmers.kmer_counts(documents(s, d), CONFIG.k),
     "exact_spectrum": lambda s, d: spectrum.spectrum(kmers.kmer_counts(documents(s, d), CONFIG.k), "n"),
     "valid_runs": q_valid_runs,
     "kmer_windows": q_windows,
     "window_validity": q_window_validity,
     "exact_summary": q_exact_summary,
-    "mix64": q_mix64,
+    "mix64": functools.partial(q_mix64, passages),
+    "document_mix64": functools.partial(q_mix64, documents),
     "smers": lambda s, d: kmers.smers(documents(s, d), CONFIG.s),
     "minimizers": q_minimizers,
     "super_kmers": lambda s, d: kmers.super_kmers(documents(s, d), CONFIG),
     "block_routing": q_block_routing,
-    "probe_slots": q_probe_slots,
+    "probe_slots": functools.partial(q_probe_slots, passages),
+    "document_probe_slots": functools.partial(q_probe_slots, documents),
     "index_counters": q_counters(CONFIG),
     "index_counters_u8": q_counters(NARROW),
     "counter_histogram": lambda s, d: index(s, d).counter_histogram(),
@@ -270,8 +274,9 @@ def _estimates(p: str) -> str:
     return (
         f"ek AS (SELECT code AS kmer, count(*) AS n, min(block) AS block, min({{'r': record_id, 'i': i}}) AS lead_at FROM {p}z GROUP BY code), "
         f"es AS (SELECT kmer, block, lead_at.r AS record_id, unnest(generate_series(lead_at.i, lead_at.i + {CONFIG.k - CONFIG.s})) AS i FROM ek), "
-        f"eq AS (SELECT kmer, block, code FROM es JOIN {s} USING (record_id, i)), {_probes('ex', 'eq')}, "
-        f"em AS (SELECT kmer, min(coalesce(cnt, 0)) AS estimate FROM ex LEFT JOIN c USING (block, slot) GROUP BY kmer), "
+        f"eq AS (SELECT kmer, block, code FROM es JOIN {s} USING (record_id, i)), eu AS (SELECT DISTINCT block, code FROM eq), {_probes('ex', 'eu')}, "
+        f"el AS (SELECT block, code, min(coalesce(cnt, 0)) AS least FROM ex LEFT JOIN c USING (block, slot) GROUP BY block, code), "
+        f"em AS (SELECT kmer, min(least) AS estimate FROM eq JOIN el USING (block, code) GROUP BY kmer), "
         f"e AS (SELECT kmer, n::BIGINT AS n, estimate::BIGINT AS estimate FROM ek JOIN em USING (kmer))"
     )
 
@@ -296,6 +301,7 @@ SUMMARY = "SELECT d.record_id, length(sequence)::BIGINT AS length, coalesce(t, 0
 
 SQL = {
     "canonical_strings": f"WITH {B}, {_windows('bk', 'b', CONFIG.k)} SELECT record_id, i AS kmer_index, c AS canonical, {_code('c', CONFIG.k)} AS code, true AS is_acgt FROM (SELECT record_id, i::BIGINT AS i, c FROM bk_least WHERE c IS NOT NULL)",
+    "document_canonical_strings": f"WITH {D}, {_windows('dk', 'd', CONFIG.k)} SELECT record_id, i AS kmer_index, c AS canonical, {_code('c', CONFIG.k)} AS code, true AS is_acgt FROM (SELECT record_id, i::BIGINT AS i, c FROM dk_least WHERE c IS NOT NULL)",
     "canonical_kmers": f"WITH {DK} SELECT code AS kmer, count(*)::BIGINT AS n FROM dk WHERE code IS NOT NULL GROUP BY 1",
     "exact_spectrum": f"WITH {DK} SELECT n AS estimated_count, count(*)::BIGINT AS kmers FROM (SELECT code, count(*)::BIGINT AS n FROM dk WHERE code IS NOT NULL GROUP BY 1) GROUP BY 1",
     "valid_runs": f"WITH {D}, p AS (SELECT record_id, unnest(generate_series(1, length(sequence))) AS i, sequence FROM d WHERE length(sequence) > 0), o AS (SELECT record_id, i, substr(sequence, i, 1) AS c FROM p), g AS (SELECT *, i - row_number() OVER (PARTITION BY record_id ORDER BY i) AS g FROM o WHERE c <> 'N') SELECT record_id, (min(i) - 1)::BIGINT AS run_start, string_agg(c, '' ORDER BY i) AS run FROM g GROUP BY record_id, g HAVING count(*) >= {CONFIG.k}",
@@ -303,11 +309,13 @@ SQL = {
     "window_validity": f"WITH {DK} SELECT record_id, count(*)::BIGINT AS total_windows, count(code)::BIGINT AS valid_kmers FROM dk GROUP BY 1",
     "exact_summary": f"WITH {DK}, f AS (SELECT code AS kmer, count(*)::BIGINT AS n FROM dk WHERE code IS NOT NULL GROUP BY 1) " + SUMMARY.format(x="n", e="f"),
     "mix64": f"WITH {B}, {_windows('bs', 'b', CONFIG.s)}, u AS (SELECT DISTINCT code AS smer FROM bs WHERE code IS NOT NULL) SELECT smer, lpad(to_hex({_mix('smer')}), 16, '0').lower() AS mix FROM u",
+    "document_mix64": f"WITH {D}, {_windows('ds', 'd', CONFIG.s)}, u AS (SELECT DISTINCT code AS smer FROM ds WHERE code IS NOT NULL) SELECT smer, lpad(to_hex({_mix('smer')}), 16, '0').lower() AS mix FROM u",
     "smers": f"WITH {D}, {_windows('ds', 'd', CONFIG.s)} SELECT code AS smer, count(*)::BIGINT AS n FROM ds WHERE code IS NOT NULL GROUP BY 1",
     "minimizers": f"WITH {DK}, {_minimizers('d')} SELECT record_id, i AS kmer_index, p::BIGINT AS minimizer_position, block FROM dz",
     "super_kmers": f"WITH {SEG} SELECT record_id, first_window, n_windows, block FROM dsk",
     "block_routing": f"WITH {SEG} SELECT block, count(*)::BIGINT AS super_kmers, sum(n_windows)::BIGINT AS kmers FROM dsk GROUP BY 1",
     "probe_slots": f"WITH {B}, {_windows('bs', 'b', CONFIG.s)}, u AS (SELECT DISTINCT code FROM bs WHERE code IS NOT NULL), {_probes('x', 'u')} SELECT code AS smer, probe, slot FROM x",
+    "document_probe_slots": f"WITH {D}, {_windows('ds', 'd', CONFIG.s)}, u AS (SELECT DISTINCT code FROM ds WHERE code IS NOT NULL), {_probes('x', 'u')} SELECT code AS smer, probe, slot FROM x",
     "index_counters": f"WITH {COUNTS} SELECT * FROM c",
     "index_counters_u8": f"WITH {COUNTS} SELECT block, slot, least(n, 255)::BIGINT AS cnt FROM dc",
     "counter_histogram": f"WITH {HIST} SELECT * FROM hist",
