@@ -31,12 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named (tests)."""
+    """The cluster's shared folder; in local mode, where none is named (tests), one temporary folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return named.rstrip("/") if named else _own_dir()
+
+
+@functools.lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="shared-")
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:

@@ -4,8 +4,8 @@ Unit vectors are projected to 8 dimensions by random matrices, one for each of
 several tables, and decoded to the nearest point of the E8 lattice.  A vector is
 filed under its own cell and the nearest neighbouring cells (the lattice's 240
 shortest vectors away) of each table; two vectors that share a cell are compared by
-their cosine in double precision.  With the defaults a pair at cosine 0.95 shares
-a cell with probability over 0.999 (measured in the tests).
+their cosine in double precision.  Of 8,000 random pairs at a cosine of exactly 0.95, 0.9998 share
+a cell with the defaults in 16 and in 64 dimensions, 0.9997 in 384 (closer pairs do so more often).
 
 Equal vectors are one entry with a weight.  A pair that shares several cells is counted in
 the smallest of them alone, so neither pairs nor links are ever collected by
@@ -109,13 +109,12 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                     keys = cell_keys(x, tables, probes, scale)
                     n = len(own)
-                    short = (keys >> np.uint64(32)).astype(np.uint32)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.repeat(batch.column(1).to_numpy()[own], keys.shape[1])),
                             pa.array(np.repeat(batch.column(2).to_numpy()[own], keys.shape[1])),
                             pa.array(keys.reshape(-1).view(np.int64)),
-                            pa.array([b for b in [r.tobytes() for r in short] for _ in range(keys.shape[1])], pa.binary()),
+                            pa.array([b for b in [r.tobytes() for r in keys] for _ in range(keys.shape[1])], pa.binary()),
                             pa.array([b for b in [r.tobytes() for r in x] for _ in range(keys.shape[1])], pa.binary()),
                         ],
                         names=["node", "weight", "key", "keys", "unit"],
@@ -128,7 +127,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_cells(batches, 5_000):
             cell, key, own, lo, hi, node, weight = (part.column(i).to_numpy() for i in range(7))
-            keys = np.stack([np.frombuffer(b, np.uint32) for b in part.column(7).to_pylist()])
+            keys = np.stack([np.frombuffer(b, np.uint64) for b in part.column(7).to_pylist()])
             units = part.column(8).to_pylist()
             widths = np.array([len(u) // 8 for u in units])
             left, right = [], []
@@ -144,11 +143,11 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             # each pair in the smallest cell that it shares, and there in its own two blocks
             mine = (np.minimum(own[a], own[b]) == lo[a]) & (np.maximum(own[a], own[b]) == hi[a])
             a, b = a[mine], b[mine]
-            least = np.empty(len(a), dtype=np.uint32)
+            least = np.empty(len(a), dtype=np.uint64)
             for s in range(0, len(a), 4096):
                 p, q = keys[a[s : s + 4096]], keys[b[s : s + 4096]]
-                least[s : s + 4096] = np.where((p[:, :, None] == q[:, None, :]).any(axis=2), p, np.uint32(0xFFFFFFFF)).min(axis=1)
-            mine = least == (key[a].view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+                least[s : s + 4096] = np.where((p[:, :, None] == q[:, None, :]).any(axis=2), p, np.uint64(0xFFFFFFFFFFFFFFFF)).min(axis=1)
+            mine = least == key[a].view(np.uint64)
             a, b = a[mine], b[mine]
             names, member = np.unique(node, return_inverse=True)
             links = np.bincount(member[a], weights=weight[b], minlength=len(names)) + np.bincount(member[b], weights=weight[a], minlength=len(names))
