@@ -3,13 +3,16 @@
 Candidates share one of BANDS bands of ROWS MinHash values: at a similarity of 0.8 a pair has no band in common
 with probability (1 - 0.8 ** 4) ** 24 = 3e-6.  Of those, pairs that agree in NEAR or more of all 96 values, compared by
 one byte each, form groups (a pair of similarity 0.8 agrees in fewer with probability 3e-7); what joins a group is a
-forest, not all of its pairs.  A group's texts then move once, in blocks if they are many, and all pairs within it that are not yet
-linked are verified on their full shingle sets.  So a large group of copies costs about its size in rows moved, not its square.
+forest, not all of its pairs.  A group's texts then move once, in blocks if they are many, and all pairs within a block that are not yet
+linked are verified on their full shingle sets.  The blocks of a group are joined by a representative of each of their classes.  Only where a
+group has several classes even then do the texts outside its largest class meet all others.  So a large group of copies costs
+about its size in rows moved, not its square; only what lies outside the largest class moves once for each block of the group.
 Texts with equal sets are one entry.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,13 +77,13 @@ def shingled(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(mark, "id long, dig long, n long, bands array<long>, sketch binary")
 
 
-def joined_up(n: np.ndarray, least: float, linked: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Labels of the classes of entries in ascending order of their sizes n; a label is the place of a member.
+def joined_up(n: np.ndarray, least: float, linked: Callable[[int, np.ndarray], np.ndarray], label: np.ndarray | None = None) -> np.ndarray:
+    """Labels of the classes of entries in ascending order of their sizes n; a label is the place of a member (those given: what is known before).
 
     linked(i, others) tells which of the others are linked to i.  Entries too different in size
     aren't asked for, nor those that are of i's class already.
     """
-    label = np.arange(len(n))
+    label = np.arange(len(n)) if label is None else label.copy()
     ends = np.searchsorted(n, n / least + 1e-9, side="right")
     for i in range(len(n) - 1):
         others = i + 1 + np.flatnonzero(label[i + 1 : ends[i]] != label[i])
@@ -119,41 +122,82 @@ def candidate_edges(lists: DataFrame, least: float) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
 
 
+def dealt(groups: DataFrame) -> DataFrame:
+    """groups(node, root, n) in blocks of about BLOCK_SHINGLES: with parts, the number of blocks of the group, and own, the node's block."""
+    parts = groups.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("parts"))
+    return groups.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("node", F.lit(13)), "parts").cast("int"))
+
+
+def verify(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of the classes in each cell, of (cell, node, text, class) sorted by cell."""
+    for part in whole_cells(batches, 1):
+        for lo, hi in bounds(part.column(0).to_numpy()):
+            some = part.slice(lo, hi - lo)
+            node, known = some.column(1).to_numpy(), some.column(3).to_numpy()
+            sets = [s for piece in some.column(2).chunks for _, _, data, offsets in chunks(piece) for s in shingles(data, offsets, width)]
+            n = np.array([len(s) for s in sets])
+            order = np.argsort(n, kind="stable")[np.count_nonzero(n == 0) :]
+            if len(order) < 2:
+                continue
+            node, n, known = node[order], n[order], known[order]
+            names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+            own = np.split(flat.astype(np.int32), np.cumsum(n)[:-1])
+            mark = np.zeros(len(names), np.uint8)
+
+            def linked(i: int, others: np.ndarray, n=n, own=own, mark=mark) -> np.ndarray:
+                mark[own[i]] = 1
+                size = n[others]
+                common = np.add.reduceat(mark[np.concatenate([own[j] for j in others])], np.cumsum(size) - size, dtype=np.int64)
+                mark[own[i]] = 0
+                return common >= least * (n[i] + size - common) - 1e-9
+
+            _, first, back = np.unique(known, return_index=True, return_inverse=True)
+            yield edges_of(node, joined_up(n, least, linked, first[back]))
+
+
+def representatives(classed: DataFrame) -> DataFrame:
+    """(node, class, cells): the smallest node of each class of a group, each pair of them in a cell."""
+    some = dealt(classed.where("node = class").select("node", "root", "n"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("root", F.least("own", other), F.greatest("own", other)))
+    return some.select("node", F.col("node").alias("class"), cells.alias("cells"))
+
+
+def outsiders(classed: DataFrame) -> DataFrame:
+    """(node, class, cells): each pair of nodes of a group that aren't both in its largest class in a cell; groups of one class are left out."""
+    sizes = classed.groupBy("root", "class").agg(F.sum("n").alias("n"))
+    main = sizes.groupBy("root").agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.count("*").alias("classes")).where("classes > 1")
+    marked = classed.join(main, "root").withColumn("out", F.col("class") != F.col("main"))
+    blocks = marked.groupBy("root").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("out") == kind, F.col("n")).otherwise(0)) / F.lit(BLOCK_SHINGLES)).cast("int")).alias(name) for kind, name in ((True, "q"), (False, "p"))])
+    own = F.pmod(F.xxhash64("node", F.lit(17)), F.when(F.col("out"), F.col("q")).otherwise(F.col("p"))).cast("int")
+    rows = marked.join(blocks, "root").withColumn("own", own)
+    outer = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda v: F.xxhash64("root", F.least("own", v), F.greatest("own", v), F.lit("out")))
+    inner = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda v: F.xxhash64("root", "own", v, F.lit("in")))
+    main_cells = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda u: F.xxhash64("root", u, "own", F.lit("in")))
+    return rows.select("node", "class", F.when(F.col("out"), F.concat(outer, inner)).otherwise(main_cells).alias("cells"))
+
+
 def verified_edges(groups: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
     """Edges (a, b) that join all nodes of groups(node, root, n) that are linked by similarities of `least` or more within a group."""
-    parts = groups.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("_parts"))
-    own = F.pmod(F.xxhash64("node", F.lit(13)), "_parts").cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda other: F.xxhash64("root", F.least("_own", other), F.greatest("_own", other)))
-    dealt = groups.join(parts, "root").withColumn("_own", own).select("node", cells.alias("cells"))
+    blocks = written(dealt(groups), "blocks")
+    edges = written(checked(blocks.select("node", F.col("node").alias("class"), F.array(F.xxhash64("root", "own")).alias("cells")), rows, width, least), "verified")
+    several = blocks.where("parts > 1").select("root", "node", "n")
+    if several.isEmpty():
+        return edges
+    for cells_of in (representatives, outsiders):
+        known = components(edges).select("node", F.col("root").alias("class"))
+        classed = written(several.join(known, "node", "left").withColumn("class", F.coalesce("class", "node")), "classed")
+        if classed.groupBy("root").agg(F.count_distinct("class").alias("classes")).where("classes > 1").isEmpty():
+            break
+        edges = written(edges.unionByName(checked(cells_of(classed), rows, width, least)), "verified")
+    return edges
+
+
+def checked(cells: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """Edges within each cell of cells(node, class, cells array<long>); nodes of one class are linked already."""
     # whole texts move by id once, repeated ones as one, and then to their cells
     texts = rows.groupBy(F.col("id").alias("node")).agg(F.collect_set("text").alias("texts"))
-    moved = texts.join(dealt.hint("shuffle_merge"), "node").select("node", "cells", F.explode("texts").alias("text")).select(F.explode("cells").alias("cell"), "node", "text")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_cells(batches, 1):
-            for lo, hi in bounds(part.column(0).to_numpy()):
-                some = part.slice(lo, hi - lo)
-                node = some.column(1).to_numpy()
-                sets = [s for piece in some.column(2).chunks for _, _, data, offsets in chunks(piece) for s in shingles(data, offsets, width)]
-                n = np.array([len(s) for s in sets])
-                order = np.argsort(n, kind="stable")[np.count_nonzero(n == 0) :]
-                if len(order) < 2:
-                    continue
-                node, n = node[order], n[order]
-                names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-                own = np.split(flat.astype(np.int32), np.cumsum(n)[:-1])
-                mark = np.zeros(len(names), np.uint8)
-
-                def linked(i: int, others: np.ndarray, n=n, own=own, mark=mark) -> np.ndarray:
-                    mark[own[i]] = 1
-                    size = n[others]
-                    common = np.add.reduceat(mark[np.concatenate([own[j] for j in others])], np.cumsum(size) - size, dtype=np.int64)
-                    mark[own[i]] = 0
-                    return common >= least * (n[i] + size - common) - 1e-9
-
-                yield edges_of(node, joined_up(n, least, linked))
-
-    return moved.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "a long, b long")
+    moved = texts.join(cells.hint("shuffle_merge"), "node").select("node", "class", "cells", F.explode("texts").alias("text")).select(F.explode("cells").alias("cell"), "node", "text", "class")
+    return moved.repartition("cell").sortWithinPartitions("cell").mapInArrow(functools.partial(verify, width=width, least=least), "a long, b long")
 
 
 def similar_components(df: DataFrame, links: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:

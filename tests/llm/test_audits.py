@@ -218,3 +218,37 @@ def test_thue_morse_words_are_told_apart(spark, size):
     assert (rows[1]["n_known"], rows[2]["n_known"]) == (2, 1)
     texts = spark.createDataFrame([(1, one), (2, two), (3, one.upper())], "doc_id long, text string")
     assert {r["node"]: r["root"] for r in similar.similar_components(texts).collect()} == {3: 1}
+
+
+def cell_rows(spark, monkeypatch, texts):
+    """Rows that move to cells, and what is found, with blocks of a few texts."""
+    moved = []
+    checked = similar.checked
+
+    def counted(cells, rows, width, least):
+        moved.append(cells.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0])
+        return checked(cells, rows, width, least)
+
+    monkeypatch.setattr(similar, "checked", counted)
+    monkeypatch.setattr(similar, "BLOCK_SHINGLES", 3000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["node"]: r["root"] for r in similar.similar_components(df).collect()}
+    return sum(moved), found
+
+
+def test_rows_moved_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.choice([f"w{i}" for i in range(4000)], 150)
+    sizes = (200, 400, 800)
+    moved = []
+    for n in sizes:
+        texts = []
+        for i in range(n):
+            own = base.copy()
+            own[int(rng.integers(0, 150))] = f"new{i}"
+            texts.append(" ".join(own))
+        with monkeypatch.context() as patch:
+            rows, found = cell_rows(spark, patch, texts)
+        assert found == dict.fromkeys(range(1, n), 0)
+        moved.append(rows)
+    assert all(m < 1.5 * n for m, n in zip(moved, sizes, strict=True))
