@@ -41,9 +41,10 @@ def main() -> None:
         for slots in (20, 22):
             config = SketchConfig(k=31, m=21, s=27, n_hashes=4, counter_bits=bits, counter_slots_exponent=slots)
             times[f"build_{bits}bit_2^{slots}"] = timed(index(spark, SF_DIR, config).counters)
+    build = timed(index(spark, SF_DIR).packed)
     own = index(spark, SF_DIR).estimates(documents(spark, SF_DIR))
     windows, kmers, over = own.agg(F.sum("n"), F.count("*"), F.count(F.when(F.col("estimate") > F.col("n"), 1))).first()
-    figures = {"build_s": times["index_counters"], "query_s": round(times["query_report"] - times["index_counters"], 3), "spectrum_s": times["sketch_spectrum"], "over_estimated": round(over / max(1, kmers), 4)}
+    figures = {"build_s": build, "query_s": round(times["query_report"] - build, 3), "spectrum_s": times["sketch_spectrum"], "over_estimated": round(over / max(1, kmers), 4)}
     out = {"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"), "windows_per_s": round(windows / times["query_report"])} | figures
     print(json.dumps(out))
 
