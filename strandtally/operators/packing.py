@@ -138,7 +138,7 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def whole_parts(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tuple[bool, list[pa.RecordBatch]]]:
-    """(whole, rows) from rows sorted by part (the first column): about `most` bytes of records at a time; whole if no later rows have the same parts."""
+    """(whole, rows) from rows sorted by part (the first column), about `most` bytes at a time, counters that came with them included; whole if no later rows have the same parts."""
     held: list[pa.RecordBatch] = []
     size, last = 0, None
     for batch in batches:
@@ -158,7 +158,7 @@ def whole_parts(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Itera
                 ends = np.frombuffer(own.buffers()[1], np.int32, len(own) + own.offset + 1)[own.offset :]
                 to = min(at + max(1, int(np.searchsorted(ends, int(ends[0]) + most, side="right")) - 1), hi)
                 held.append(batch.slice(at, to - at))
-                size += int(ends[to - at] - ends[0])
+                size += held[-1].nbytes
                 at = to
     if held:
         yield True, held

@@ -242,29 +242,31 @@ def met(asked: DataFrame, index: DataFrame, buckets: int | None) -> DataFrame:
 
 
 class Tables:
-    """Counters of the parts at hand, side by side."""
+    """Counters of the parts at hand, side by side; parts that the index doesn't have share one table of zeros."""
 
     def __init__(self, config: SketchConfig):
         self.config, self.size = config, part_slots(config)
         self.kind = f"<u{config.counter_bits // 8}"
-        self.last: tuple[int, np.ndarray] | None = None
+        self.none = np.zeros(self.size, self.kind)
+        self.part: int | None = None
+        self.own: np.ndarray | None = None  # of the last part: its later rows come without
 
     def of(self, rows: list[pa.RecordBatch], each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The counters, and for each record (each: how many a row has) where its part's begin."""
         parts = [p for row in rows for p in row.column(0).to_pylist()]
         found = [x for row in rows for x in row.column(row.num_columns - 1).to_pylist()]
-        tables: list[np.ndarray] = []
-        at = []
+        tables, at, where = [self.none], [], 0
+        if parts and parts[0] == self.part and self.own is not None:
+            tables.append(self.own)
+            where = 1
         for part, data in zip(parts, found, strict=True):
-            if self.last is None or self.last[0] != part:
-                self.last = (part, np.zeros(self.size, self.kind))
-                tables.append(self.last[1])
-            elif not tables:
-                tables.append(self.last[1])
+            if part != self.part:
+                self.part, self.own, where = part, None, 0
             if data is not None:
-                self.last = (part, np.frombuffer(data, self.kind))
-                tables[-1] = self.last[1]
-            at.append(len(tables) - 1)
+                self.own = np.frombuffer(data, self.kind)
+                tables.append(self.own)
+                where = len(tables) - 1
+            at.append(where)
         return np.concatenate(tables), np.repeat(np.array(at, np.int64), each) * self.size
 
     def estimates(self, records: Opened, rows: list[pa.RecordBatch], each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

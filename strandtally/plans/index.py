@@ -115,6 +115,7 @@ class SketchIndex:
         parts = self.config.counter_slots // sketch.part_slots(self.config)
         buckets = min(parts, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         name = f"saving_{hashlib.md5(path.encode()).hexdigest()}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # of a save that was cut
         rows = self.packed.repartition(buckets, "part")
         rows.write.bucketBy(buckets, "part").sortBy("part").format("parquet").option("path", f"{path}/counters").saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")
