@@ -245,3 +245,27 @@ def test_probes_are_exchanged_once_and_a_stored_index_not_at_all(spark, tmp_path
     rows = lambda x: sorted(tuple(r) for r in x.collect())
     assert rows(again.estimates(own)) == rows(index.estimates(own))
     assert rows(again.abundances(own.where("record_id < 3"))) == rows(index.abundances(own.where("record_id < 3")))
+
+
+def test_repeated_reads_are_summed_before_they_move(spark):
+    """Of a group of copies each task sends every super-k-mer once, with a count."""
+    one = text(200, 40, "ACGT")
+    own = reads(spark, *[one] * 600, *[text(200, 50 + i, "ACGT") for i in range(5)]).repartition(4)
+    c = SHAPES[0]
+    size = sketch.sketch_layout(c).size
+    alone = sketch.probes(reads(spark, one), c).agg(F.sum(F.octet_length("records"))).first()[0] // size
+    rest = sketch.probes(own.where("record_id >= 600").coalesce(1), c).agg(F.sum(F.octet_length("records"))).first()[0] // size
+    sent = sketch.probes(own, c).agg(F.sum(F.octet_length("records"))).first()[0] // size
+    assert sent <= 4 * (alone + rest)
+    found = SketchIndex.build(spark, own, c).estimates(own)
+    assert found.agg(F.sum("n")).first()[0] == 605 * 192 and found.where("estimate < n").count() == 0
+
+
+def test_parts_that_an_index_lacks_have_no_counts(spark):
+    few = reads(spark, text(30, 60, "ACGT"))
+    many = reads(spark, *[text(2000, 70 + i, "ACGT") for i in range(3)])
+    index = SketchIndex.build(spark, few, SHAPES[0])
+    known = {(r["block"], r["slot"]) for r in index.counters.collect()}
+    found = index.estimates(many).collect()
+    assert len(known) < 150 and len(found) > 5000 and sum(r["estimate"] == 0 for r in found) > 0.9 * len(found)
+    assert all(r["estimate"] > 0 for r in index.estimates(few).collect())
