@@ -9,18 +9,22 @@ over the remaining byte values.  So the probabilities of a context sum to
 one and the code lengths are exact.  The counts are frozen after training.
 
 A tree is kept as sorted arrays of its contexts and their symbols; a context's symbols are
-a subset of those of its suffix, so exclusion needs no sets, but two sums a context.  Contexts with less than a
-2**-20th of their language's bytes are pruned, so a tree's size is bounded whatever the number of
-documents.  Languages are dealt over blocks of bounded size; each block is broadcast for one pass over the texts.
+a subset of those of its suffix, so exclusion needs no sets, but two sums a context.  Trees are whole: no context is
+pruned, however rare.  They are cut into pieces by the last byte of the context, as a context's suffixes end with the same byte
+(a piece also has its language's counts without context); at the default order such a piece has less than 2**24 entries
+whatever the corpus.  Pieces are dealt over blocks of bounded size, and each block is broadcast.  Texts are read in
+one pass: a chunk's distinct grams meet the blocks one after the other, and one block at a time is held.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +35,9 @@ ORDER = 3
 START = 256
 BASE = 257
 MERGE_ROWS = 2_000_000
-LEAST_SHARE = 2.0**-20
-BLOCK_ENTRIES = 8_000_000
+BLOCK_ENTRIES = 4_000_000
 PIECE_BYTES = 1 << 20
+MANY_BYTES = 4 << 20  # a chunk of texts, if blocks are loaded again for each
 AT_ONCE = 8  # languages
 
 
@@ -117,9 +121,10 @@ class Tree:
     """One language: by length of context the sorted contexts and grams, and what code lengths need of them.
 
     total and kinds are a context's counts and distinct symbols; left and others are those of its suffix, once the symbols
-    seen after the context itself are excluded.
+    seen after the context itself are excluded.  span: the first and the last byte that may end the contexts known here.
     """
 
+    span: tuple[int, int] = (0, BASE - 1)
     contexts: list[np.ndarray] = field(default_factory=list)
     total: list[np.ndarray] = field(default_factory=list)
     kinds: list[np.ndarray] = field(default_factory=list)
@@ -129,9 +134,9 @@ class Tree:
     counts: list[np.ndarray] = field(default_factory=list)
 
     @classmethod
-    def of(cls, levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
+    def of(cls, levels: list[tuple[np.ndarray, np.ndarray]], span: tuple[int, int] = (0, BASE - 1)) -> Tree:
         """From (grams, counts) by length of context; grams are distinct."""
-        out = cls()
+        out = cls(span)
         for j, (grams, counts) in enumerate(levels):
             order = np.argsort(grams)
             grams, counts = grams[order], counts[order]
@@ -185,106 +190,155 @@ def found(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Trees:
-    """The frozen model: its entries (lang, level, gram, n) in a table, and the languages in blocks."""
+    """The frozen model: its entries (lang, last, level, gram, n) in a table, and by block the span of last bytes of each language in it."""
 
     entries: DataFrame
-    blocks: list[list[str]]
+    blocks: list[dict[str, tuple[int, int]]]
     order: int
 
     @property
     def langs(self) -> list[str]:
-        return sorted(x for b in self.blocks for x in b)
+        return sorted({x for b in self.blocks for x in b})
 
     def block(self, i: int) -> dict[str, Tree]:
-        """One block's trees; their size is bounded by BLOCK_ENTRIES, or a single pruned tree."""
-        rows = self.entries.where(F.col("lang").isin(self.blocks[i])).toPandas()
-        out = {}
-        for lang in self.blocks[i]:
-            own = rows[rows["lang"] == lang]
-            out[lang] = Tree.of([(part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64)) for part in (own[own["level"] == j] for j in range(self.order + 1))])
-        return out
-
-
-def freeze(counts: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE, block_entries: int = BLOCK_ENTRIES) -> Trees:
-    """The frozen trees from context_counts(); pruned in Spark before anything reaches the driver."""
+        """One block's trees, or their parts; their size is bounded by BLOCK_ENTRIES, or a single piece."""
+        spans = self.blocks[i]
+        wanted = F.col("lang").isin([x for x, span in spans.items() if span == (0, BASE - 1)])
+        for lang, (lo, hi) in spans.items():
+            if (lo, hi) != (0, BASE - 1):
+                wanted |= (F.col("lang") == lang) & (F.col("last").between(lo, hi) | (F.col("level") == 0))
+        rows = self.entries.where(wanted).select("lang", "level", "gram", "n").toArrow()
+        names = np.array(sorted(spans), dtype=object)
+        at = pc.index_in(rows["lang"], pa.array(names, pa.string())).to_numpy()
+        level, gram, n = (rows[c].to_numpy() for c in ("level", "gram", "n"))
+        key = at * (self.order + 1) + level
+        order = np.argsort(key, kind="stable")
+        cuts = np.searchsorted(key[order], np.arange(len(names) * (self.order + 1) + 1))
+        parts = [(gram[order[a:b]], n[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return {x: Tree.of(parts[k * (self.order + 1) : (k + 1) * (self.order + 1)], spans[x]) for k, x in enumerate(names)}
+
+
+def dealt(sizes: Iterable[tuple[str, int, int]], block_entries: int) -> list[dict[str, tuple[int, int]]]:
+    """Blocks of about `block_entries` from sorted (lang, last byte or -1 for no context, entries); languages that fit a block stay whole."""
+    blocks: list[dict[str, tuple[int, int]]] = []
+    room = 0
+    for lang, cells in groupby(sizes, key=lambda r: r[0]):
+        own = [(last, n) for _, last, n in cells]
+        whole, lo = sum(n for _, n in own), 0
+        free = sum(n for last, n in own if last < 0)
+        if not blocks or whole > room:
+            blocks.append({})
+            room = block_entries
+        if whole > block_entries:
+            room -= free
+            for last, n in own:
+                if last > lo and n > room:
+                    blocks[-1][lang] = (lo, last - 1)
+                    blocks.append({})
+                    lo, room = last, block_entries - free
+                room -= n if last >= 0 else 0
+        else:
+            room -= whole
+        blocks[-1][lang] = (lo, BASE - 1)
+    return blocks
+
+
+def freeze(counts: DataFrame, order: int = ORDER, block_entries: int = BLOCK_ENTRIES) -> Trees:
+    """The frozen trees from context_counts(); at most 258 numbers a language reach the driver here."""
     counts = written(counts, "grams")
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("size"))
     levels = None
     for j in range(order, -1, -1):
         own = counts if j == order else counts.groupBy("lang", (F.col("gram") % BASE ** (j + 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        context = F.floor(F.col("gram") / F.lit(BASE)).cast("long") if j else F.lit(0).cast("long")
-        own = own.select("lang", F.lit(j).alias("level"), "gram", "n", context.alias("context"))
+        last = F.floor(F.col("gram") / F.lit(BASE)).cast("long") % BASE if j else F.lit(-1)
+        own = own.select("lang", last.cast("int").alias("last"), F.lit(j).alias("level"), "gram", "n")
         levels = own if levels is None else levels.unionByName(own)
-    # a longer context is never more frequent than its suffix, so pruning leaves whole trees
-    often = levels.groupBy("lang", "level", "context").agg(F.sum("n").alias("all")).join(sizes, "lang").where(F.col("all") >= F.col("size") * F.lit(least_share)).select("lang", "level", "context")
-    entries = written(levels.join(often, ["lang", "level", "context"]).select("lang", "level", "gram", "n"), "trees")
+    # sorted, so that a block's scan skips the others' row groups
+    entries = written(levels.repartitionByRange("lang", "last").sortWithinPartitions("lang", "last"), "trees")
     drop_written(counts)
-    blocks: list[list[str]] = []
-    room = 0
-    for r in entries.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect():  # one small row a language
-        if not blocks or room < r["n"]:
-            blocks.append([])
-            room = block_entries
-        blocks[-1].append(r["lang"])
-        room -= r["n"]
-    return Trees(entries, blocks, order)
+    sizes = entries.groupBy("lang", "last").agg(F.count("*").alias("n")).orderBy("lang", "last").collect()
+    return Trees(entries, dealt(((r["lang"], r["last"], r["n"]) for r in sizes), block_entries), order)
+
+
+def code_lengths(data: np.ndarray, offsets: np.ndarray, blocks: Iterable[dict[str, Tree]], langs: list[str], order: int) -> np.ndarray:
+    """(texts, languages): each text's bits in the code of each language."""
+    totals = np.zeros((len(offsets) - 1, len(langs)))
+    if not len(data):
+        return totals
+    grams, code = ranked(data, offsets, order)
+    last = grams // BASE % BASE
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    place = {x: i for i, x in enumerate(langs)}
+    ready: list[tuple[int, np.ndarray]] = []
+    open_: dict[str, np.ndarray] = {}  # of the language that goes on in the next block
+
+    def added() -> None:
+        bits = np.stack([b for _, b in ready], axis=1)
+        totals[np.ix_(full, [i for i, _ in ready])] = np.add.reduceat(bits[code], offsets[:-1][full], axis=0)
+        ready.clear()
+
+    for block in blocks:
+        for lang in sorted(block):
+            tree = block[lang]
+            lo, hi = tree.span
+            if (lo, hi) == (0, BASE - 1):
+                bits = tree.bits(grams)
+            else:
+                bits = open_.pop(lang) if lo else np.zeros(len(grams))
+                mine = np.flatnonzero((last >= lo) & (last <= hi))
+                bits[mine] = tree.bits(grams[mine])
+            if hi < BASE - 1:
+                open_[lang] = bits
+                continue
+            ready.append((place[lang], bits))
+            if len(ready) == AT_ONCE:
+                added()
+    if ready:
+        added()
+    return totals
 
 
 def scored(df: DataFrame, trees: Trees, text_col: str = "text", carry: bool = True) -> DataFrame:
     """df with its columns renamed to _c0, _c1, ..., and _lang, _score, _bits (a byte); names of its own never clash.
 
-    A text moves to Python and back once for each block of languages; without carry, it doesn't come back from the last.
+    Texts move to Python once, and don't come back without carry.
     """
     names = df.columns
     at = next(i for i, c in enumerate(names) if c.lower() == text_col.lower())
     rows = df.toDF(*[f"_c{i}" for i in range(len(names))])
-    own = rows.columns
-    state = ["_lang", "_least", "_mass", "_letter"]
-    rows = rows.select(*own, F.lit(None).cast("string").alias("_lang"), F.lit(None).cast("double").alias("_least"), F.lit(0.0).alias("_mass"), F.coalesce(F.col(f"_c{at}").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    order = trees.order
-
-    def passed(rows: DataFrame, block: int) -> DataFrame:
-        model = df.sparkSession.sparkContext.broadcast(trees.block(block))
-        last = block == len(trees.blocks) - 1
-        kept = [i for i in range(len(own)) if i != at or carry or not last]
-        schema = T.StructType([rows.schema[f"_c{i}"] for i in kept] + [T.StructField(c, rows.schema[c].dataType) for c in state] + [T.StructField("_size", T.LongType())])
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trees_ = model.value
-            langs = sorted(trees_)
-            for batch in batches:
-                was_lang, was_least, was_mass, letter = (batch.column(len(own) + i) for i in range(4))
-                for lo, hi, data, offsets in chunks(batch.column(at).fill_null(""), PIECE_BYTES):
-                    n = hi - lo
-                    totals = np.zeros((n, len(langs)))
-                    if len(data):
-                        grams, code = ranked(data, offsets, order)
-                        full = np.flatnonzero(np.diff(offsets) > 0)
-                        for a in range(0, len(langs), AT_ONCE):
-                            bits = np.stack([trees_[x].bits(grams) for x in langs[a : a + AT_ONCE]], axis=1)
-                            totals[full, a : a + AT_ONCE] = np.add.reduceat(bits[code], offsets[:-1][full], axis=0)
-                    best = totals.argmin(axis=1)
-                    least = totals[np.arange(n), best]
-                    mass = np.exp2(-np.minimum(totals - least[:, None], 1000)).sum(axis=1)
-                    # what earlier blocks found; ties go to the first name, and blocks are in their order
-                    old = np.array(was_least.slice(lo, n).to_numpy(zero_copy_only=False), dtype=float)
-                    worse = np.isnan(old) | (old > least)
-                    low = np.where(worse, least, old)
-                    before = np.where(np.isnan(old), 0, was_mass.slice(lo, n).to_numpy(zero_copy_only=False) * np.exp2(-np.minimum(np.nan_to_num(old) - low, 1000)))
-                    mass = mass * np.exp2(-np.minimum(least - low, 1000)) + before
-                    name = np.where(worse, np.array(langs, dtype=object)[best], np.array(was_lang.slice(lo, n).to_pylist(), dtype=object))
-                    out = [batch.column(i).slice(lo, n) for i in kept]
-                    yield pa.RecordBatch.from_arrays([*out, pa.array(name.tolist(), pa.string()), pa.array(low), pa.array(mass), letter.slice(lo, n), pa.array(np.diff(offsets))], names=schema.names)
-
-        return rows.select(*own, *state).mapInArrow(score, schema)
-
-    for i in range(len(trees.blocks)):
-        rows = passed(written(rows, "scored") if i else rows, i)
+    own = [c for i, c in enumerate(rows.columns) if carry or i != at]
     if not trees.blocks:
-        rows = rows.withColumn("_size", F.lit(0).cast("long"))
-    good = F.col("_letter") & F.col("_lang").isNotNull()
-    mine = [c for i, c in enumerate(own) if carry or i != at]
-    return rows.select(*mine, F.when(good, F.col("_lang")).otherwise("und").alias("_lang"), F.when(good, 1 / F.col("_mass")).otherwise(0.0).alias("_score"), F.coalesce(F.col("_least") / F.greatest(F.col("_size"), F.lit(1)), F.lit(0.0)).alias("_bits"))
+        return rows.select(*own, F.lit("und").alias("_lang"), F.lit(0.0).alias("_score"), F.lit(0.0).alias("_bits"))
+    letter = F.coalesce(F.col(f"_c{at}").cast("string").rlike(r"\p{L}"), F.lit(False))
+    others = [c for i, c in enumerate(rows.columns) if i != at]
+    kept = isinstance(rows.schema[f"_c{at}"].dataType, T.StringType)  # else the text is sent beside its column
+    rows = rows.select(*others, *([] if kept or not carry else [f"_c{at}"]), F.col(f"_c{at}").cast("string").alias(f"_c{at}" if kept else "_text"), letter.alias("_letter"))
+    schema = T.StructType([rows.schema[c] for c in own] + [T.StructField("_letter", T.BooleanType()), T.StructField("_best", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in ("_least", "_mass")] + [T.StructField("_size", T.LongType())])
+    order, langs = trees.order, trees.langs
+    model = [df.sparkSession.sparkContext.broadcast(trees.block(i)) for i in range(len(trees.blocks))]
+    places = [rows.columns.index(c) for c in own]
+    width = len(rows.columns)
+
+    def loaded() -> Iterator[dict[str, Tree]]:
+        for block in model:
+            # several blocks aren't kept: each is read again from the executor's own copy
+            yield block.value if len(model) == 1 or block._path is None else block.load_from_path(block._path)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, has_letter = batch.column(width - 2), batch.column(width - 1)
+            for lo, hi, data, offsets in chunks(text.fill_null(""), PIECE_BYTES if len(model) == 1 else MANY_BYTES):
+                n = hi - lo
+                totals = code_lengths(data, offsets, loaded(), langs, order)
+                best = totals.argmin(axis=1)  # ties go to the first name
+                least = totals[np.arange(n), best]
+                mass = np.exp2(-np.minimum(totals - least[:, None], 1000)).sum(axis=1)
+                out = [batch.column(i).slice(lo, n) for i in places]
+                name = pa.array(langs, pa.string()).take(pa.array(best))
+                yield pa.RecordBatch.from_arrays([*out, has_letter.slice(lo, n), name, pa.array(least), pa.array(mass), pa.array(np.diff(offsets))], names=schema.names)
+
+    rows = rows.mapInArrow(score, schema)
+    good = F.col("_letter")
+    return rows.select(*own, F.when(good, F.col("_best")).otherwise("und").alias("_lang"), F.when(good, 1 / F.col("_mass")).otherwise(0.0).alias("_score"), (F.col("_least") / F.greatest(F.col("_size"), F.lit(1))).alias("_bits"))
 
 
 def identify(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

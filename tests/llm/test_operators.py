@@ -117,6 +117,66 @@ def test_language_of_two_hundred(spark):
     assert abs(a[23]["bits_per_byte"] * len(rows[23].encode()) - brute.bits(rows[23].encode())) < 1e-9 * 1000
 
 
+def test_language_trees_are_whole_however_they_are_cut(spark):
+    rng = np.random.default_rng(4)
+    common = "the cat and the dog went to the house with them "
+    big = common * 70_000  # 3.4 MB; the word below is a share of 2**-18 of it
+    rows = [big, "der hund und die katze " + "".join(rng.choice(list("abcdefghij"), 3000)), "xqzjvk wyx", common, "xqzjvk", "", None, "12 34", "der hund"]
+    own = docs(spark, rows, ["en", "de", "en"] + [None] * 6)
+    counts = langid.context_counts(own)
+    one, cut = langid.freeze(counts), langid.freeze(counts, block_entries=400)
+    assert len(one.blocks) == 1 and sum("de" in b for b in cut.blocks) > 3
+    for lang in ("de", "en"):  # spans join without a gap
+        spans = [b[lang] for b in cut.blocks if lang in b]
+        assert spans[0][0] == 0 and spans[-1][1] == langid.BASE - 1 and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    a, b = ({r["doc_id"]: r for r in langid.identify(own, t).collect()} for t in (one, cut))
+    assert a == b and len(a) == len(rows)
+    brute = {x: BrutePpm([r.encode() for r, y in zip(rows, ["en", "de", "en"], strict=False) if y == x], langid.ORDER) for x in ("de", "en")}
+    for i in (2, 3, 4, 8):
+        bits = {x: m.bits(rows[i].encode()) for x, m in brute.items()}
+        best = min(sorted(bits), key=bits.get)
+        assert a[i]["lang_pred"] == best and abs(a[i]["bits_per_byte"] * len(rows[i].encode()) - bits[best]) < 1e-9 * max(1, bits[best])
+    # a word seen once leaves the same entries beside a large corpus as beside a small one
+    word = [langid.START] * 3 + list(b"xqzjvk wyx")
+    grams = {sum(c * langid.BASE ** (3 - k) for k, c in enumerate(word[i : i + 4])) for i in range(len(word) - 3)}
+    held = {r["gram"]: r["n"] for r in one.entries.where("lang = 'en' and level = 3").collect()}
+    assert all(held[g] == 1 for g in grams)
+
+
+def test_language_of_wide_trees(spark):
+    """Over a million entries, in blocks of a third of them: code lengths as by brute force."""
+    rng = np.random.default_rng(9)
+    texts = ["".join(chr(c) for c in rng.integers(97, 123, 40_000)) + "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 180_000)) for _ in range(2)]
+    rows = [*texts, texts[0][:300] + texts[0][-300:], texts[1][:300] + texts[1][-300:]]
+    own = docs(spark, rows, ["a", "b", None, None])
+    trees = langid.freeze(langid.context_counts(own), block_entries=350_000)
+    assert trees.entries.count() > 1_000_000 and len(trees.blocks) > 3
+    found = {r["doc_id"]: r for r in langid.identify(own, trees).collect()}
+    for i, x in ((2, "a"), (3, "b")):
+        bits = BrutePpm([texts["ab".index(x)].encode()], langid.ORDER).bits(rows[i].encode())
+        assert found[i]["lang_pred"] == x and abs(found[i]["bits_per_byte"] * len(rows[i].encode()) - bits) < 1e-9 * bits
+
+
+def test_language_rejects_what_no_code_tells_of(spark):
+    rng = np.random.default_rng(6)
+    common = "the cat and the dog went to the house with them "
+    noise = "".join(chr(c) for c in rng.integers(0x3400, 0x9FFF, 500))
+    rows = [common * 9, "der hund und die katze gingen in das haus " * 9, common, noise, None, "", "12 34 56", common, "der hund"]
+    own = docs(spark, rows, ["en", "de"] + [None] * 7).withColumn("_score", F.lit(7)).withColumn("_lang", F.col("doc_id"))
+    own = own.unionByName(own.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))
+    trees = langid.freeze(langid.context_counts(own))
+    kept = langid.recognised(own, trees)
+    assert kept.columns == own.columns and kept.dtypes == own.dtypes
+    found = kept.collect()
+    assert sorted(r["doc_id"] for r in found if r["doc_id"] is not None) == [0, 1, 2, 7, 8] and len(found) == 6
+    assert all(r["_score"] == 7 and r["_lang"] == (r["doc_id"] if r["doc_id"] is not None else 2) and (r["doc_id"] is None or r["text"] == rows[r["doc_id"]]) for r in found)
+    bits = {r["doc_id"]: r["bits_per_byte"] for r in langid.identify(own, trees).collect()}
+    assert bits[3] >= 8 > bits[8]
+    edge = langid.recognised(own, trees, most_bits=bits[8]).collect()
+    assert 8 not in {r["doc_id"] for r in edge} and 8 in {r["doc_id"] for r in langid.recognised(own, trees, most_bits=bits[8] * 1.0001).collect()}
+    assert langid.recognised(own.where("false"), trees).count() == 0 and langid.recognised(own, langid.freeze(langid.context_counts(own.where("false")))).count() == 0
+
+
 def test_language_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
