@@ -21,6 +21,7 @@ from strandtally.streaming.ingest import ingest, ingested
 CONFIG = SketchConfig(k=15, m=9, s=11, n_hashes=3, counter_bits=16, counter_slots_exponent=20, block_slots_exponent=8)
 NARROW = SketchConfig(k=15, m=9, s=11, n_hashes=3, counter_bits=8, counter_slots_exponent=20, block_slots_exponent=8)
 SAMPLE = 5000
+PIECE = 64  # windows of a piece of a read, in SQL
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -212,10 +213,12 @@ def _reads(name: str, table: str, key: str) -> str:
 
 
 def _windows(name: str, reads: str, n: int) -> str:
-    """Canonical windows; null if not ACGT alone."""
+    """Canonical windows; null if not ACGT alone.  Reads are cut first, as substr counts from a text's start."""
     return (
-        f"{name}_at AS (SELECT record_id, sequence, unnest(generate_series(0, length(sequence) - {n})) AS i FROM {reads} WHERE length(sequence) >= {n}), "
-        f"{name}_text AS (SELECT record_id, i, substr(sequence, i + 1, {n}) AS w FROM {name}_at), "
+        f"{name}_read AS (SELECT record_id, sequence, unnest(generate_series(0, length(sequence) - {n}, {PIECE})) AS start FROM {reads} WHERE length(sequence) >= {n}), "
+        f"{name}_piece AS (SELECT record_id, start, substr(sequence, start + 1, {PIECE + n - 1}) AS piece FROM {name}_read), "
+        f"{name}_at AS (SELECT record_id, start, piece, unnest(generate_series(0, length(piece) - {n})) AS j FROM {name}_piece), "
+        f"{name}_text AS (SELECT record_id, start + j AS i, substr(piece, j + 1, {n}) AS w FROM {name}_at), "
         f"{name}_least AS (SELECT record_id, i, w, CASE WHEN w NOT LIKE '%N%' THEN {_canonical('w')} END AS c FROM {name}_text), "
         f"{name} AS (SELECT record_id, i::BIGINT AS i, w = c AS own, CASE WHEN c IS NOT NULL THEN {_code('c', n)} END AS code FROM {name}_least)"
     )
