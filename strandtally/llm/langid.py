@@ -253,7 +253,7 @@ def freeze(counts: DataFrame, order: int = ORDER, block_entries: int = BLOCK_ENT
         own = own.select("lang", last.cast("int").alias("last"), F.lit(j).alias("level"), "gram", "n")
         levels = own if levels is None else levels.unionByName(own)
     # sorted, so that a block's scan skips the others' row groups
-    entries = written(levels.repartitionByRange("lang", "last").sortWithinPartitions("lang", "last"), "trees")
+    entries = written(levels.repartitionByRange("lang", "last", "gram").sortWithinPartitions("lang", "last"), "trees")
     drop_written(counts)
     sizes = entries.groupBy("lang", "last").agg(F.count("*").alias("n")).orderBy("lang", "last").collect()
     return Trees(entries, dealt(((r["lang"], r["last"], r["n"]) for r in sizes), block_entries), order)
