@@ -15,6 +15,8 @@ forest leave a list, and components are found by star contraction.
 
 from __future__ import annotations
 
+import functools
+from array import array
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,6 +30,8 @@ from strandtally.llm._shared import cell_pairs, chunks, components, forest, grou
 
 BYTES, SEED = 8, 42
 BLOCK = 2048
+#: hashes whose bits are spread at once
+FOLD = 1 << 15
 
 
 def shingle_fingerprint(text: bytes, width: int) -> int:
@@ -37,16 +41,19 @@ def shingle_fingerprint(text: bytes, width: int) -> int:
     return int(fold(np.array(hashes, dtype=np.uint64), np.array([0]), np.array([len(hashes)]))[0]) if hashes else 0
 
 
-def shingle_hashes(own: list[bytes], width: int) -> list[int]:
+def shingle_hashes(own: list[bytes], width: int) -> array:
     if not own:
-        return []
+        return array("Q")
     joined = b" ".join(own)
     digest = xxhash.xxh64_intdigest
     if len(own) <= width:
-        return [digest(joined, SEED)]
+        return array("Q", [digest(joined, SEED)])
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
-    starts = [0, *(ends[: len(own) - width] + 1).tolist()]
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+    starts, stops = np.append(0, ends[: len(own) - width] + 1), ends[width - 1 :]
+    out = array("Q")
+    for lo in range(0, len(starts), FOLD):
+        out.extend([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + FOLD].tolist(), stops[lo : lo + FOLD].tolist(), strict=True)])
+    return out
 
 
 def fold(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -54,8 +61,13 @@ def fold(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     out = np.zeros(len(starts), dtype=np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, starts[some], axis=0, dtype=np.int32)
+        ones = np.zeros((len(some), 8 * BYTES), dtype=np.int32)
+        first = starts[some]
+        # bits are spread a piece at a time, which may cut a run
+        for lo in range(0, len(hashes), FOLD):
+            bits = np.unpackbits(hashes[lo : lo + FOLD].view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little")
+            own = slice(int(np.searchsorted(first, lo, side="right")) - 1, int(np.searchsorted(first, lo + FOLD)))
+            ones[own] += np.add.reduceat(bits, np.maximum(first[own] - lo, 0), axis=0, dtype=np.int32)
         out[some] = np.packbits(2 * ones > sizes[some, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
     return out
 
@@ -68,7 +80,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 raw = data.tobytes().lower()
-                hashes, sizes = [], []
+                hashes, sizes = array("Q"), []
                 for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                     own = shingle_hashes(raw[a:b].split(), width)
                     hashes += own
@@ -91,40 +103,43 @@ def position_triples() -> list[tuple[int, ...]]:
     return out
 
 
+def tally(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a spanning forest of the links in some cells, of (cell, node, fp) sorted by cell."""
+    least = BYTES - max_bits
+    low, one = np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0x0101010101010101)
+    for part in whole_cells(batches):
+        node = part.column(1).to_numpy()
+        fp = part.column(2).to_numpy().view(np.uint64)
+        # the same entry in several cells is one member
+        names, member = np.unique(node, return_inverse=True)
+        root = np.arange(len(names))
+        for a, b in cell_pairs(part.column(0).to_numpy()):
+            x = fp[a] ^ fp[b]
+            y = (x | (x >> np.uint64(4))) & low
+            y |= y >> np.uint64(2)
+            y = (y | (y >> np.uint64(1))) & one
+            shared = BYTES - np.bitwise_count(y).astype(np.int8)
+            keep = np.flatnonzero(shared >= least)
+            keep = keep[np.bitwise_count(x[keep]) <= max_bits]
+            # links are taken up as they come: in a group of near copies almost all pairs are links
+            u, v = root[member[a[keep]]], root[member[b[keep]]]
+            new = u != v
+            if new.any():
+                root = forest(len(names), u[new], v[new])[root]
+        own = np.flatnonzero(root != np.arange(len(names)))
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(names[root[own]]), pa.array(names[own])], names=["a", "b"])
+
+
 def near_edges(reps: DataFrame, max_bits: int = 4) -> DataFrame:
     """Edges (a, b) that join all of reps (node, fp; fp distinct) within max_bits <= 4 of each other into the same components."""
     if not 0 <= max_bits <= 4:
         raise ValueError("max_bits must be from 0 to 4")
-    least = BYTES - max_bits
     byte = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) for i in range(BYTES)]
     keys = [F.lit(n * (1 << 24)) + byte[a] * 65536 + byte[b] * 256 + byte[c] for n, (a, b, c) in enumerate(position_triples())]
     lists = reps.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
     cells = grouped_blocks(lists, "key", "fp", BLOCK).select("cell", "node", "fp")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, one = np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0x0101010101010101)
-        for part in whole_cells(batches):
-            node = part.column(1).to_numpy()
-            fp = part.column(2).to_numpy().view(np.uint64)
-            left, right = [], []
-            for a, b in cell_pairs(part.column(0).to_numpy()):
-                x = fp[a] ^ fp[b]
-                y = (x | (x >> np.uint64(4))) & low
-                y |= y >> np.uint64(2)
-                y = (y | (y >> np.uint64(1))) & one
-                shared = BYTES - np.bitwise_count(y).astype(np.int8)
-                keep = np.flatnonzero(shared >= least)
-                keep = keep[np.bitwise_count(x[keep]) <= max_bits]
-                left.append(a[keep])
-                right.append(b[keep])
-            if left and (n := sum(map(len, left))):
-                # the same entry in several cells is one member
-                names, member = np.unique(node, return_inverse=True)
-                root = forest(len(names), member[np.concatenate(left)], member[np.concatenate(right)])
-                own = np.flatnonzero(root != np.arange(len(names)))
-                yield pa.RecordBatch.from_arrays([pa.array(names[root[own]]), pa.array(names[own])], names=["a", "b"])
-
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tally, "a long, b long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(functools.partial(tally, max_bits=max_bits), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:

@@ -717,3 +717,56 @@ def test_cells_are_whole_whatever_the_batches(size):
     assert np.concatenate([p.column(1).to_numpy() for p in parts]).tolist() == list(range(len(cells)))
     own = [set(p.column(0).to_pylist()) for p in parts]
     assert sum(map(len, own)) == len(set().union(*own)) == 30
+
+
+def peak_mb(call):
+    """What a call allocates at once, and its result."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        out = call()
+        return tracemalloc.get_traced_memory()[1] / 1e6, out
+    finally:
+        tracemalloc.stop()
+
+
+def test_simhash_of_a_long_text_in_bounded_memory():
+    import xxhash
+
+    own = [b"%d" % (i % 7) for i in range(1_000_000)]
+    text = b" ".join(own)
+    peak, fp = peak_mb(lambda: simhash.shingle_fingerprint(text, 4))
+    assert peak < 200  # 380 MB when all bits were spread at once
+    h = [xxhash.xxh64_intdigest(b" ".join(own[i : i + 4]), 42) for i in range(7)]
+    times = [len(range(i, len(own) - 3, 7)) for i in range(7)]
+    assert fp == sum(1 << b for b in range(64) if 2 * sum(n for x, n in zip(h, times, strict=True) if x >> b & 1) > sum(times))
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 64])
+def test_simhash_folds_in_any_pieces(monkeypatch, piece):
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 1, 5, 0, 0, 2, 7, 1, 0])
+    hashes = rng.integers(0, 1 << 64, sizes.sum(), np.uint64)
+    monkeypatch.setattr(simhash, "FOLD", piece)
+    found = simhash.fold(hashes, np.cumsum(sizes) - sizes, sizes)
+    for fp, own in zip(found.tolist(), np.split(hashes, np.cumsum(sizes)[:-1]), strict=True):
+        assert fp == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in own) > len(own))
+
+
+def test_simhash_holds_no_pairs_of_near_copies():
+    import pyarrow as pa
+
+    # five cells of the same fingerprints, all pairs of which are links, and one of two far ones
+    rng = np.random.default_rng(5)
+    near = np.unique(np.array([1 << a | 1 << b for a, b in rng.integers(0, 64, (40_000, 2)).tolist()], np.uint64))
+    fp = np.concatenate([*[near] * 5, np.array([0x0F0F << 20, 0xFFFFFFFF], np.uint64)])
+    own = rng.permutation(len(near) + 2)
+    node = np.concatenate([*[own[:-2]] * 5, own[-2:]])
+    cell = np.repeat(np.arange(6), [*[len(near)] * 5, 2])
+    batch = pa.RecordBatch.from_arrays([pa.array(cell), pa.array(node), pa.array(fp.view(np.int64))], names=["cell", "node", "fp"])
+    peak, edges = peak_mb(lambda: pa.Table.from_batches(simhash.tally(iter([batch]), 4)))
+    assert peak < 200  # 700 MB when all links were held
+    root = closed(zip(edges["a"].to_pylist(), edges["b"].to_pylist(), strict=True), len(own))
+    assert {root[i] for i in own[:-2]} == {own[:-2].min()}
+    assert [root[i] for i in own[-2:]] == own[-2:].tolist()
