@@ -281,21 +281,39 @@ def release(spark: SparkSession) -> None:
 
 
 def squeeze(*arrays: np.ndarray, plain: bool = False) -> bytes:
-    """Integer arrays, compressed by bytes of the same weight: as differences of neighbours, or (plain) as they are."""
-    parts = [(a.astype(np.int64) if plain else np.diff(a.astype(np.int64), prepend=np.int64(0))).tobytes() for a in arrays]
-    packed = [_squeezer().compress(np.frombuffer(p, np.uint8).reshape(-1, 8).T.tobytes()) for p in parts]
-    return b"".join([np.array([-len(packed) if plain else len(packed), *map(len, packed)], np.int64).tobytes(), *packed])
+    """Integer arrays, compressed by bytes of the same weight (as many as the values need): as differences of neighbours, or (plain) as they are."""
+    sizes, packed = [], []
+    for a in arrays:
+        a = a.astype(np.int64, copy=False)
+        if not plain:
+            # small differences of either sign have small codes
+            a = np.diff(a, prepend=np.int64(0))
+            a = (a << 1) ^ (a >> 63)
+        flat = a.view(np.uint64)
+        width = max(1, -(-int(flat.max(initial=0)).bit_length() // 8))
+        kind = np.dtype(f"<u{1 << (width - 1).bit_length()}")
+        flat = flat.astype(kind).view(np.uint8)
+        packed.append(_squeezer().compress(b"".join([flat[i :: kind.itemsize].tobytes() for i in range(width)])))
+        sizes.append(len(packed[-1]) << 4 | width)
+    return b"".join([np.array([-len(packed) if plain else len(packed), *sizes], np.int64).tobytes(), *packed])
 
 
 def unsqueeze(data: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(data, np.int64, 1)[0])
     plain, n = n < 0, abs(n)
-    sizes = np.frombuffer(data, np.int64, n, 8)
     out, at = [], 8 * (n + 1)
-    for size in sizes:
-        flat = np.frombuffer(_unsqueezer().decompress(data[at : at + size]), np.uint8)
-        values = np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).reshape(-1)
-        out.append(values if plain else np.cumsum(values))
+    for size in np.frombuffer(data, np.int64, n, 8).tolist():
+        size, width = size >> 4, size & 15
+        flat = np.frombuffer(_unsqueezer().decompress(data[at : at + size]), np.uint8).reshape(width, -1)
+        kind = np.dtype(f"<u{1 << (width - 1).bit_length()}")
+        values = np.zeros(flat.shape[1] * kind.itemsize, np.uint8)
+        for i in range(width):
+            values[i :: kind.itemsize] = flat[i]
+        values = values.view(kind).astype(np.uint64, copy=False)
+        if plain:
+            out.append(values.view(np.int64))
+        else:
+            out.append(np.cumsum((values >> np.uint64(1)).view(np.int64) ^ -(values & np.uint64(1)).view(np.int64)))
         at += size
     return out
 

@@ -128,8 +128,15 @@ def joint(columns: list[np.ndarray]) -> np.ndarray:
 
 def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct values, ascending; a place of each; and for each place the number of its value."""
-    order = np.argsort(codes)
-    codes = codes[order]
+    bits = len(codes).bit_length()
+    if int(codes.max(initial=0)) >> (63 - bits):
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+    else:
+        # values with their places in the low bits: sorting numbers is quicker than sorting places
+        codes = np.sort(codes.astype(np.int64, copy=False) << bits | np.arange(len(codes)))
+        order = codes & ((1 << bits) - 1)
+        codes = codes >> bits
     new = np.ones(len(codes), dtype=bool)
     new[1:] = codes[1:] != codes[:-1]
     back = np.empty(len(codes), dtype=np.int32)
@@ -166,7 +173,7 @@ class Level:
     pairs: np.ndarray  # in training, on this shelf
     asked: np.ndarray
     known: np.ndarray  # in training, in all
-    order: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    order: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # those asked for
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
     whole: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # by context
@@ -222,6 +229,11 @@ class Shelf:
         names, known = unsqueeze(row["words"])
         self.names, self.known = np.append(names, START), np.append(known, row["ends"])
         n = len(names)
+        # slots in order of their words' numbers, so that n-grams come in the order in which they are sent
+        by_number = np.argsort(names)
+        rank = np.empty(n, np.int32)
+        rank[by_number] = np.arange(n)
+        self.names[:n], self.known[:n] = names[by_number], known[by_number]
         # each document behind order - 1 starts
         pad = order - 1
         length = self.size + pad
@@ -229,13 +241,13 @@ class Shelf:
         self.place = (np.arange(length.sum()) - np.repeat(first, length)).astype(np.int32)
         self.real = self.place >= pad
         self.slots = np.full(len(self.place), n, dtype=np.int32)
-        self.slots[self.real] = unpacked_places(row["low"], row["rest"])
+        self.slots[self.real] = rank[unpacked_places(row["low"], row["rest"])]
         self.counted = self.real & np.repeat(self.train, length)
         none = np.zeros(0, np.int32)
         self.levels = [Level(self.slots, none, np.arange(n + 1, dtype=np.int32), none, none, none > 0, self.known)]
 
-    def deepen(self) -> Level:
-        """The n-grams of the next order."""
+    def deepen(self, counted: bool = True) -> Level:
+        """The n-grams of the next order; counted: with their training counts on this shelf."""
         below, n = self.levels[-1], len(self.levels)
         places = np.flatnonzero(self.place >= n)
         width = len(self.names)
@@ -243,8 +255,9 @@ class Shelf:
         at = np.full(len(self.place), -1, dtype=np.int32)
         at[places] = back
         context, last = (codes // width).astype(np.int32), (codes % width).astype(np.int32)
-        real = np.bincount(back, weights=self.real[places], minlength=len(codes)) > 0
-        pairs = np.bincount(back, weights=self.counted[places], minlength=len(codes)).astype(np.int64)
+        real = np.zeros(len(codes), bool)
+        real[back[self.real[places]]] = True
+        pairs = np.bincount(back[self.counted[places]], minlength=len(codes)) if counted else np.zeros(0, np.int64)
         # what ends before a text is starts alone, which stand before every document
         known = np.where(real, 0, self.known[-1])
         level = Level(at, context, last, below.at[places[lead]], pairs, real & (below.known[context] > 0), known)
@@ -264,15 +277,21 @@ class Shelf:
         """The order in which asked n-grams are sent, their buckets, and whether their contexts are frequent."""
         n = len(self.levels) - 1
         asked = np.flatnonzero(level.asked)
-        context, word = level.context[asked], self.names[level.last[asked]]
-        columns = self.columns(n, context)
-        by_context = np.zeros(len(asked), np.uint64)
-        for c in columns:
+        # n-grams are in order of their contexts, so these are runs
+        context = level.context[asked]
+        run = heads(context)
+        length = np.diff(np.append(run, len(asked)))
+        context = context[run]
+        by_context = np.zeros(len(run), np.uint64)
+        for c in self.columns(n, context):
             by_context = mix64(by_context * np.uint64(3) + c.astype(np.uint64) + np.uint64(1))
-        hot = self.levels[n - 1].known[context] > frequent
-        owner = (np.where(hot, mix64(by_context + word.astype(np.uint64)), by_context) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(joint([*columns, word]))
-        level.order, level.owner, level.hot = asked[order], owner[order], hot[order]
+        often = self.levels[n - 1].known[context] > frequent
+        hot = np.repeat(often, length)
+        owner = np.repeat((by_context % np.uint64(buckets)).astype(np.int64), length)
+        if often.any():
+            word = self.names[level.last[asked[hot]]].astype(np.uint64)
+            owner[hot] = (mix64(np.repeat(by_context[often], length[often]) + word) % np.uint64(buckets)).astype(np.int64)
+        level.order, level.owner, level.hot = asked, owner, hot
 
     def probabilities(self, d: list[np.ndarray], one: Words) -> np.ndarray:
         """P of the token at each real place, by recursion over the orders."""
@@ -470,23 +489,31 @@ def opened(row: dict, order: int, buckets: int, frequent: int, model: Model, hot
     """A shelf with what it has been told of its n-grams so far."""
     s = Shelf(row, order)
     for n in range(2, 2 + len(hot)):
-        level, d = s.deepen(), model.d[n - 2]
+        level, d = s.deepen(counted=False), model.d[n - 2]
         s.deal(level, buckets, frequent)
         codes = level.context[level.order]
         got = {r["bucket"]: r for r in row[f"r{n}"] or []}
-        for b, at in split(level.owner, buckets):
-            counts = unsqueeze(got[b]["a"])[0]
-            level.known[level.order[at]] = counts
-            run = heads(codes[at])
-            context = codes[at[run]]
-            marks = unsqueeze(got[b]["b"])[0]
-            total, small = marks >> 1, marks & 1 > 0
-            own = ~level.hot[at[run]]
-            level.whole[context[own]] = wholes(d, total, small)[own]
-            need = own & (np.minimum.reduceat(counts, run) == 0)
-            if need.any():
-                *of_counts, lower = unsqueeze(got[b]["c"])
-                level.weight[context[need]] = weights(d, total[need], np.array(of_counts), lower.view(np.float64))
+        # the buckets' replies one after the other, as one
+        dealt = list(split(level.owner, buckets))
+        if not dealt:
+            continue
+        at = np.concatenate([x for _, x in dealt])
+        replies = [got[b] for b, _ in dealt]
+        counts = np.concatenate([unsqueeze(r["a"])[0] for r in replies])
+        level.known[level.order[at]] = counts
+        new = np.append(True, codes[at][1:] != codes[at][:-1])
+        new[np.cumsum([0, *[len(x) for _, x in dealt[:-1]]])] = True
+        run = np.flatnonzero(new)
+        context = codes[at[run]]
+        marks = np.concatenate([unsqueeze(r["b"])[0] for r in replies])
+        total, small = marks >> 1, marks & 1 > 0
+        own = ~level.hot[at[run]]
+        level.whole[context[own]] = wholes(d, total, small)[own]
+        need = own & (np.minimum.reduceat(counts, run) == 0)
+        if need.any():
+            sums = [unsqueeze(r["c"]) for r in replies if r["c"] is not None]
+            of_counts = np.concatenate([x.reshape(K, -1) for x, _ in sums], axis=1)
+            level.weight[context[need]] = weights(d, total[need], of_counts, np.concatenate([x for _, x in sums]).view(np.float64))
         often = np.unique(codes[level.hot])
         if len(often):
             keys = np.stack(s.columns(n - 1, often), axis=1)
@@ -549,30 +576,31 @@ def counted_grams(shelves: DataFrame, replies: dict[int, DataFrame], model: Mode
                 level = s.deepen()
                 s.deal(level, buckets, frequent)
                 out = []
+                columns = s.columns(n - 1, np.arange(len(below.known)))
                 for b, at in split(level.owner, buckets):
                     if b % rounds != round_:
                         continue
                     grams = level.order[at]
                     run = heads(level.context[grams])
                     context = level.context[grams[run]]
-                    latest, *older = s.columns(n - 1, context)
+                    *newer, oldest = (c[context] for c in columns)
                     # of the shorter n-gram: its count, and what the counts after its context are divided by
                     whole = below.whole[below.context[level.suffix[grams[run]]]] if n > 2 else np.zeros(len(run), np.int64)
                     lower = below.known[level.suffix[grams]]
-                    out.append((b, row["shelf"], squeeze(run, level.hot[at[run]], latest, whole), squeeze(*older, plain=True), squeeze(s.names[level.last[grams]], level.pairs[grams], lower, plain=True)))
+                    out.append((b, row["shelf"], squeeze(run, level.hot[at[run]], oldest, whole), squeeze(*newer, plain=True), squeeze(s.names[level.last[grams]], level.pairs[grams], lower, plain=True)))
                     if len(out) == 16:
-                        yield batch_of(out, "bucket shelf contexts older grams")
+                        yield batch_of(out, "bucket shelf contexts newer grams")
                         out = []
                 if out:
-                    yield batch_of(out, "bucket shelf contexts older grams")
+                    yield batch_of(out, "bucket shelf contexts newer grams")
 
     def count(asks: pa.Table) -> pa.Table:
         rows = asks.to_pylist()
         bucket = rows[0]["bucket"]
         contexts = [unsqueeze(r["contexts"]) for r in rows]
         grams = [unsqueeze(r["grams"]) for r in rows]
-        older = [unsqueeze(r["older"]) for r in rows]
-        columns = [np.concatenate([c[2] for c in contexts]), *[np.concatenate(x) for x in zip(*older, strict=True)]]
+        newer = [unsqueeze(r["newer"]) for r in rows]
+        columns = [*[np.concatenate(x) for x in zip(*newer, strict=True)], np.concatenate([c[2] for c in contexts])]
         names, lead, context = distinct(joint(columns))
         columns = [c[lead] for c in columns]
         is_hot = np.zeros(len(names), bool)
@@ -602,7 +630,7 @@ def counted_grams(shelves: DataFrame, replies: dict[int, DataFrame], model: Mode
             i, own = context[context_at : context_at + len(c[0])], count_[back[gram_at : gram_at + len(g[0])]]
             gram_at, context_at = gram_at + len(g[0]), context_at + len(c[0])
             need = i[~is_hot[i] & (np.minimum.reduceat(own, c[0]) == 0)]
-            out.append({"part": "reply", "bucket": bucket, "shelf": r["shelf"], "a": squeeze(own, plain=True), "b": squeeze(marks[i], plain=True), "c": squeeze(*of_counts[:, need], lower[need].view(np.int64), plain=True) if len(need) else None})
+            out.append({"part": "reply", "bucket": bucket, "shelf": r["shelf"], "a": squeeze(own, plain=True), "b": squeeze(marks[i], plain=True), "c": squeeze(of_counts[:, need].ravel(), lower[need].view(np.int64), plain=True) if len(need) else None})
         # the tables hold what was seen
         run = heads(owner[seen])
         some = owner[seen][run]
@@ -614,7 +642,7 @@ def counted_grams(shelves: DataFrame, replies: dict[int, DataFrame], model: Mode
             out.append({"part": "hot", "bucket": bucket, "a": np.array([x[i] for x in columns]).tobytes(), "stats": [int(x) for x in [*[c[i] for c in columns], total[i], *of_counts[:, i]]], "lower": float(lower[i])})
         return parts_of(out)
 
-    asked = joined(shelves, replies).mapInArrow(ask, "bucket long, shelf long, contexts binary, older binary, grams binary")
+    asked = joined(shelves, replies).mapInArrow(ask, "bucket long, shelf long, contexts binary, newer binary, grams binary")
     out = parted(asked.groupBy("bucket").applyInArrow(count, PARTS), f"{model.path}/{n}-{round_}")
     del asked
     release(out.sparkSession)

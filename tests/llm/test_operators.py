@@ -770,3 +770,40 @@ def test_simhash_holds_no_pairs_of_near_copies():
     root = closed(zip(edges["a"].to_pylist(), edges["b"].to_pylist(), strict=True), len(own))
     assert {root[i] for i in own[:-2]} == {own[:-2].min()}
     assert [root[i] for i in own[-2:]] == own[-2:].tolist()
+
+
+def test_katz_ngrams_are_sent_as_they_come():
+    from strandtally.llm._shared import squeeze
+
+    rng = np.random.default_rng(6)
+    tokens, names = rng.integers(0, 40, 600), rng.permutation(40) * 3 + 2
+    low, rest = katz.packed_places(tokens)
+    sizes = np.array([0, 250, 350])
+    row = {"ids": squeeze(np.arange(3), np.zeros(3), np.array([1, 0, 1])), "sizes": squeeze(sizes, plain=True), "words": squeeze(names, np.bincount(tokens, minlength=40), plain=True), "low": low, "rest": rest, "ends": 3}
+    s = katz.Shelf(row, 3)
+    assert s.names[s.slots[s.real]].tolist() == names[tokens].tolist()
+    # ordered without sorting by number again: slots didn't follow the words' numbers before
+    for n in (2, 3):
+        level = s.deepen()
+        s.deal(level, 64, 15)
+        assert len(level.order) > 400 and (np.diff(level.order) > 0).all() and level.hot.any() and not level.hot.all()
+        words = np.stack([*s.columns(n - 1, level.context[level.order])[::-1], s.names[level.last[level.order]]], axis=1)
+        inner = words[(words != katz.START).all(axis=1)]
+        assert inner.tolist() == sorted(inner.tolist())
+        # a context has one bucket unless it is frequent
+        for c in np.unique(level.context[level.order]):
+            own = level.context[level.order] == c
+            assert level.hot[own].all() or len(set(level.owner[own].tolist())) == 1
+        level.known[level.order] = 1 + np.arange(len(level.order)) % 20  # as if told
+
+
+def test_packed_integers_come_back():
+    from strandtally.llm._shared import squeeze, unsqueeze
+
+    rng = np.random.default_rng(7)
+    odd = [np.zeros(0, np.int64), np.array([True, False]), np.array([-1, 5, -(2**63), 2**63 - 1]), rng.integers(-9, 9, 1000), np.arange(5, dtype=np.int32)]
+    for a in [*odd, *[rng.integers(0, 1 << b, 77) for b in range(1, 63, 4)]]:
+        for plain in (False, True):
+            for back in unsqueeze(squeeze(a, a, plain=plain)):
+                assert back.dtype == np.int64 and back.tolist() == a.astype(np.int64).tolist()
+    assert unsqueeze(squeeze()) == []
