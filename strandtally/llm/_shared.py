@@ -147,9 +147,9 @@ class Powers:
 _POWERS = Powers()
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WORD_BREAKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of each text, and for each text the index of its first word (one more at the end)."""
-    gap = WORD_BREAKS[data]
+    gap = breaks[data]
     first = np.empty(len(data), dtype=bool)
     first[:1] = True
     first[1:] = gap[:-1]

@@ -1,6 +1,7 @@
 """Operator 11: how the word use of sources diverges, within each language.
 
-Plain relational: regular-expression matches are exploded, a row for each distinct term of a document with its count, and grouped and counted; each (language, source) group and each language as
+Plain relational once terms are cut out: a small Arrow kernel finds them and leaves, for each piece of some megabytes of texts, a row for each
+language, source and term with its occurrences and documents, which Spark groups and sums; each (language, source) group and each language as
 a whole is crossed with the language's kept vocabulary, so that zeros count; smoothed shares are compared by a self-join on language and term,
 summed, and ranked by windows.  The crossing goes by language and a salt of the term, and pairs by language and a salt
 of the source, as one language may hold most rows.  All arithmetic is in integers.
@@ -8,15 +9,26 @@ of the source, as one language may hold most rows.  All arithmetic is in integer
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandtally.llm._native import bound
-from strandtally.llm._shared import table, written
+from strandtally.llm._shared import chunks, table, words, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: a term is a longest run of [^\x00-\x40\x5B-\x60\x7B-\x7F]; all bytes of a character beyond ASCII are outside these, so bytes tell the same
+TERM_BREAKS = np.arange(256) < 0x80
+TERM_BREAKS[[ord(c) for c in UPPER + LOWER]] = False
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[[ord(c) for c in UPPER]] = [ord(c) for c in LOWER]
+#: texts that are tallied together
+PIECE_BYTES = 8 << 20
+#: rows that leave the kernel at once
+OUT_ROWS = 1 << 16
 LEAST_DOCUMENTS, TOP_TERMS = 30, 50
 SMOOTHING, SCALE = 5, 1_000_000_000
 SALTS = 64
@@ -24,11 +36,6 @@ SALTS = 64
 _MOST = 9_000_000_000
 
 
-def lowered(text: Column) -> Column:
-    """A-Z in lower case, all else as it is; the quick built-in does the same for texts of ASCII alone."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
 def share(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(SCALE * (count + SMOOTHING) / (total + SMOOTHING * kept)), exactly; by decimals only where the product outgrows a BIGINT."""
     below = total + F.lit(SMOOTHING) * kept
@@ -44,23 +51,62 @@ def salted(rows: DataFrame, by: str | None) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
 
 
-def tallied(terms: Column) -> Column:
-    """array<struct<term,n>>: the distinct terms of a document with how often each occurs, from its sorted terms.  A document so gives a row for each term."""
-
-    def runs(own: Column) -> Column:
-        firsts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
-        return bound(firsts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(own, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(own)) - i).alias("n"))))
-
-    empty = F.array().cast("array<struct<term:string,n:int>>")
-    return bound(F.sort_array(terms), lambda own: F.when(F.size(own) > 0, runs(own)).otherwise(empty))
+def term_counts(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(term, group, occurrences, texts that hold it) of each group and term that occur; group: a small number for each text."""
+    starts, ends, at = words(data, offsets, TERM_BREAKS)
+    sizes = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    letters = LOWERED[data[~TERM_BREAKS[data]]]
+    terms = pa.StringArray.from_buffers(len(starts), pa.py_buffer(sizes), pa.py_buffer(letters)).dictionary_encode()
+    # sorted by term, group and text, as texts are numbered in the order of their groups
+    order = np.argsort(group, kind="stable")
+    number = np.empty_like(order)
+    number[order] = np.arange(len(order))
+    keys = terms.indices.to_numpy().astype(np.int64) * len(order) + np.repeat(number, np.diff(at))
+    keys.sort()
+    texts = np.flatnonzero(np.diff(keys, prepend=-1))
+    code, own = np.divmod(keys[texts], max(len(order), 1))
+    own = group[order][own]
+    first = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(own, prepend=-1) != 0))
+    n = np.diff(np.append(texts[first], len(keys)))
+    return terms.dictionary.take(pa.array(code[first])), own[first], n, np.diff(np.append(first, len(texts)))
+
+
+def long_counts(data: np.ndarray, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """term_counts() of one long text, by pieces of about `most` bytes that end where no term does on."""
+    held, lo = None, 0
+    while lo < len(data):
+        hi = lo + most
+        while hi < len(data) and not (gap := TERM_BREAKS[data[hi : hi + most]]).any():
+            hi += most
+        hi = hi + int(gap.argmax()) if hi < len(data) else len(data)
+        term, _, n, _ = term_counts(data[lo:hi], np.array([0, hi - lo]), np.zeros(1, np.int64))
+        own = pa.table({"term": term, "n": pa.array(n, pa.int64())})
+        held = own if held is None else pa.concat_tables([held, own]).group_by("term", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+        lo = hi
+    term = held["term"].combine_chunks()
+    return term, np.zeros(len(term), np.int64), held["n"].to_numpy(), np.ones(len(term), np.int64)
+
+
+def tallied(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """From (lang, source, text) a row (lang, source, term, n, held) for each of the three in pieces of about `most` bytes: occurrences, and texts with the term."""
+    for batch in batches:
+        langs, sources = (batch.column(i).dictionary_encode() for i in range(2))
+        pairs = langs.indices.to_numpy().astype(np.int64) * max(len(sources.dictionary), 1) + sources.indices.to_numpy()
+        for lo, hi, data, offsets in chunks(batch.column(2), most):
+            _, first, group = np.unique(pairs[lo:hi], return_index=True, return_inverse=True)
+            term, own, n, held = long_counts(data, most) if len(data) > most else term_counts(data, offsets, group)
+            for k in range(0, len(term), OUT_ROWS):
+                at = slice(k, k + OUT_ROWS)
+                named = [batch.column(i).take(pa.array(lo + first[own[at]])) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*named, term[at], pa.array(n[at], pa.int64()), pa.array(held[at], pa.int64())], names=["lang", "source", "term", "n", "held"])
 
 
 def kept_counts(df: DataFrame, text_col: str, lang_col: str, source_col: str, least: int) -> tuple[DataFrame, DataFrame]:
     """groups(lang, source); and counts(lang, source, term, n) of the terms that at least so many rows of the language hold."""
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_col, lang_col, source_col))
-    rows = df.select(lang.alias("lang"), source.alias("source"), lowered(text).alias("text"))
-    each = rows.select("lang", "source", F.inline(tallied(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))))
-    counts = each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count("*").alias("held"))
+    rows = df.select(lang.alias("lang"), source.alias("source"), text.alias("text"))
+    each = rows.mapInArrow(tallied, "lang string, source string, term string, n long, held long")
+    counts = each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
     # a row for each source of a language that has the term
     held = F.sum("held").over(W.partitionBy("lang", "term"))
     return rows.select("lang", "source").distinct(), counts.withColumn("held", held).where(F.col("held") >= least).select("lang", "source", "term", "n")

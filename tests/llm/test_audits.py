@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,46 @@ def test_divergence_equals_brute_force(spark):
     assert divergence.divergence(df.where("false")).count() == 0
 
 
+def brute_tally(rows):
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    lower = str.maketrans(divergence.UPPER, divergence.LOWER)
+    n, held = Counter(), Counter()
+    for lang, source, text in rows:
+        own = Counter((lang, source, w) for w in term.findall(text.translate(lower)))
+        n.update(own)
+        held.update(own.keys())
+    return {k: (n[k], held[k]) for k in n}
+
+
+def tally(rows, most):
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["lang", "source", "text"])
+    return [tuple(r.values()) for b in divergence.tallied(iter([batch.slice(0, 0), batch.slice(0, 7), batch.slice(7)]), most) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("most", [1, 40, 1000, 1 << 20])
+def test_terms_are_tallied_by_pieces_and_long_texts_in_parts(most):
+    every = "".join(map(chr, [*range(0x250), 0x7FF, 0x800, 0xFFFF, 0x1F642]))
+    texts = ["", "123 --", every, every[::-1], "The " * 300, "z" * 2500 + " z", "É" * 700 + "-" + "É" * 9, "a b", "b", "", "b A", *rng_texts(40, 3, ["The", "tHE", "Été", "a-b", "x\x7f", "[q]"]), ""]
+    rows = [(["en", "de", ""][i % 3], ["s1", "", "é"][i % 2], t) for i, t in enumerate(texts)]
+    out = tally(rows, most)
+    n, held = Counter(), Counter()
+    for *key, a, b in out:
+        n[tuple(key)] += a
+        held[tuple(key)] += b
+    assert {k: (n[k], held[k]) for k in n} == brute_tally(rows)
+    assert not tally([("en", "s", "")] * 9, most) and not tally([("en", "s", " \x00")] * 9, most)
+
+
+def test_terms_leave_the_kernel_summed(spark):
+    """A row for each term of each document was exploded in the JVM before, most of the operator's time."""
+    rows = [("en", f"s{i % 2}", "The cat, the CAT and the hat") for i in range(1000)]
+    assert len(tally(rows[:7] + rows, 1 << 20)) == 2 * 2 * 4
+    df = spark.createDataFrame([(t, lang, source) for lang, source, t in rows], "text string, lang string, source string")
+    counts = divergence.kept_counts(df, "text", "lang", "source", 30)[1]
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in counts.collect()} == {("en", s, w, 500 * n) for s in ("s0", "s1") for w, n in [("the", 3), ("cat", 2), ("and", 1), ("hat", 1)]}
+
+
 def test_shares_are_exact(spark):
     cases = [(0, 0, 1), (3, 10, 7), (8_999_999_999, 8_999_999_999, 1), (9_000_000_001, 9_000_000_007, 3), (5 * 10**15, 7 * 10**15 + 1, 10**7), (9 * 10**17, 9 * 10**17, 1)]
     df = spark.createDataFrame(cases, "n long, total long, v long")
