@@ -287,13 +287,18 @@ def squeeze(*arrays: np.ndarray, plain: bool = False) -> bytes:
         a = a.astype(np.int64, copy=False)
         if not plain:
             # small differences of either sign have small codes
-            a = np.diff(a, prepend=np.int64(0))
-            a = (a << 1) ^ (a >> 63)
+            steps = a.copy()
+            steps[1:] -= a[:-1]
+            a = (steps << 1) ^ (steps >> 63)
         flat = a.view(np.uint64)
         width = max(1, -(-int(flat.max(initial=0)).bit_length() // 8))
         kind = np.dtype(f"<u{1 << (width - 1).bit_length()}")
-        flat = flat.astype(kind).view(np.uint8)
-        packed.append(_squeezer().compress(b"".join([flat[i :: kind.itemsize].tobytes() for i in range(width)])))
+        flat = flat.astype(kind, copy=False)
+        # by shifts, which take less time than copies with a stride
+        planes = np.empty((width, len(flat)), np.uint8)
+        for i in range(width):
+            planes[i] = flat >> kind.type(8 * i) if i else flat
+        packed.append(_squeezer().compress(planes))
         sizes.append(len(packed[-1]) << 4 | width)
     return b"".join([np.array([-len(packed) if plain else len(packed), *sizes], np.int64).tobytes(), *packed])
 

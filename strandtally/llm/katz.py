@@ -14,8 +14,8 @@ discounted, one is added to the denominator, so that some mass is free.
 
 Words are known by 64-bit hashes and get numbers, frequent ones small ones.  Documents stay on shelves (packs of texts
 as numbers); for each order, a shelf sends its distinct n-grams with their training counts to the buckets that own their
-contexts, and gets the corpus counts back, so a frequent n-gram costs a shelf one entry.  A bucket writes what it counted as a
-part of the model's tables (see Model).  Contexts are whole in one bucket, but for frequent ones (over an N / FREQUENT of
+contexts, and gets the corpus counts back, so a frequent n-gram costs a shelf one entry.  If the model's tables are to be kept,
+a bucket writes what it counted as a part of them (see Model).  Contexts are whole in one bucket, but for frequent ones (over an N / FREQUENT of
 all tokens, so at most FREQUENT of an order), which are dealt by n-gram and whose sums are aggregated and broadcast.
 """
 
@@ -193,11 +193,11 @@ def packed_shelf(number: int, ids: np.ndarray, none: np.ndarray, train: np.ndarr
     tokens = np.empty(len(starts) + n, dtype=np.uint64)
     tokens[np.arange(len(starts)) + owner] = word_hashes(data, starts, ends, lower=True)
     tokens[np.cumsum(size) - 1] = END
-    kinds, _, at = distinct(tokens)
-    early = np.empty(len(kinds), np.int64)
-    early[at[::-1]] = np.arange(len(at))[::-1]
-    order = np.lexsort((early, -np.bincount(at)))
-    rank = np.empty_like(order)
+    # a dictionary has its values as they first come
+    held = pa.array(tokens).dictionary_encode()
+    kinds, at = held.dictionary.to_numpy(), held.indices.to_numpy()
+    order = np.argsort(-np.bincount(at, minlength=len(kinds)), kind="stable")
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
     at = rank[at]
     seen = np.bincount(at, weights=np.repeat(train, size), minlength=len(kinds)).astype(np.int64)
@@ -250,17 +250,18 @@ class Shelf:
         """The n-grams of the next order; counted: with their training counts on this shelf."""
         below, n = self.levels[-1], len(self.levels)
         places = np.flatnonzero(self.place >= n)
-        width = len(self.names)
-        codes, lead, back = distinct(below.at[places - 1].astype(np.int64) * width + self.slots[places])
+        start = len(self.names) - 1
+        bits = start.bit_length()
+        codes, lead, back = distinct(below.at[places - 1].astype(np.int64) << bits | self.slots[places])
         at = np.full(len(self.place), -1, dtype=np.int32)
         at[places] = back
-        context, last = (codes // width).astype(np.int32), (codes % width).astype(np.int32)
-        real = np.zeros(len(codes), bool)
-        real[back[self.real[places]]] = True
+        context, last = (codes >> bits).astype(np.int32), (codes & ((1 << bits) - 1)).astype(np.int32)
+        real = last != start
         pairs = np.bincount(back[self.counted[places]], minlength=len(codes)) if counted else np.zeros(0, np.int64)
         # what ends before a text is starts alone, which stand before every document
         known = np.where(real, 0, self.known[-1])
-        level = Level(at, context, last, below.at[places[lead]], pairs, real & (below.known[context] > 0), known)
+        suffix = below.at[places[lead]] if n > 1 else last
+        level = Level(at, context, last, suffix, pairs, real & (below.known[context] > 0), known)
         level.whole, level.weight = np.zeros(len(below.known), np.int64), np.ones(len(below.known))
         self.levels.append(level)
         return level
@@ -412,7 +413,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     log10 of the model's probability of the text, with words unknown to training as one class;
     base_score the additively smoothed one of single words.  Without training rows train_tokens is 0, base_score counts all
     words as unseen, and so does score.  Repeated rows are scored, and learned from, each; a null id is a row like any other.
-    Other columns are ignored.  The model's tables (see Model) stay under model_path if one is named, and go otherwise.
+    Other columns are ignored.  The model's tables (see Model) are written under model_path if one is named.
     """
     if order < 1:
         raise ValueError("order must be at least 1")
@@ -421,7 +422,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     texts = shelved(df, train, id_col, text_col)
     size = texts.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_WORDS))
-    known = counted_words(texts, buckets, f"{path}/1")
+    known = counted_words(texts, buckets, f"{path}/1", bool(model_path))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -441,12 +442,13 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     hot: list[Broadcast] = []
     replies: dict[int, DataFrame] = {}
     for n in range(2, order + 1):
-        rounds = ROUNDS if n > 2 else 1
+        # tables that stay take room, so the n-grams then move in rounds, for which shelves are opened again each time
+        rounds = ROUNDS if n > 2 and model_path else 1
         model.rounds.append(rounds)
-        found = [counted_grams(shelves, replies, model, n, buckets, frequent, hot, r, rounds) for r in range(rounds)]
+        found = [counted_grams(shelves, replies, model, n, buckets, frequent, hot, r, rounds, bool(model_path)) for r in range(rounds)]
         seen = union(found)
         model.d.append(discounts(np.array([0, *summed(seen, K + 1)])))
-        hot.append(weighed(spark, found, model, n))
+        hot.append(weighed(spark, found, model, n, bool(model_path)))
         replies[n] = seen
         release(spark)
     asked = joined(shelves, replies)
@@ -491,7 +493,6 @@ def opened(row: dict, order: int, buckets: int, frequent: int, model: Model, hot
     for n in range(2, 2 + len(hot)):
         level, d = s.deepen(counted=False), model.d[n - 2]
         s.deal(level, buckets, frequent)
-        codes = level.context[level.order]
         got = {r["bucket"]: r for r in row[f"r{n}"] or []}
         # the buckets' replies one after the other, as one
         dealt = list(split(level.owner, buckets))
@@ -500,11 +501,13 @@ def opened(row: dict, order: int, buckets: int, frequent: int, model: Model, hot
         at = np.concatenate([x for _, x in dealt])
         replies = [got[b] for b, _ in dealt]
         counts = np.concatenate([unsqueeze(r["a"])[0] for r in replies])
-        level.known[level.order[at]] = counts
-        new = np.append(True, codes[at][1:] != codes[at][:-1])
+        grams = level.order[at]
+        level.known[grams] = counts
+        codes = level.context[grams]
+        new = np.append(True, codes[1:] != codes[:-1])
         new[np.cumsum([0, *[len(x) for _, x in dealt[:-1]]])] = True
         run = np.flatnonzero(new)
-        context = codes[at[run]]
+        context = codes[run]
         marks = np.concatenate([unsqueeze(r["b"])[0] for r in replies])
         total, small = marks >> 1, marks & 1 > 0
         own = ~level.hot[at[run]]
@@ -514,7 +517,7 @@ def opened(row: dict, order: int, buckets: int, frequent: int, model: Model, hot
             sums = [unsqueeze(r["c"]) for r in replies if r["c"] is not None]
             of_counts = np.concatenate([x.reshape(K, -1) for x, _ in sums], axis=1)
             level.weight[context[need]] = weights(d, total[need], of_counts, np.concatenate([x for _, x in sums]).view(np.float64))
-        often = np.unique(codes[level.hot])
+        often = np.unique(codes[level.hot[at]])
         if len(often):
             keys = np.stack(s.columns(n - 1, often), axis=1)
             sums = np.array([hot[n - 2].value[tuple(k)] for k in keys.tolist()])
@@ -522,8 +525,8 @@ def opened(row: dict, order: int, buckets: int, frequent: int, model: Model, hot
     return s
 
 
-def counted_words(shelves: DataFrame, buckets: int, path: str) -> DataFrame:
-    """Parts: the words table, the replies (numbers and counts) and the sums of single words."""
+def counted_words(shelves: DataFrame, buckets: int, path: str, keep: bool) -> DataFrame:
+    """Parts: the words table if it is to be kept, the replies (numbers and counts) and the sums of single words."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -547,7 +550,8 @@ def counted_words(shelves: DataFrame, buckets: int, path: str) -> DataFrame:
         cut = np.cumsum([len(g) for g in grams])[:-1]
         out = [{"part": "reply", "bucket": bucket, "shelf": r["shelf"], "a": squeeze(number[at], total[at], plain=True)} for r, at in zip(rows, np.split(back, cut), strict=True)]
         seen = total > 0
-        out.append({"part": "grams", "bucket": bucket, "a": kinds[seen].tobytes(), "b": squeeze(number[seen], total[seen], plain=True)})
+        if keep:
+            out.append({"part": "grams", "bucket": bucket, "a": kinds[seen].tobytes(), "b": squeeze(number[seen], total[seen], plain=True)})
         out.append({"part": "stats", "bucket": bucket, "stats": [int(total.sum()), int(seen.sum()), *[int((total == r).sum()) for r in range(1, K + 2)]]})
         return parts_of(out)
 
@@ -563,8 +567,8 @@ def parted(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(PARTS).option("basePath", path).parquet(path)
 
 
-def counted_grams(shelves: DataFrame, replies: dict[int, DataFrame], model: Model, n: int, buckets: int, frequent: int, hot: list[Broadcast], round_: int, rounds: int) -> DataFrame:
-    """Parts for the n-grams of order n in every rounds-th bucket: grams, their contexts' sums, replies, counts of counts, and the partial sums of frequent contexts."""
+def counted_grams(shelves: DataFrame, replies: dict[int, DataFrame], model: Model, n: int, buckets: int, frequent: int, hot: list[Broadcast], round_: int, rounds: int, keep: bool) -> DataFrame:
+    """Parts for the n-grams of order n in every rounds-th bucket: replies, counts of counts, the partial sums of frequent contexts, and, if tables are to be kept, grams and their contexts' sums."""
     order, one, d = model.order, model.one, model.d[n - 3] if n > 2 else None
     slim = Model(model.path, order, one, model.d)
 
@@ -581,12 +585,13 @@ def counted_grams(shelves: DataFrame, replies: dict[int, DataFrame], model: Mode
                     if b % rounds != round_:
                         continue
                     grams = level.order[at]
-                    run = heads(level.context[grams])
-                    context = level.context[grams[run]]
+                    context, suffix = level.context[grams], level.suffix[grams]
+                    run = heads(context)
+                    context = context[run]
                     *newer, oldest = (c[context] for c in columns)
                     # of the shorter n-gram: its count, and what the counts after its context are divided by
-                    whole = below.whole[below.context[level.suffix[grams[run]]]] if n > 2 else np.zeros(len(run), np.int64)
-                    lower = below.known[level.suffix[grams]]
+                    whole = below.whole[below.context[suffix[run]]] if n > 2 else np.zeros(len(run), np.int64)
+                    lower = below.known[suffix]
                     out.append((b, row["shelf"], squeeze(run, level.hot[at[run]], oldest, whole), squeeze(*newer, plain=True), squeeze(s.names[level.last[grams]], level.pairs[grams], lower, plain=True)))
                     if len(out) == 16:
                         yield batch_of(out, "bucket shelf contexts newer grams")
@@ -631,12 +636,13 @@ def counted_grams(shelves: DataFrame, replies: dict[int, DataFrame], model: Mode
             gram_at, context_at = gram_at + len(g[0]), context_at + len(c[0])
             need = i[~is_hot[i] & (np.minimum.reduceat(own, c[0]) == 0)]
             out.append({"part": "reply", "bucket": bucket, "shelf": r["shelf"], "a": squeeze(own, plain=True), "b": squeeze(marks[i], plain=True), "c": squeeze(of_counts[:, need].ravel(), lower[need].view(np.int64), plain=True) if len(need) else None})
-        # the tables hold what was seen
-        run = heads(owner[seen])
-        some = owner[seen][run]
-        out.append({"part": "grams", "bucket": bucket, "a": squeeze(run, *[x[some] for x in columns]), "b": squeeze(word[seen], count_[seen], plain=True)})
-        cold = ~is_hot[some]
-        out.append({"part": "sums", "bucket": bucket, "a": squeeze(np.where(cold, total[some], 0), *(of_counts[:, some] * cold), plain=True), "b": np.where(cold, lower[some], 0.0).tobytes()})
+        if keep:
+            # the tables hold what was seen
+            run = heads(owner[seen])
+            some = owner[seen][run]
+            out.append({"part": "grams", "bucket": bucket, "a": squeeze(run, *[x[some] for x in columns]), "b": squeeze(word[seen], count_[seen], plain=True)})
+            cold = ~is_hot[some]
+            out.append({"part": "sums", "bucket": bucket, "a": squeeze(np.where(cold, total[some], 0), *(of_counts[:, some] * cold), plain=True), "b": np.where(cold, lower[some], 0.0).tobytes()})
         out.append({"part": "stats", "bucket": bucket, "stats": [int((count_ == r).sum()) for r in range(1, K + 2)]})
         for i in np.flatnonzero(is_hot):
             out.append({"part": "hot", "bucket": bucket, "a": np.array([x[i] for x in columns]).tobytes(), "stats": [int(x) for x in [*[c[i] for c in columns], total[i], *of_counts[:, i]]], "lower": float(lower[i])})
@@ -649,8 +655,8 @@ def counted_grams(shelves: DataFrame, replies: dict[int, DataFrame], model: Mode
     return out
 
 
-def weighed(spark: SparkSession, found: list[DataFrame], model: Model, n: int) -> Broadcast:
-    """Writes the weights of the contexts of order n in place of their sums, and those of frequent contexts; the latter are broadcast: at most FREQUENT."""
+def weighed(spark: SparkSession, found: list[DataFrame], model: Model, n: int, keep: bool) -> Broadcast:
+    """Writes the weights of the contexts of order n in place of their sums, if tables are to be kept, and those of frequent contexts; the latter are broadcast: at most FREQUENT."""
     d, width = model.d[n - 2], n - 1
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -661,7 +667,7 @@ def weighed(spark: SparkSession, found: list[DataFrame], model: Model, n: int) -
                     out = np.where(total > 0, weights(d, total, np.array(of_counts), np.frombuffer(row["b"], np.float64)), 0.0)
                 yield batch_of([(row["bucket"], squeeze(total, plain=True), out.tobytes())], "bucket totals weights")
 
-    for r, parts in enumerate(found):
+    for r, parts in enumerate(found if keep else []):
         rows = parts.where("part = 'sums'").select("bucket", "a", "b").mapInArrow(weigh, "bucket long, totals binary, weights binary")
         rows.write.option("compression", "zstd").parquet(f"{model.path}/{n}-{r}/weights")
         drop_path(spark, f"{model.path}/{n}-{r}/part=sums")

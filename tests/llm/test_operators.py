@@ -520,6 +520,29 @@ def test_katz_equals_brute_force(spark, monkeypatch, tmp_path, order, words):
         assert np.allclose(sorted(contexts["weight"]), sorted(brute.weight(h) for h in brute.n[n - 1]), rtol=1e-9)
 
 
+def test_katz_without_tables_opens_shelves_once_an_order(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(katz, "BUCKET_WORDS", 64)
+    monkeypatch.setattr(katz, "SHELF_BYTES", 2000)
+    rng = np.random.default_rng(8)
+    df = docs(spark, [*ODD[:6], *[" ".join(rng.choice(["a", "B", "the", "of", *[f"w{i}" for i in range(40)]], int(rng.integers(1, 30)))) for _ in range(60)]])
+    made = []
+    parted = katz.parted
+
+    def noted(rows, path):
+        out = parted(rows, path)
+        made.append({r["part"] for r in out.select("part").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(katz, "parted", noted)
+    kept = sorted(katz.score_texts(df, ~langid.held_out("doc_id", 10, 0), model_path=f"{tmp_path}/model").collect())
+    assert len(made) == 2 + katz.ROUNDS and all("grams" in parts for parts in made)
+    # words, bigrams and trigrams once each, and no table that nobody asked for (trigrams took two passes over the shelves before)
+    made.clear()
+    rows = sorted(katz.score_texts(df, ~langid.held_out("doc_id", 10, 0)).collect())
+    assert len(made) == 3 and not any(parts & {"grams", "sums"} for parts in made) and "hot" in made[-1]
+    assert [r[:5] for r in rows] == [r[:5] for r in kept] and np.allclose([r[5:] for r in rows], [r[5:] for r in kept], rtol=1e-12)
+
+
 def test_katz_without_rows_or_training(spark):
     own = docs(spark, ["a b", None])
     rows = katz.score_texts(own, F.lit(False)).collect()
