@@ -453,24 +453,27 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         release(spark)
     asked = joined(shelves, replies)
 
+    def scored(row: dict) -> pa.RecordBatch:
+        s = opened(row, order, buckets, frequent, model, hot)
+        c = s.known[s.slots[s.real]]
+        at = np.cumsum(s.size) - s.size
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(s.ids, pa.int64(), mask=s.none),
+                pa.array(s.train),
+                pa.array(s.size),
+                pa.array(np.add.reduceat((c > 0).astype(np.int64), at)),
+                pa.array(np.full(len(at), one.total, dtype=np.int64)),
+                pa.array(np.add.reduceat(one.base(c), at)),
+                pa.array(np.add.reduceat(np.log10(s.probabilities(model.d, one)), at)),
+            ],
+            names=[id_col, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                s = opened(row, order, buckets, frequent, model, hot)
-                c = s.known[s.slots[s.real]]
-                at = np.cumsum(s.size) - s.size
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(s.ids, pa.int64(), mask=s.none),
-                        pa.array(s.train),
-                        pa.array(s.size),
-                        pa.array(np.add.reduceat((c > 0).astype(np.int64), at)),
-                        pa.array(np.full(len(at), one.total, dtype=np.int64)),
-                        pa.array(np.add.reduceat(one.base(c), at)),
-                        pa.array(np.add.reduceat(np.log10(s.probabilities(model.d, one)), at)),
-                    ],
-                    names=[id_col, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+            # (a shelf goes before the next is opened)
+            yield from map(scored, batch.to_pylist())
 
     out = written(asked.mapInArrow(score, f"`{id_col}` long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
     drop_stored(shelves)
@@ -572,32 +575,35 @@ def counted_grams(shelves: DataFrame, replies: dict[int, DataFrame], model: Mode
     order, one, d = model.order, model.one, model.d[n - 3] if n > 2 else None
     slim = Model(model.path, order, one, model.d)
 
+    def grams_of(row: dict) -> Iterator[pa.RecordBatch]:
+        s = opened(row, order, buckets, frequent, slim, hot)
+        below = s.levels[-1]
+        level = s.deepen()
+        s.deal(level, buckets, frequent)
+        out = []
+        columns = s.columns(n - 1, np.arange(len(below.known)))
+        for b, at in split(level.owner, buckets):
+            if b % rounds != round_:
+                continue
+            grams = level.order[at]
+            context, suffix = level.context[grams], level.suffix[grams]
+            run = heads(context)
+            context = context[run]
+            *newer, oldest = (c[context] for c in columns)
+            # of the shorter n-gram: its count, and what the counts after its context are divided by
+            whole = below.whole[below.context[suffix[run]]] if n > 2 else np.zeros(len(run), np.int64)
+            lower = below.known[suffix]
+            out.append((b, row["shelf"], squeeze(run, level.hot[at[run]], oldest, whole), squeeze(*newer, plain=True), squeeze(s.names[level.last[grams]], level.pairs[grams], lower, plain=True)))
+            if len(out) == 16:
+                yield batch_of(out, "bucket shelf contexts newer grams")
+                out = []
+        if out:
+            yield batch_of(out, "bucket shelf contexts newer grams")
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                s = opened(row, order, buckets, frequent, slim, hot)
-                below = s.levels[-1]
-                level = s.deepen()
-                s.deal(level, buckets, frequent)
-                out = []
-                columns = s.columns(n - 1, np.arange(len(below.known)))
-                for b, at in split(level.owner, buckets):
-                    if b % rounds != round_:
-                        continue
-                    grams = level.order[at]
-                    context, suffix = level.context[grams], level.suffix[grams]
-                    run = heads(context)
-                    context = context[run]
-                    *newer, oldest = (c[context] for c in columns)
-                    # of the shorter n-gram: its count, and what the counts after its context are divided by
-                    whole = below.whole[below.context[suffix[run]]] if n > 2 else np.zeros(len(run), np.int64)
-                    lower = below.known[suffix]
-                    out.append((b, row["shelf"], squeeze(run, level.hot[at[run]], oldest, whole), squeeze(*newer, plain=True), squeeze(s.names[level.last[grams]], level.pairs[grams], lower, plain=True)))
-                    if len(out) == 16:
-                        yield batch_of(out, "bucket shelf contexts newer grams")
-                        out = []
-                if out:
-                    yield batch_of(out, "bucket shelf contexts newer grams")
+                yield from grams_of(row)
 
     def count(asks: pa.Table) -> pa.Table:
         rows = asks.to_pylist()
