@@ -95,3 +95,9 @@ def test_kmer_estimates_exchange_super_kmers_once(spark, tmp_path):
     """Before, an index was built, exchanged and joined, with a 64th of all k-mers held by a task."""
     text = plan(queries.QUERIES["kmer_estimates"](spark, documents(spark, tmp_path)))
     assert text.count("Exchange") == 1 and text.count("MapInArrow") == 2 and "Join" not in text and "Window" not in text, text
+
+
+def test_sequence_summary_sends_windows_back_packed(spark, tmp_path):
+    """Before, a row for each read and abundance was aggregated by Spark, whose maps and buffers held 2.6 GB of an executor."""
+    text = plan(queries.QUERIES["sequence_summary"](spark, documents(spark, tmp_path)))
+    assert "percentile" not in text and "ObjectHashAggregate" not in text and text.count("MapInArrow") == 3, text
