@@ -101,3 +101,9 @@ def test_sequence_summary_sends_windows_back_packed(spark, tmp_path):
     """Before, a row for each read and abundance was aggregated by Spark, whose maps and buffers held 2.6 GB of an executor."""
     text = plan(queries.QUERIES["sequence_summary"](spark, documents(spark, tmp_path)))
     assert "percentile" not in text and "ObjectHashAggregate" not in text and text.count("MapInArrow") == 3, text
+
+
+def test_sketch_spectrum_is_tallied_where_cells_are_answered(spark, tmp_path):
+    """Before, an index was joined and a row for each k-mer went through Spark's aggregate."""
+    text = plan(queries.QUERIES["sketch_spectrum"](spark, documents(spark, tmp_path)))
+    assert "Join" not in text and "Window" not in text and text.count("MapInArrow") == 2 and "kmer#" not in text, text
