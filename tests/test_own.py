@@ -107,3 +107,9 @@ def test_sketch_spectrum_is_tallied_where_cells_are_answered(spark, tmp_path):
     """Before, an index was joined and a row for each k-mer went through Spark's aggregate."""
     text = plan(queries.QUERIES["sketch_spectrum"](spark, documents(spark, tmp_path)))
     assert "Join" not in text and "Window" not in text and text.count("MapInArrow") == 2 and "kmer#" not in text, text
+
+
+def test_query_report_reads_documents_once(spark, tmp_path):
+    """Before, they were scanned for the index, for the probes and for the number of windows."""
+    text = plan(queries.QUERIES["query_report"](spark, documents(spark, tmp_path)))
+    assert text.count("Scan parquet") == 1 and "Join" not in text, text
