@@ -113,3 +113,11 @@ def test_query_report_reads_documents_once(spark, tmp_path):
     """Before, they were scanned for the index, for the probes and for the number of windows."""
     text = plan(queries.QUERIES["query_report"](spark, documents(spark, tmp_path)))
     assert text.count("Scan parquet") == 1 and "Join" not in text, text
+
+
+def test_exact_summary_exchanges_no_row_for_each_window(spark, tmp_path):
+    """Before, all windows were exchanged to be joined with their counts, and again by read."""
+    df = queries.QUERIES["exact_summary"](spark, documents(spark, tmp_path))
+    assert len(df.collect()) == 60
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
+    assert "kmer_index" not in text and "kmer#" not in text, text
