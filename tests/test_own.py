@@ -121,3 +121,9 @@ def test_exact_summary_exchanges_no_row_for_each_window(spark, tmp_path):
     assert len(df.collect()) == 60
     text = df._jdf.queryExecution().executedPlan().toString().split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
     assert "kmer_index" not in text and "kmer#" not in text, text
+
+
+def test_abundance_windows_scan_documents_once(spark, tmp_path):
+    """Before, they were scanned for the index, for the probes and for the windows that aren't ACGT alone."""
+    text = plan(queries.QUERIES["kmer_abundance_windows"](spark, documents(spark, tmp_path)))
+    assert text.count("Scan parquet") == 1 and "Join" not in text and "Union" not in text, text
