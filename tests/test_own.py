@@ -55,7 +55,7 @@ def test_portions_of_a_large_part_are_bounded():
 
 
 @pytest.mark.parametrize("shape", SHAPES)
-@pytest.mark.parametrize(("piece", "portion", "held"), [(1 << 21, 1 << 20, 1 << 20), (10, 64, 50)])
+@pytest.mark.parametrize(("piece", "portion", "held"), [(1 << 21, 1 << 20, 1 << 20), (10, 2, 50)])
 def test_estimates_equal_those_of_an_index(spark, monkeypatch, shape, piece, portion, held):
     """With small portions most cells are kept in a file before they are answered."""
     monkeypatch.setattr(kernel, "PIECE_WINDOWS", piece)
@@ -69,7 +69,7 @@ def test_estimates_equal_those_of_an_index(spark, monkeypatch, shape, piece, por
     assert rows(own.windows(reads, shape)) == rows(index.abundances(reads))
 
 
-@pytest.mark.parametrize(("piece", "portion", "held"), [(1 << 21, 1 << 20, 1 << 21), (10, 64, 50)])
+@pytest.mark.parametrize(("piece", "portion", "held"), [(1 << 21, 1 << 20, 1 << 21), (10, 2, 50)])
 def test_summaries_equal_those_of_windows(spark, monkeypatch, piece, portion, held):
     monkeypatch.setattr(kernel, "PIECE_WINDOWS", piece)
     monkeypatch.setattr(own, "PORTION", portion)
